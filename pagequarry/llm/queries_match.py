@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, contamination
+from . import lsm_dedup
 from .shared import doc_key
 
 
@@ -43,5 +44,21 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGI
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
-QUERIES = {"op9_decontamination": op9_decontamination}
-SQL = {"op9_decontamination": OP9_SQL}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = doc_key(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lsm_dedup.without_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, s, md5(array_to_string(ws[s:s + 34], ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS s FROM d)),
+f AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+p AS (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+g AS (SELECT p.*, max(f.s) OVER (PARTITION BY p.r ORDER BY p.i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM p LEFT JOIN f ON p.r = f.r AND p.i = f.s),
+k AS (SELECT r, count(*) FILTER (last IS NOT NULL AND i < last + 35) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (last IS NULL OR i >= last + 35) AS kept FROM g GROUP BY r)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r
+"""
+
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op9_decontamination": op9_decontamination}
+SQL = {"op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
