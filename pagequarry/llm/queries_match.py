@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, contamination
-from . import lsm_dedup
+from . import lsm_dedup, suffix_dedup
 from .shared import doc_key
 
 
@@ -60,5 +60,24 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN k ON d.r = k.r
 """
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op9_decontamination": op9_decontamination}
-SQL = {"op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = doc_key(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return suffix_dedup.without_copies(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, s, md5_number(substring(x, 2 * s - 1, 200)) AS h FROM (SELECT r, x, unnest(range(1, len(x) // 2 - 98)) AS s FROM d)),
+f AS (SELECT w.r, w.s FROM w JOIN (SELECT h, min(r * 4294967296 + s) AS m FROM w GROUP BY h HAVING count(*) > 1) AS g ON w.h = g.h WHERE w.r * 4294967296 + w.s > g.m),
+i AS (SELECT r, s, s > coalesce(lag(s) OVER (PARTITION BY r ORDER BY s), -1000) + 100 AS fresh FROM f),
+j AS (SELECT r, s, sum(CAST(fresh AS INT)) OVER (PARTITION BY r ORDER BY s) AS k FROM i),
+sp AS (SELECT r, k, min(s) AS a, max(s) + 100 AS b FROM j GROUP BY r, k),
+kept AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS before FROM sp),
+t AS (SELECT kept.r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substring(x, 2 * before - 1, 2 * (a - before)), '' ORDER BY a) AS head FROM kept JOIN d ON kept.r = d.r GROUP BY kept.r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substring(x, 2 * coalesce(last, 1) - 1))) AS kept_sha256
+FROM d LEFT JOIN t ON d.r = t.r
+"""
+
+QUERIES = {"op8_suffix_dedup": op8_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op9_decontamination": op9_decontamination}
+SQL = {"op8_suffix_dedup": OP8_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
