@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, contamination
-from . import lsm_dedup, suffix_dedup
+from . import jaccard_join, lsm_dedup, suffix_dedup
 from .shared import doc_key
 
 
@@ -79,5 +79,23 @@ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM d LEFT JOIN t ON d.r = t.r
 """
 
-QUERIES = {"op8_suffix_dedup": op8_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op9_decontamination": op9_decontamination}
-SQL = {"op8_suffix_dedup": OP8_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = doc_key(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT r, array_to_string(ws[s:s + least(5, len(ws)) - 1], ' ') AS x FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS s FROM d WHERE len(ws) > 0)
+), n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+o AS (SELECT p.r AS a, q.r AS b, count(*) AS shared FROM g AS p JOIN g AS q ON p.x = q.x AND p.r <> q.r GROUP BY p.r, q.r),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN n AS x ON x.r = a JOIN n AS y ON y.r = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT reach.a, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN n ON d.r = n.r JOIN c ON d.r = c.a
+"""
+
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op9_decontamination": op9_decontamination}
+SQL = {"op1_jaccard_join": OP1_SQL, "op8_suffix_dedup": OP8_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
