@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_match, queries_order
+from . import queries_learned, queries_match, queries_order
 
-MODULES = (queries_match, queries_order)
+MODULES = (queries_learned, queries_match, queries_order)
 
 
 def queries() -> dict:
