@@ -30,6 +30,8 @@ LABELLERS = (("symbol bytes", 0.15, 0.08), ("capital letters", 0.5, 0.2), ("word
 SHORT = 8
 #: Rows that the scorer is trained on, at most; hashed features.
 SAMPLE, FEATURES = 20000, 1 << 14
+#: Words of no weight that every text is taken to have besides its own, so that a few odd words of a short text don't decide.
+CALM = 15
 _CHUNK = 1 << 20
 
 _SYMBOL = np.zeros(256, bool)
@@ -114,7 +116,7 @@ class Features:
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """Mean weight of the features of each text."""
         total = np.concatenate(([0.0], np.cumsum(weights[self.ids.astype(np.int64)].sum(axis=0))))
-        return (total[self.at[1:]] - total[self.at[:-1]]) / np.maximum(self.count, 1)
+        return (total[self.at[1:]] - total[self.at[:-1]]) / (self.count + CALM)
 
 
 def votes_of(patterns: np.ndarray) -> np.ndarray:
@@ -158,12 +160,10 @@ class Scorer:
         w, b = np.zeros(FEATURES), 0.0
         if not n:
             return cls(w, b)
-        share = float(np.clip(labels.mean(), 0.01, 0.99))
-        cost = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share))
         seen = np.full(FEATURES, 1e-8)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(np.bincount(row, values * w[ids], n) + b, -50, 50)))
-            g = (p - labels) * cost / n
+            g = (p - labels) / n
             grad = np.bincount(ids, values * g[row], FEATURES) + 1e-5 * w
             seen += grad**2
             w -= 0.5 * grad / np.sqrt(seen)
@@ -190,7 +190,7 @@ def _vectors(batches):
         for k in range(b - a):
             own, n = np.unique(f.ids[:, f.at[k] : f.at[k + 1]], return_counts=True)
             ids.append(own.astype(np.int32).tobytes())
-            values.append((n / max(f.count[k], 1)).astype(np.float32).tobytes())
+            values.append((n / (f.count[k] + CALM)).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(f.patterns(), pa.int64()), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], names=["pattern", "ids", "shares"])
 
 

@@ -28,6 +28,8 @@ from .shared import split_by, unpack
 #: Labelled rows to learn from and features to keep, at most; z-score that makes a feature.
 SAMPLE, FEATURES, LEAST_Z = 30000, 8192, 4.5
 FACTORS, FOLDS, HELD = 8, 5, 0
+#: Share of the features that a training round hides.
+HIDDEN = 0.3
 _FRAGMENTS, _CHUNK = 24, 1 << 20
 _BEGINNINGS = (4, 5)
 
@@ -95,8 +97,11 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(o, np.searchsorted(self.features, h), n), -50, 50)))
 
     @classmethod
-    def trained(cls, features: np.ndarray, row: np.ndarray, feature: np.ndarray, labels: np.ndarray, rounds: int = 400, seed: int = 7) -> Machine:
-        """Logistic loss with weight decay, adaptive steps on all rows at once."""
+    def trained(cls, features: np.ndarray, row: np.ndarray, feature: np.ndarray, labels: np.ndarray, rounds: int = 500, seed: int = 7) -> Machine:
+        """Logistic loss with weight decay, adaptive steps on all rows at once.
+
+        Each round hides a share of the features, so that one alone learns to count where several come together.
+        """
         n, m = len(labels), len(features)
         rng = np.random.default_rng(seed)
         share = (labels.sum() + 0.5) / (n + 1)
@@ -104,7 +109,10 @@ class Machine:
         if not n or not m:
             return out
         seen_b, seen_w, seen_v = 1e-8, np.full(m, 1e-8), np.full((m, FACTORS), 1e-8)
+        all_rows, all_features = row, feature
         for _ in range(rounds):
+            shown = rng.random(len(all_rows)) >= HIDDEN
+            row, feature = all_rows[shown], all_features[shown]
             p = 1 / (1 + np.exp(-np.clip(out.raw(row, feature, n), -50, 50)))
             g = (p - labels) / n
             gw = np.bincount(feature, g[row], m) + 1e-6 * out.weights
