@@ -9,8 +9,8 @@ and for pairs the partial overlap of their segments, on its own; a pair's overla
    only one set has, and returns what is left of the segments.
 2. A set that keeps too few n-grams for any partner is out. Of the others, the prefix is the
    shortest beginning in global order that must hold a common n-gram of any two that link.
-3. Every set is paired with the hub of each n-gram of its prefix, not with all others there;
-   verified links give components.
+3. Every n-gram has a hub, one of the sets that have it in their prefix. A set is paired with the
+   hub that it meets most often, not with all others there; verified links give components.
 4. N-grams that still hold several components pair the sets of the smaller ones with those of
    other components, under the length and position filters. Sets of one component need no
    further link, so no list is paired with itself.
@@ -40,8 +40,11 @@ _CHUNK = 3 << 19
 _MOST = 2047
 _LOW = K.U64((1 << 52) - 1)
 _SENT = {"frag": pa.int32(), **{c: pa.binary() for c in ("rid", "n", "count", "hashes", "own", "doc_id", "total", "one", "two")}}
-_SEGMENT = {"frag": pa.int32(), "rid": pa.int64(), "doc_id": pa.int64(), "n": pa.int32(), "one": pa.int64(), "two": pa.int64(), "keys": pa.list_(pa.int64())}
-SEGMENTS = "frag int, rid long, doc_id long, n int, one long, two long, keys array<long>"
+#: Text whose sets meet in one block of documents.
+BLOCK_BYTES = 6 << 20
+_COUNTED = {"frag": pa.int32(), "block": pa.int32(), "rid": pa.int64(), "doc_id": pa.int64(), "n": pa.int32(), "one": pa.int64(), "two": pa.int64(), **{c: pa.binary() for c in ("rids", "sizes", "counts", "keys")}}
+COUNTED = "frag int, block int, rid long, doc_id long, n int, one long, two long, rids binary, sizes binary, counts binary, keys binary"
+_PREFIX = {"rid": pa.int64(), "n": pa.int32(), "left": pa.int32(), "prefix": pa.list_(pa.int64()), "frags": pa.list_(pa.int32())}
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -96,78 +99,146 @@ def _send(n: int, fragments: int):
     return of
 
 
-def _count(t: pa.Table) -> pa.Table:
-    """What is left of a fragment's segments without the n-grams of one set only; and its documents' rows (frag -1)."""
-    hashes, _ = unpack(t["hashes"], K.U64)
-    count = unpack(t["count"], np.int32)[0]
-    rid, n = unpack(t["rid"], np.int64)[0], unpack(t["n"], np.int32)[0]
-    owner = np.repeat(np.arange(len(rid)), count)
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, np.int64)
-    times = np.diff(edge)
-    df = np.empty(len(hashes), np.int64)
-    df[order] = np.repeat(times, times)
-    keep = np.flatnonzero(df > 1)
-    key = ((np.minimum(df[keep], _MOST).astype(K.U64) << K.U64(52)) | (hashes[keep] & _LOW)).astype(np.int64)
-    own = owner[keep]
-    who, at = np.unique(own, return_index=True)
-    member, doc = unpack(t["own"], np.int64)[0], unpack(t["doc_id"], np.int64)[0]
-    total, one, two = unpack(t["total"], np.int32)[0], unpack(t["one"], np.int64)[0], unpack(t["two"], np.int64)[0]
-    s, m, frag = len(who), len(member), t["frag"][0].as_py()
-    offsets = np.concatenate((np.append(at, len(key))[: s + 1], np.full(m, len(key)))).astype(np.int32)
-    blank = np.zeros(s, np.int64)
-    columns = (
-        np.concatenate((np.full(s, frag), np.full(m, -1))),
-        np.concatenate((rid[who], member)),
-        pa.array(np.concatenate((blank, doc)), mask=np.concatenate((blank, doc)) == _NULL_ID),
-        np.concatenate((n[who], total)),
-        np.concatenate((blank, one)),
-        np.concatenate((blank, two)),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(key)),
-    )
-    return pa.table([c if isinstance(c, pa.Array) else pa.array(c, x) for c, x in zip(columns, _SEGMENT.values(), strict=True)], names=list(_SEGMENT))
-
-
-def _partial(t: pa.Table, pairs: pa.Table) -> pa.Table:
-    """The overlap of the two segments of each pair in this fragment, where there is any."""
-    names = {"a": pa.int64(), "b": pa.int64(), "part": pa.int32()}
-    if not t.num_rows or not pairs.num_rows:
-        return pa.table([pa.array([], x) for x in names.values()], names=list(names))
-    rid = t["rid"].to_numpy()
-    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    used = np.isin(rid, np.concatenate((a, b)))
-    t, rid = t.filter(pa.array(used)), rid[used]
-    order = np.argsort(rid)
-    rid, keys = rid[order], t["keys"].combine_chunks().take(pa.array(order))
-    values, ends = keys.flatten().to_numpy(), np.concatenate(([0], np.cumsum(keys.value_lengths().to_numpy())))
-    code = np.unique(values, return_inverse=True)[1].astype(np.int64)
-    held = np.sort((np.repeat(np.arange(len(rid)), np.diff(ends)) << 32) | code)
-    at = [np.minimum(np.searchsorted(rid, x), max(len(rid) - 1, 0)) for x in (a, b)]
-    there = (rid[at[0]] == a) & (rid[at[1]] == b) if len(rid) else np.zeros(len(a), bool)
-    part = np.zeros(len(a), np.int32)
-    todo = np.flatnonzero(there)
-    for k in range(0, len(todo), 1 << 16):
-        own = todo[k : k + (1 << 16)]
-        i, j = at[0][own], at[1][own]
-        size = ends[i + 1] - ends[i]
-        top = np.cumsum(size)
-        if not top[-1]:
-            continue
-        pick = np.repeat(ends[i] - (top - size), size) + np.arange(top[-1])
-        found = (np.repeat(j, size) << 32) | code[pick]
-        place = np.minimum(np.searchsorted(held, found), len(held) - 1)
-        part[own] = np.add.reduceat(np.append(held[place] == found, False).astype(np.int32), np.minimum(top - size, top[-1])) * (size > 0)
-    some = part > 0
-    return pa.table([pa.array(a[some]), pa.array(b[some]), pa.array(part[some])], names=list(names))
-
-
-def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _blocks_of(rid: np.ndarray, blocks: int) -> np.ndarray:
+    return (K.mix(rid.astype(K.U64) + K.U64(17)) % K.U64(blocks)).astype(np.int32)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values))
+
+
+def _count(blocks: int):
+    """What is left of a fragment's segments without the n-grams of one set only, packed by block; and its documents' rows (frag -1)."""
+
+    def of(t: pa.Table) -> pa.Table:
+        hashes, _ = unpack(t["hashes"], K.U64)
+        count = unpack(t["count"], np.int32)[0]
+        rid, n = unpack(t["rid"], np.int64)[0], unpack(t["n"], np.int32)[0]
+        owner = np.repeat(np.arange(len(rid)), count)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, np.int64)
+        times = np.diff(edge)
+        df = np.empty(len(hashes), np.int64)
+        df[order] = np.repeat(times, times)
+        keep = np.flatnonzero(df > 1)
+        key = ((np.minimum(df[keep], _MOST).astype(K.U64) << K.U64(52)) | (hashes[keep] & _LOW)).astype(np.int64)
+        frag, rows = t["frag"][0].as_py(), []
+        for block, k, own in split_by(_blocks_of(rid, blocks)[owner[keep]], blocks, key, owner[keep]):
+            who, counts = np.unique(own, return_counts=True)
+            rows.append((block, *(v.tobytes() for v in (rid[who], n[who], counts.astype(np.int32), k))))
+        member, doc = unpack(t["own"], np.int64)[0], unpack(t["doc_id"], np.int64)[0]
+        total, one, two = unpack(t["total"], np.int32)[0], unpack(t["one"], np.int64)[0], unpack(t["two"], np.int64)[0]
+        s, m = len(rows), len(member)
+        packed = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        columns = {
+            "frag": [frag] * s + [-1] * m,
+            "block": [*packed[0], *_blocks_of(member, blocks).tolist()],
+            "rid": [None] * s + member.tolist(),
+            "doc_id": [None] * s + [None if x == _NULL_ID else x for x in doc.tolist()],
+            "n": [None] * s + total.tolist(),
+            "one": [None] * s + one.tolist(),
+            "two": [None] * s + two.tolist(),
+            **{c: [*packed[k + 1], *[None] * m] for k, c in enumerate(("rids", "sizes", "counts", "keys"))},
+        }
+        return pa.table([pa.array(columns[c], x) for c, x in _COUNTED.items()], names=list(_COUNTED))
+
+    return of
+
+
+def _prefixes(percent: int):
+    """Of a block's sets that lead their class and keep enough n-grams: the prefix in global order and the fragments."""
+
+    def of(t: pa.Table, leads: pa.Table) -> pa.Table:
+        rid, at = unpack(t["rids"], np.int64)
+        n, counts, keys = unpack(t["sizes"], np.int32)[0], unpack(t["counts"], np.int32)[0], unpack(t["keys"], np.int64)[0]
+        frag = t["frag"].to_numpy()[at] if len(rid) else np.zeros(0, np.int32)
+        ok = np.isin(rid, leads["rid"].to_numpy())
+        keys, rid, n, counts, frag = keys[np.repeat(ok, counts)], rid[ok], n[ok], counts[ok], frag[ok]
+        who, first, own = np.unique(rid, return_index=True, return_inverse=True)
+        n, left = n[first].astype(np.int64), np.bincount(own, counts, len(who)).astype(np.int64)
+        enough = 100 * left >= percent * n
+        by_key = np.repeat(own, counts)
+        order = np.lexsort((keys, by_key))
+        keys, by_key = keys[order], by_key[order]
+        begin = np.cumsum(left) - left
+        rank = np.arange(len(keys)) - begin[by_key]
+        needed = (percent * n + 99) // 100  # n-grams that any partner shares
+        prefix = enough[by_key] & (rank <= (left - needed)[by_key])
+        by_frag = np.lexsort((frag, own))
+        used = enough[own[by_frag]]
+        columns = (who[enough], n[enough].astype(np.int32), left[enough].astype(np.int32), _lists(keys[prefix], np.bincount(by_key[prefix], minlength=len(who))[enough]), _lists(frag[by_frag][used].astype(np.int32), np.bincount(own, minlength=len(who))[enough]))
+        return pa.table([c if isinstance(c, pa.Array) else pa.array(c, x) for c, x in zip(columns, _PREFIX.values(), strict=True)], names=list(_PREFIX))
+
+    return of
+
+
+_PAIRS = {"frag": pa.int32(), "a": pa.binary(), "b": pa.binary()}
+_PARTS = {"block": pa.int32(), "a": pa.binary(), "b": pa.binary(), "part": pa.binary()}
+
+
+def _deal(batches):
+    """For mapInArrow: the pairs of a batch, packed for each fragment of their smaller-numbered fragment list."""
+    for batch in batches:
+        a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+        frags = batch["frags"].flatten().to_numpy()
+        pair = np.repeat(np.arange(len(a)), batch["frags"].value_lengths().to_numpy())
+        rows = [(f, a[p].tobytes(), b[p].tobytes()) for f, p in split_by(frags, int(frags.max(initial=-1)) + 1, pair)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, _PAIRS.values(), strict=True)], names=list(_PAIRS))
+
+
+def _partial(blocks: int):
+    """The overlap of the two segments of each pair in this fragment, where there is any, packed by block of the second set."""
+
+    def of(t: pa.Table, pairs: pa.Table) -> pa.Table:
+        a, b = unpack(pairs["a"], np.int64)[0], unpack(pairs["b"], np.int64)[0]
+        rid, counts, keys = unpack(t["rids"], np.int64)[0], unpack(t["counts"], np.int32)[0], unpack(t["keys"], np.int64)[0]
+        used = np.isin(rid, np.concatenate((a, b)))
+        keys, rid, counts = keys[np.repeat(used, counts)], rid[used], counts[used]
+        if not len(rid) or not len(a):
+            return pa.table([pa.array([], x) for x in _PARTS.values()], names=list(_PARTS))
+        order = np.argsort(rid)
+        begin = (np.cumsum(counts) - counts)[order]
+        rid, counts = rid[order], counts[order].astype(np.int64)
+        top = np.cumsum(counts)
+        start = top - counts
+        code = np.unique(keys, return_inverse=True)[1].astype(np.int64)[np.repeat(begin - start, counts) + np.arange(top[-1])]
+        held = np.sort((np.repeat(np.arange(len(rid)), counts) << 32) | code)
+        i, j = (np.minimum(np.searchsorted(rid, x), len(rid) - 1) for x in (a, b))
+        there = (rid[i] == a) & (rid[j] == b)
+        a, b, i, j = a[there], b[there], i[there], j[there]
+        part = np.zeros(len(a), np.int32)
+        for k in range(0, len(a), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            size = counts[x]
+            end = np.cumsum(size)
+            found = (np.repeat(y, size) << 32) | code[np.repeat(start[x] - (end - size), size) + np.arange(end[-1])]
+            place = np.minimum(np.searchsorted(held, found), len(held) - 1)
+            part[k : k + (1 << 16)] = np.add.reduceat((held[place] == found).astype(np.int32), end - size)
+        some = part > 0
+        rows = [(block, *(v.tobytes() for v in own)) for block, *own in split_by(_blocks_of(b[some], blocks), blocks, a[some], b[some], part[some])]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.table([pa.array(c, x) for c, x in zip(columns, _PARTS.values(), strict=True)], names=list(_PARTS))
+
+    return of
+
+
+def _sum(t: pa.Table) -> pa.Table:
+    """A block's pairs with the sums of their partial overlaps."""
+    a, b, part = unpack(t["a"], np.int64)[0], unpack(t["b"], np.int64)[0], unpack(t["part"], np.int32)[0]
+    order = np.lexsort((b, a))
+    a, b, part = a[order], b[order], part[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return pa.table([pa.array(a[new]), pa.array(b[new]), pa.array(np.add.reduceat(part, new).astype(np.int32))], names=["a", "b", "shared"])
+
+
+def _linked(pairs: DataFrame, segments: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Of pairs (a, b, na, nb, frags), those whose overlaps, summed over the fragments, reach the threshold."""
-    dealt = pairs.select(F.explode("frags").alias("frag"), "a", "b")
-    parts = segments.groupBy("frag").cogroup(dealt.groupBy("frag")).applyInArrow(_partial, "a long, b long, part int")
-    sums = parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
-    return sums.join(pairs.select("a", "b", "na", "nb"), ["a", "b"]).where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both")))
+    dealt = pairs.select("a", "b", "frags").mapInArrow(_deal, "frag int, a binary, b binary")
+    parts = segments.groupBy("frag").cogroup(dealt.groupBy("frag")).applyInArrow(_partial(blocks), "block int, a binary, b binary, part binary")
+    sums = parts.groupBy("block").applyInArrow(_sum, "a long, b long, shared int")
+    return sums.join(pairs.select("a", "b", "na", "nb"), ["a", "b"]).where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("shared")))
 
 
 def _near_enough(na, nb, a_left, b_left, percent: int):
@@ -177,26 +248,27 @@ def _near_enough(na, nb, a_left, b_left, percent: int):
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """rid, doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of docs."""
-    fragments = size_of(docs).parts(FRAGMENT_BYTES)
+    size = size_of(docs)
+    fragments, blocks = size.parts(FRAGMENT_BYTES), size.parts(BLOCK_BYTES)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
     sent = rows.mapInArrow(_send(n, fragments), ", ".join(f"{c} {'int' if c == 'frag' else 'binary'}" for c in _SENT))
-    counted = stored(sent.groupBy("frag").applyInArrow(_count, SEGMENTS), "segments")
-    documents = counted.where("frag = -1").select("rid", "doc_id", "n", "one", "two")
-    segments = counted.where("frag >= 0").select("frag", "rid", "n", "keys")
-
-    classes = documents.where("n > 0").groupBy("n", "one", "two").agg(F.min("rid").alias("lead"), F.min("doc_id").alias("least_id"))
-    leads = classes.select(F.col("lead").alias("rid"))
-    sets = segments.join(leads, "rid", "left_semi").groupBy("rid", "n").agg(F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys"), F.collect_list("frag").alias("frags"))
-    sets = sets.withColumn("left", F.size("keys")).where(F.lit(100) * F.col("left") >= F.lit(percent) * F.col("n"))
-    needed = F.expr(f"({percent} * n + 99) div 100").cast("int")  # n-grams that any partner shares
-    sets = stored(sets.withColumn("prefix", F.slice("keys", F.lit(1), F.col("left") - needed + 1)).drop("keys"), "prefixes")
+    counted = stored(sent.groupBy("frag").applyInArrow(_count(blocks), COUNTED), "segments")
+    documents = counted.where("frag = -1").select("rid", "block", "doc_id", "n", "one", "two")
+    segments = counted.where("frag >= 0").select("frag", "block", "rids", "sizes", "counts", "keys")
+
+    classes = documents.where("n > 0").groupBy("n", "one", "two").agg(F.min(F.struct("rid", "block")).alias("first"), F.min("doc_id").alias("least_id"))
+    classes = classes.select("n", "one", "two", F.col("first.rid").alias("lead"), F.col("first.block").alias("block"), "least_id")
+    leads = classes.select("block", F.col("lead").alias("rid"))
+    sets = stored(segments.groupBy("block").cogroup(leads.groupBy("block")).applyInArrow(_prefixes(percent), "rid long, n int, left int, prefix array<long>, frags array<int>"), "prefixes")
     tokens = sets.select("rid", "n", "left", F.posexplode("prefix").alias("pos", "key")).withColumn("rest", F.col("left") - F.col("pos"))
 
     hubs = tokens.groupBy("key").agg(F.min(F.struct("rid", "n", "rest")).alias("hub"), F.count("*").alias("times")).where("times > 1")
     near = tokens.join(hubs, "key").where(F.col("rid") != F.col("hub.rid"))
     near = near.where(_near_enough(F.col("n"), F.col("hub.n"), F.col("rest"), F.col("hub.rest"), percent))
-    tried = stored(near.select(F.col("hub.rid").alias("a"), F.col("rid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct().join(sets.select(F.col("rid").alias("b"), "frags"), "b"), "hub-pairs")
-    links = stored(_linked(tried, segments, percent).select("a", "b"), "links")
+    common = near.groupBy("rid", "n", "hub.rid", "hub.n").agg(F.count("*").alias("times")).toDF("b", "nb", "a", "na", "times")
+    best = common.groupBy("b", "nb").agg(F.max(F.struct(F.col("times"), (-F.col("a")).alias("order"), F.col("na").alias("na"))).alias("x")).select((-F.col("x.order")).alias("a"), "b", F.col("x.na").alias("na"), "nb")
+    tried = stored(best.join(sets.select(F.col("rid").alias("b"), "frags"), "b"), "hub-pairs")
+    links = stored(_linked(tried, segments, percent, blocks).select("a", "b"), "links")
     comps = components(links)
 
     placed = stored(tokens.join(comps, tokens.rid == comps.node, "left").select("key", "rid", "n", "rest", F.coalesce("comp", "rid").alias("comp")), "placed")
@@ -208,7 +280,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     more = x.join(y, other & _near_enough(F.col("x.n"), F.col("y.n"), F.col("x.rest"), F.col("y.rest"), percent))
     more = more.select(*(F.when(F.col("x.rid") < F.col("y.rid"), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(p) for c, p in (("rid", "a"), ("n", "na"))), *(F.when(F.col("x.rid") < F.col("y.rid"), F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(p) for c, p in (("rid", "b"), ("n", "nb")))).distinct()
     more = more.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(sets.select(F.col("rid").alias("b"), "frags"), "b")
-    late = stored(_linked(stored(more, "other-pairs"), segments, percent).select("a", "b"), "links")
+    late = stored(_linked(stored(more, "other-pairs"), segments, percent, blocks).select("a", "b"), "links")
     final = components(links.unionByName(late)) if late.limit(1).count() else comps
 
     named = classes.join(final, classes.lead == final.node, "left").select("n", "one", "two", "least_id", F.coalesce("comp", "lead").alias("comp"))
