@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated, contamination
-from . import jaccard_join, lsm_dedup, suffix_dedup
+from . import bm25, jaccard_join, lsm_dedup, suffix_dedup
 from .shared import doc_key
 
 
@@ -84,6 +84,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.top_documents(doc_key(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
@@ -97,5 +101,5 @@ c AS (SELECT reach.a, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = r
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN n ON d.r = n.r JOIN c ON d.r = c.a
 """
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op9_decontamination": op9_decontamination}
+QUERIES = {"op5_top_k_search": op5_top_k_search, "op1_jaccard_join": op1_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op9_decontamination": op9_decontamination}
 SQL = {"op1_jaccard_join": OP1_SQL, "op8_suffix_dedup": OP8_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
