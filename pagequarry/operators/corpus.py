@@ -76,7 +76,7 @@ def queries(d) -> dict[str, str]:
         "j13_target_overlap": f"SELECT a.doc_id, a.page, a.pos AS a_pos, a.region AS a_region, b.pos AS b_pos, b.region AS b_region FROM targets a JOIN targets b ON a.doc_id = b.doc_id AND a.page = b.page AND (a.pos < b.pos OR a.pos = b.pos AND a.region > b.region) WHERE {S.iou('a.', 'b.')} > 0",
         "j14_sequence_tops": "SELECT doc_id, page, bool_and(coalesce(y0 >= before, true)) AS sorted FROM (SELECT doc_id, page, y0, lag(y0) OVER (PARTITION BY doc_id, page ORDER BY pos) AS before FROM sequence_items) AS s GROUP BY doc_id, page",
         "w9_sequence_order": "SELECT doc_id, page, pos, coalesce(y0 >= lag(y0) OVER (PARTITION BY doc_id, page ORDER BY pos), true) AS in_order FROM sequence_items",
-        "j17_between": "SELECT doc_id, page, pos, last_value(label IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(label IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM sequence_items",
+        "j17_between": f"SELECT doc_id, page, pos, {d.known('last_value', 'label')} OVER (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, {d.known('first_value', 'label')} OVER (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM sequence_items",
         "w5_merge_intervals": "SELECT doc_id, page, y0, y1 FROM intervals",
         "j18_free_bands": "SELECT doc_id, page, y0, y1 FROM free_bands WHERE y1 - y0 >= 24",
         "it5_running_cursor": "SELECT doc_id, page, pos, 86 + coalesce(sum(height + 12) OVER (PARTITION BY doc_id, page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM sequence_items",

@@ -78,6 +78,10 @@ class Spark:
     def json(self, column: str, path: str) -> str:
         return f"get_json_object({column}, '$.{path}')"
 
+    def known(self, which: str, column: str) -> str:
+        """first_value or last_value that skips nulls, for OVER."""
+        return f"{which}({column}) IGNORE NULLS"
+
     def kind(self, column: str, path: str) -> str:
         """null, number, int, string, bool, array or object; SQL null where the path is absent."""
         k = f"schema_of_variant(try_variant_get(parse_json({column}), '$.{path}', 'variant'))"
@@ -88,6 +92,9 @@ class Spark:
 
 class DuckDB(Spark):
     name = "duckdb"
+    def known(self, which: str, column: str) -> str:
+        return f"{which}({column} IGNORE NULLS)"
+
     def kind(self, column: str, path: str) -> str:
         k = f"json_type({column}, '$.{path}')"
         return f"CASE WHEN {k} = 'NULL' THEN 'null' WHEN {k} IN ('BIGINT', 'UBIGINT') THEN 'int' WHEN {k} = 'DOUBLE' THEN 'number' WHEN {k} = 'VARCHAR' THEN 'string' WHEN {k} = 'BOOLEAN' THEN 'bool' WHEN {k} = 'ARRAY' THEN 'array' WHEN {k} = 'OBJECT' THEN 'object' END"
