@@ -79,7 +79,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     first = F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("before")))
     second = F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("source_size") - F.col("before")))
     out = joined.withColumn("_first", first).withColumn("_second", second)
-    out = out.withColumn("_at", F.col("before") / F.col("target")).withColumn("_again", (F.col("source_size") + F.col("before")) / F.col("target"))
+    out = out.withColumn("_at", F.try_divide("before", "target")).withColumn("_again", F.try_divide(F.col("source_size") + F.col("before"), F.col("target")))
     return out.select(
         "doc_id",
         "source",
