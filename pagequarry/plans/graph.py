@@ -46,11 +46,12 @@ def direct(sql: str, known: dict[str, str]) -> list[str]:
 def run(spark: SparkSession, sql: str, known: dict[str, str], sources: dict[str, DataFrame], place: str | None = None) -> DataFrame:
     """The statement over source tables (by name) and relations; a source of a relation's name replaces it.
 
-    With a place (the folder of the sources), relations that many statements read are written
-    once in the shared folder and read by later statements of the session over the same folder.
+    Relations that many statements read are written in the shared folder. With a place (the
+    folder of the sources), later statements of the session over that folder read them again.
     """
     known = {n: s for n, s in known.items() if n not in sources}
     views: dict[str, str] = {}
+    written = _WRITTEN if place else {}
 
     def renamed(text: str) -> str:
         return re.sub(r"\b(FROM|JOIN)\s+([a-z_0-9]+)\b( AS [a-z]\b)?", lambda m: f"{m[1]} {views[m[2]]}{m[3] or ('' if _aliased(text, m.end()) else ' AS ' + m[2])}" if m[2] in views else m[0], text)
@@ -63,13 +64,13 @@ def run(spark: SparkSession, sql: str, known: dict[str, str], sources: dict[str,
         if n in views:
             return
         key = (spark.sparkContext.applicationId, place or "", n)
-        if place is None or n not in CUT or key not in _WRITTEN:
+        if n not in CUT or key not in written:
             for need in direct(known[n], known):
                 build(need)
             df = spark.sql(renamed(known[n]))
-            if place is not None and n in CUT:
-                df = _WRITTEN[key] = stored(df, n)
-        view(n, _WRITTEN[key] if place is not None and n in CUT else df)
+            if n in CUT:
+                df = written[key] = stored(df, n)
+        view(n, written[key] if n in CUT else df)
 
     for n, df in sources.items():
         view(n, df)
