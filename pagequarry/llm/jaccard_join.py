@@ -10,7 +10,9 @@ and for pairs the partial overlap of their segments, on its own; a pair's overla
 2. A set that keeps too few n-grams for any partner is out. Of the others, the prefix is the
    shortest beginning in global order that must hold a common n-gram of any two that link.
 3. Every n-gram has a hub, one of the sets that have it in their prefix. A set is paired with the
-   hub that it meets most often, not with all others there; verified links give components.
+   hub that it meets most often, not with all others there; verified links give components. The
+   first hubs are the sets with the fewest n-grams of their own; n-grams that still hold several
+   components get other hubs in further rounds.
 4. N-grams that still hold several components pair the sets of the smaller ones with those of
    other components, under the length and position filters. Sets of one component need no
    further link, so no list is paired with itself.
@@ -34,6 +36,8 @@ from .components import components
 from .shared import size_of, split_by, stored, unpack
 
 N, PERCENT = 5, 75
+#: Rounds of pairing sets with hubs before the pairs of different components are listed.
+HUB_ROUNDS = 3
 FRAGMENT_BYTES = 16 << 20
 _CHUNK = 3 << 19
 #: Frequencies beyond this order by hash only.
@@ -241,6 +245,20 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int, blocks: int) ->
     return sums.join(pairs.select("a", "b", "na", "nb"), ["a", "b"]).where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("shared")))
 
 
+def _placed(tokens: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """tokens with the component of each set so far."""
+    if comps is None:
+        return tokens.withColumn("comp", F.col("rid"))
+    return tokens.join(comps, tokens.rid == comps.node, "left").select(*tokens.columns, F.coalesce("comp", "rid").alias("comp"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) with the smaller number first."""
+    up = F.col("a") < F.col("b")
+    pick = lambda x, y, name: F.when(up, F.col(x)).otherwise(F.col(y)).alias(name)
+    return pairs.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("na", "nb", "na"), pick("nb", "na", "nb"))
+
+
 def _near_enough(na, nb, a_left, b_left, percent: int):
     """Whether sets of these sizes that share at most so many n-grams can link."""
     return (F.lit(percent) * F.greatest(na, nb) <= F.lit(100) * F.least(na, nb)) & (F.lit(100 + percent) * F.least(a_left, b_left) >= F.lit(percent) * (na + nb))
@@ -262,24 +280,35 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     sets = stored(segments.groupBy("block").cogroup(leads.groupBy("block")).applyInArrow(_prefixes(percent), "rid long, n int, left int, prefix array<long>, frags array<int>"), "prefixes")
     tokens = sets.select("rid", "n", "left", F.posexplode("prefix").alias("pos", "key")).withColumn("rest", F.col("left") - F.col("pos"))
 
-    hubs = tokens.groupBy("key").agg(F.min(F.struct("rid", "n", "rest")).alias("hub"), F.count("*").alias("times")).where("times > 1")
-    near = tokens.join(hubs, "key").where(F.col("rid") != F.col("hub.rid"))
-    near = near.where(_near_enough(F.col("n"), F.col("hub.n"), F.col("rest"), F.col("hub.rest"), percent))
-    common = near.groupBy("rid", "n", "hub.rid", "hub.n").agg(F.count("*").alias("times")).toDF("b", "nb", "a", "na", "times")
-    best = common.groupBy("b", "nb").agg(F.max(F.struct(F.col("times"), (-F.col("a")).alias("order"), F.col("na").alias("na"))).alias("x")).select((-F.col("x.order")).alias("a"), "b", F.col("x.na").alias("na"), "nb")
-    tried = stored(best.join(sets.select(F.col("rid").alias("b"), "frags"), "b"), "hub-pairs")
-    links = stored(_linked(tried, segments, percent, blocks).select("a", "b"), "links")
-    comps = components(links)
-
-    placed = stored(tokens.join(comps, tokens.rid == comps.node, "left").select("key", "rid", "n", "rest", F.coalesce("comp", "rid").alias("comp")), "placed")
+    comps, links, tried = None, None, None
+    for turn in range(HUB_ROUNDS):
+        # first the set with the smallest share of n-grams of its own is hub, then any other
+        placed = _placed(tokens, comps).withColumn("order", (F.col("n") - F.col("left")) / F.col("n") if turn == 0 else F.xxhash64("rid", F.lit(turn)).cast("double"))
+        hubs = placed.groupBy("key").agg(F.min(F.struct("order", "rid", "n", "rest", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        near = placed.join(hubs.select("key", "hub"), "key").where(F.col("comp") != F.col("hub.comp"))
+        near = near.where(_near_enough(F.col("n"), F.col("hub.n"), F.col("rest"), F.col("hub.rest"), percent))
+        common = near.groupBy("rid", "n", "hub.rid", "hub.n").agg(F.count("*").alias("times")).toDF("b", "nb", "a", "na", "times")
+        best = common.groupBy("b", "nb").agg(F.max(F.struct(F.col("times"), (-F.col("a")).alias("order"), F.col("na").alias("na"))).alias("x"))
+        pairs = _ordered(best.select((-F.col("x.order")).alias("a"), "b", F.col("x.na").alias("na"), "nb"))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs.join(sets.select(F.col("rid").alias("b"), "frags"), "b"), "hub-pairs")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        new = stored(_linked(pairs, segments, percent, blocks).select("a", "b"), "links")
+        if turn and not new.limit(1).count():
+            break
+        links = new if links is None else links.unionByName(new)
+        comps = components(links)
+
+    placed = stored(_placed(tokens, comps).select("key", "rid", "n", "rest", "comp"), "placed")
     shares = placed.groupBy("key", "comp").agg(F.count("*").alias("times"))
     main = shares.groupBy("key").agg(F.max_by("comp", "times").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
     mixed = placed.join(main, "key")
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
     more = x.join(y, other & _near_enough(F.col("x.n"), F.col("y.n"), F.col("x.rest"), F.col("y.rest"), percent))
-    more = more.select(*(F.when(F.col("x.rid") < F.col("y.rid"), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(p) for c, p in (("rid", "a"), ("n", "na"))), *(F.when(F.col("x.rid") < F.col("y.rid"), F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(p) for c, p in (("rid", "b"), ("n", "nb")))).distinct()
-    more = more.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(sets.select(F.col("rid").alias("b"), "frags"), "b")
+    more = _ordered(more.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))).distinct()
+    more = more.join(tried, ["a", "b"], "left_anti").join(sets.select(F.col("rid").alias("b"), "frags"), "b")
     late = stored(_linked(stored(more, "other-pairs"), segments, percent, blocks).select("a", "b"), "links")
     final = components(links.unionByName(late)) if late.limit(1).count() else comps
 

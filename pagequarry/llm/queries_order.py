@@ -40,11 +40,9 @@ def op7_sql() -> str:
 WITH RECURSIVE tab AS (
   SELECT list(c ORDER BY k) AS tb FROM (SELECT k, list_reduce([k] || range(0, 8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(0, 256)) AS k))
 ), base AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST(concat('0x', x) AS BIGINT)) AS bs FROM documents
 ), d AS (
-  SELECT doc_id, len(h) // 2 + 1 AS size,
-    xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(0, len(h) // 2), lambda i: CAST(instr('0123456789ABCDEF', h[2 * i + 1]) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 17 AS BIGINT)), lambda c, x: xor(tb[xor(c % 256, x) + 1], c // 256)), 4294967295) AS crc
-  FROM base, tab
+  SELECT doc_id, len(bs) + 1 AS size, xor(list_reduce([CAST(4294967295 AS BIGINT)] || bs, lambda c, x: xor(tb[xor(c % 256, x) + 1], c // 256)), 4294967295) AS crc FROM base, tab
 ), k AS (
   SELECT *, ({spread}) % greatest(1, CAST(ceil((SELECT count(*) FROM (SELECT DISTINCT doc_id, size, crc FROM d)) / {ROWS_PER_BUCKET}.0) AS BIGINT)) AS bucket FROM d
 ), x AS (
