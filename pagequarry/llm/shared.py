@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a temporary folder only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="pagequarry-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from ..plans.store import shared_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
