@@ -15,5 +15,5 @@ assert "{top}" in shared_folder(spark)
 
 
 def test_folder_where_none_is_set(tmp_path):
-    env = os.environ | {"PYTHONPATH": str(Path(__file__).parent.parent), "TMPDIR": str(tmp_path)}
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).parent.parent), "TMPDIR": str(tmp_path), "SPARK_CONF_DIR": str(tmp_path)}
     subprocess.run([sys.executable, "-c", CODE.replace("{top}", str(tmp_path / "own"))], cwd=tmp_path, env=env, check=True)
