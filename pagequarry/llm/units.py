@@ -28,12 +28,12 @@ UNITS_PER_FILE = 4
 FRAGMENT_BYTES = 24 << 20
 
 
-def unit_table(docs: DataFrame, unit_bytes: int = UNIT_BYTES) -> tuple[DataFrame, Size]:
+def unit_table(docs: DataFrame, unit_bytes: int = UNIT_BYTES, per_file: int = UNITS_PER_FILE) -> tuple[DataFrame, Size]:
     """unit, rid (unique), doc_id, tie (orders rows of equal doc_id) and text, bucketed by unit in the shared folder."""
     spark = docs.sparkSession
     size = size_of(docs)
     units = size.parts(unit_bytes)
-    files = max(1, units // UNITS_PER_FILE)
+    files = max(1, units // per_file)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("rid"))
     rows = rows.withColumn("unit", F.pmod(F.xxhash64("rid"), F.lit(units)).cast("int"))
     name = f"pq_units_{uuid.uuid4().hex}"
