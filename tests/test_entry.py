@@ -1,3 +1,4 @@
+import os
 import shutil
 import subprocess
 import sys
@@ -15,7 +16,7 @@ def test_registry():
 def test_without_training_data_operators(tmp_path):
     shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; n = e.queries(); assert len(n) > 100 and not any(x.startswith('op') or x == 'pipeline' for x in n); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=os.environ | {"PYTHONPATH": ""}, check=True)
 
 
 def test_flagship(spark):
