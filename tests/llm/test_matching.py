@@ -145,3 +145,31 @@ def test_pruning_keeps_results():
                 total[d] = total.get(d, 0) + s
         want = sorted(((-s, d) for d, s in total.items()))[:7]
         assert [(round(-s, 9), d) for s, d, _ in bm25.block_max_wand(lists, list(range(900)), 7)] == [(round(s, 9), d) for s, d in want]
+
+
+def test_batches_keep_results():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for docs, k in ((900, 7), (70, 7), (2000, 3)):
+        lists = [np.sort(rng.choice(docs, rng.integers(1, docs // rng.choice([1, 3, 30])), replace=False)) for _ in range(40)]
+        scores = [rng.integers(1, 1 << rng.integers(2, 9), len(x)) / 64 for x in lists]
+        asked = [np.sort(rng.choice(40, rng.integers(1, 30), replace=False)) for _ in range(25)]
+        query, term = np.repeat(np.arange(25), [len(x) for x in asked]), np.concatenate(asked)
+        found = bm25.search_batch(np.cumsum([0, *map(len, lists)]), np.concatenate(lists), np.concatenate(scores), docs, query, term, 25, k)
+        for q in range(25):
+            want = bm25.block_max_wand([bm25.Postings(lists[j], scores[j]) for j in asked[q]], list(range(docs)), k)
+            assert [(s, d) for s, d, _ in want] == [(float(s), int(d)) for o, d, s in zip(*found, strict=True) if o == q]
+
+
+def test_search_uses_every_term(spark):
+    """The related document shares only the commoner terms, which a query cut to its rarest ones loses; copies of a query get its list."""
+    common = [f"c{i}" for i in range(8)]
+    rows = [(20, " ".join(common + [f"r{i}" for i in range(30)])), (40, " ".join(common + [f"r{i}" for i in range(30)]))]
+    rows += [(41, " ".join(common))] + [(100 + k, f"{common[k]} x{k} other filling words") for k in range(8) if k != 0]
+    found = {}
+    for r in bm25.top_documents(doc_key(frame(spark, rows))).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    lists = {q: sorted(x) for q, x in found.items()}
+    assert [d for _, d, _ in lists[20][:3]] == [20, 40, 41] and lists[20] == lists[40]
+    assert len(lists[20]) == 10
