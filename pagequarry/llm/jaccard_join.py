@@ -264,6 +264,13 @@ def _near_enough(na, nb, a_left, b_left, percent: int):
     return (F.lit(percent) * F.greatest(na, nb) <= F.lit(100) * F.least(na, nb)) & (F.lit(100 + percent) * F.least(a_left, b_left) >= F.lit(percent) * (na + nb))
 
 
+def _main(placed: DataFrame) -> DataFrame:
+    """Of each n-gram that holds several components, the one with the most sets; of equal ones the largest number, however rows arrive."""
+    shares = placed.groupBy("key", "comp").agg(F.count("*").alias("times"))
+    found = shares.groupBy("key").agg(F.max_by("comp", F.struct("times", "comp")).alias("main"), F.count("*").alias("comps"))
+    return found.where("comps > 1").select("key", "main")
+
+
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """rid, doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of docs."""
     size = size_of(docs)
@@ -301,9 +308,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         comps = components(links)
 
     placed = stored(_placed(tokens, comps).select("key", "rid", "n", "rest", "comp"), "placed")
-    shares = placed.groupBy("key", "comp").agg(F.count("*").alias("times"))
-    main = shares.groupBy("key").agg(F.max_by("comp", "times").alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
-    mixed = placed.join(main, "key")
+    mixed = stored(placed.join(_main(placed), "key"), "mixed")
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
     more = x.join(y, other & _near_enough(F.col("x.n"), F.col("y.n"), F.col("x.rest"), F.col("y.rest"), percent))

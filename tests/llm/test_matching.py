@@ -86,6 +86,13 @@ def test_jaccard_group_without_common_hub(spark):
     assert got(jaccard_join.jaccard_components(doc_key(frame(spark, rows))), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(rows), key=repr)
 
 
+def test_jaccard_main_component_of_ties(spark):
+    """Equal components of an n-gram: the choice is the same in whatever order their rows arrive."""
+    for order in ([3, 5, 9], [9, 5, 3], [5, 9, 3]):
+        placed = spark.createDataFrame([(k, c) for k in range(40) for c in order], "key long, comp long").coalesce(1)
+        assert got(jaccard_join._main(placed), "key", "main") == sorted([(k, 9) for k in range(40)], key=repr)
+
+
 ITEMS = [(1, "w1 w2 w3"), (2, "One two"), (2, "One two"), (3, ""), (4, None), (None, "w7 w8")]
 
 
