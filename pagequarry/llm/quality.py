@@ -28,7 +28,7 @@ BAD, GOOD, NONE = 0, 1, 2
 LABELLERS = (("symbol bytes", 0.15, 0.08), ("capital letters", 0.5, 0.2), ("words repeated at once", 0.2, 0.05), ("words seen before", 0.9, 0.75), ("words with odd symbols", 0.3, 0.1), ("words without letters or digits", 0.15, 0.04), ("words beyond 40 bytes", 0.1, 0.01))
 #: Too short to tell: fewer words than this make all labellers but the first abstain.
 SHORT = 8
-#: Rows that the scorer is trained on, at most; hashed features.
+#: Distinct texts that the scorer is trained on, at most; hashed features.
 SAMPLE, FEATURES = 20000, 1 << 14
 #: Words of no weight that every text is taken to have besides its own, so that a few odd words of a short text don't decide.
 CALM = 15
@@ -194,8 +194,16 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(f.patterns(), pa.int64()), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], names=["pattern", "ids", "shares"])
 
 
+def _chosen(text: DataFrame, sample: int) -> DataFrame:
+    """The `sample` distinct texts of the smallest hashes, in that order; those without words score 0 anyway and are left out."""
+    some = text.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("order", F.xxhash64("text"))
+    first = some.select("order").distinct().orderBy("order").limit(sample)
+    kept = some.join(F.broadcast(first), "order")  # at most `sample` hashes
+    return kept.groupBy("order").agg(F.min("text").alias("text")).orderBy("order").select("text")
+
+
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """The scorer for these documents. Vote patterns count all of them; at most `sample` rows, chosen by hash, train it."""
+    """The scorer for these documents. Vote patterns count all of them; at most `sample` distinct texts, chosen by hash, train it."""
     text = docs.select(F.col("text").cast("string").alias("text"))
     counted = text.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 3 ** 7 patterns
     if not counted:
@@ -203,10 +211,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Scorer:
     patterns, counts = (np.array([r[c] for r in counted], dtype=np.int64) for c in (0, 1))
     good, _, _ = expectation_maximisation(patterns, counts)
     label = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    slots = 1 << 20
-    share = min(slots, int(slots * sample / max(1, int(counts.sum()))))
-    chosen = text.where(F.pmod(F.xxhash64("text"), F.lit(slots)) < share).limit(sample)
-    rows = chosen.mapInArrow(_vectors, "pattern long, ids binary, shares binary").toArrow()
+    rows = _chosen(text, sample).mapInArrow(_vectors, "pattern long, ids binary, shares binary").toArrow()
     ids, row = unpack(rows["ids"], np.int32)
     values = unpack(rows["shares"], np.float32)[0].astype(np.float64)
     return Scorer.trained(row, ids, values, np.array([label.get(p, 0.5) for p in rows["pattern"].to_pylist()]))

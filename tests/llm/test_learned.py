@@ -38,6 +38,20 @@ def test_quality(spark):
     assert quality.scored(df.limit(0), quality.fitted(df.limit(0))).count() == 0
 
 
+def test_quality_sample_without_nulls_and_copies(spark, monkeypatch):
+    """Null texts and copies of one text take no places in the training sample, and the order of rows doesn't matter."""
+    rng, seen = random.Random(2), []
+    texts = [sentences(rng, EN, rng.randrange(30, 90)) for _ in range(120)]
+    rows = [(t,) for t in [*texts, *[None] * 3000, *[""] * 500, *[texts[1]] * 2000]]
+    monkeypatch.setattr(quality.Scorer, "trained", lambda row, ids, values, labels: seen.append((row, ids, values, labels)))
+    for n in (2, 5):
+        quality.fitted(spark.createDataFrame(rows, "text string").repartition(n), sample=100)
+    assert all(np.array_equal(a, b) for a, b in zip(*seen, strict=True))
+    row, ids, values, labels = seen[0]
+    each = {(tuple(ids[row == k].tolist()), tuple(values[row == k].tolist())) for k in range(len(labels))}
+    assert len(labels) == len(np.unique(row)) == 100 and len(each) > 95  # different texts may have equal shapes
+
+
 def test_posteriors_follow_accurate_labellers():
     rng = np.random.default_rng(2)
     good = rng.random(4000) < 0.8
