@@ -81,6 +81,23 @@ def test_toxicity(spark):
     assert {round(r.toxicity, 6) for r in none.collect()} == {0.5}
 
 
+def test_counts_do_not_depend_on_batches():
+    """A clean term counts even if only one text of its batch has it."""
+    texts, toxic = ["aa bb", "bb cc", "aa dd"], [0, 1, 0]
+
+    def counts(cut):
+        out = {}
+        for a, b in zip((0, *cut), (*cut, 3), strict=True):
+            batch = pa.RecordBatch.from_arrays([pa.array(texts[a:b]), pa.array(toxic[a:b], pa.int32())], names=["text", "toxic"])
+            for r in pa.Table.from_batches(toxicity._counts([batch])).to_pylist():
+                for h, n, m in zip(*(np.frombuffer(r[c], d).tolist() for c, d in (("hashes", np.uint64), ("total", np.int32), ("bad", np.int32))), strict=True):
+                    old = out.get(h, (0, 0))
+                    out[h] = (old[0] + n, old[1] + m)
+        return out
+
+    assert counts(()) == counts((1,)) == counts((1, 2)) and sorted(counts(()).values()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
 def test_pairs_decide_together():
     """An insult counts only with a group mention: linear weights can't tell, factors can."""
     rng = np.random.default_rng(5)
