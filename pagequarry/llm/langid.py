@@ -6,9 +6,9 @@ over all its positions. Training is backpropagation through time in numpy, on se
 bounded sample of documents; scoring reads every byte of every text.
 
 Labels are the non-null lang values of documents whose crc32(doc_id) mod 4 is not 2, at most
-SAMPLE documents a language, chosen by hash, and the LANGUAGES most frequent values. Defined
-cases: a null text, or one without a letter, is `und` with score 0; without any labelled
-document all others are `und` too; repeated rows get the same label.
+SAMPLE documents a language, chosen by hash. Defined cases: a null text, or one without a
+letter, is `und` with score 0; without any labelled document all others are `und` too; repeated
+rows get the same label.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from . import kernels as K
 from .toxicity import in_fold
 
 HIDDEN, SEGMENT = 8, 64
-#: Documents of a language and segments of a document to train on, at most; languages, at most.
-SAMPLE, SEGMENTS, LANGUAGES = 1500, 6, 32
+#: Documents of a language and segments of a document to train on, at most.
+SAMPLE, SEGMENTS = 1500, 6
 FOLDS, HELD = 4, 2
 _BLOCK, _CHUNK = 4096, 1 << 20
 _ASCII_LETTER = np.zeros(256, bool)
@@ -163,7 +163,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE, rounds: int = 500) -> Network
     """The network learned from documents (doc_id, text, lang) outside of the held-out fold; None if none has a lang."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & ~in_fold(F.col("doc_id"), FOLDS, HELD))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     if not names:
         return None

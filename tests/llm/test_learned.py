@@ -151,3 +151,9 @@ def test_segments_pool_whole_texts():
     for k, t in enumerate(texts):
         alone = net.pooled(*K.text_bytes(pa.array([t])))
         assert np.allclose(alone[0], together[k], atol=1e-5)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(40 * j + k, f"word{k} text{k} more{k}", f"l{k:02}") for j in range(6) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fitted(df, sample=5, rounds=1).names == [f"l{k:02}" for k in range(40)]
