@@ -20,8 +20,11 @@ and for pairs the partial overlap of their segments, on its own; a pair's overla
 Groups of equal sets are classes and stand in the join once. Components are exact.
 
 Defined cases: null, empty and word-free texts have no set and link with nothing; fewer than n
-words make one n-gram; repeated rows are documents of their own and link; null ids don't count
-as smallest. N-grams are told apart by 64-bit hashes.
+words make one n-gram; a text of any length is one set; repeated rows are documents of their own
+and link; ties between hubs and components go by row number; null ids don't count as smallest,
+and a component without any other id has a null component_id; an empty table gives no rows;
+other columns are ignored, whatever their names. N-grams are told apart
+by their fragment and 52 bits of a 64-bit hash, equal sets by two sums of 64 bits.
 """
 
 from __future__ import annotations
@@ -33,12 +36,12 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import size_of, split_by, stored, unpack
+from .shared import free, of_group, of_groups, size_of, split_by, stored, unpack
 
 N, PERCENT = 5, 75
 #: Rounds of pairing sets with hubs before the pairs of different components are listed.
 HUB_ROUNDS = 3
-FRAGMENT_BYTES = 16 << 20
+FRAGMENT_BYTES = 8 << 20
 _CHUNK = 3 << 19
 #: Frequencies beyond this order by hash only.
 _MOST = 2047
@@ -80,8 +83,8 @@ def _send(n: int, fragments: int):
         chosen = np.flatnonzero(lead & (sizes > 0))
         hashes = np.concatenate([sets[k] for k in chosen]) if len(chosen) else np.zeros(0, K.U64)
         owner = np.repeat(chosen, sizes[chosen])
-        segments = {f: (h, o) for f, h, o in split_by((hashes % K.U64(fragments)).astype(np.int32), fragments, hashes, owner)}
-        members = {f: m for f, m in split_by((K.mix(rid.astype(K.U64)) % K.U64(fragments)).astype(np.int32), fragments, np.arange(len(rid)))}
+        segments = {f: (h, o) for f, h, o in split_by((hashes % K.U64(fragments)).astype(np.int32), hashes, owner)}
+        members = {f: m for f, m in split_by((K.mix(rid.astype(K.U64)) % K.U64(fragments)).astype(np.int32), np.arange(len(rid)))}
         rows, none = [], (np.zeros(0, K.U64), np.zeros(0, np.int64))
         for f in segments.keys() | members.keys():
             h, o = segments.get(f, none)
@@ -99,6 +102,7 @@ def _send(n: int, fragments: int):
             doc = batch["doc_id"].fill_null(_NULL_ID).to_numpy()
             for a, b in K.chunks(offsets, _CHUNK):
                 yield rows_of(rid[a:b], doc[a:b], gram_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n))
+            free()
 
     return of
 
@@ -128,7 +132,7 @@ def _count(blocks: int):
         keep = np.flatnonzero(df > 1)
         key = ((np.minimum(df[keep], _MOST).astype(K.U64) << K.U64(52)) | (hashes[keep] & _LOW)).astype(np.int64)
         frag, rows = t["frag"][0].as_py(), []
-        for block, k, own in split_by(_blocks_of(rid, blocks)[owner[keep]], blocks, key, owner[keep]):
+        for block, k, own in split_by(_blocks_of(rid, blocks)[owner[keep]], key, owner[keep]):
             who, counts = np.unique(own, return_counts=True)
             rows.append((block, *(v.tobytes() for v in (rid[who], n[who], counts.astype(np.int32), k))))
         member, doc = unpack(t["own"], np.int64)[0], unpack(t["doc_id"], np.int64)[0]
@@ -147,7 +151,7 @@ def _count(blocks: int):
         }
         return pa.table([pa.array(columns[c], x) for c, x in _COUNTED.items()], names=list(_COUNTED))
 
-    return of
+    return of_group(of)
 
 
 def _prefixes(percent: int):
@@ -174,7 +178,7 @@ def _prefixes(percent: int):
         columns = (who[enough], n[enough].astype(np.int32), left[enough].astype(np.int32), _lists(keys[prefix], np.bincount(by_key[prefix], minlength=len(who))[enough]), _lists(frag[by_frag][used].astype(np.int32), np.bincount(own, minlength=len(who))[enough]))
         return pa.table([c if isinstance(c, pa.Array) else pa.array(c, x) for c, x in zip(columns, _PREFIX.values(), strict=True)], names=list(_PREFIX))
 
-    return of
+    return of_groups(of)
 
 
 _PAIRS = {"frag": pa.int32(), "a": pa.binary(), "b": pa.binary()}
@@ -187,7 +191,7 @@ def _deal(batches):
         a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
         frags = batch["frags"].flatten().to_numpy()
         pair = np.repeat(np.arange(len(a)), batch["frags"].value_lengths().to_numpy())
-        rows = [(f, a[p].tobytes(), b[p].tobytes()) for f, p in split_by(frags, int(frags.max(initial=-1)) + 1, pair)]
+        rows = [(f, a[p].tobytes(), b[p].tobytes()) for f, p in split_by(frags, pair)]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, _PAIRS.values(), strict=True)], names=list(_PAIRS))
 
@@ -221,11 +225,11 @@ def _partial(blocks: int):
             place = np.minimum(np.searchsorted(held, found), len(held) - 1)
             part[k : k + (1 << 16)] = np.add.reduceat((held[place] == found).astype(np.int32), end - size)
         some = part > 0
-        rows = [(block, *(v.tobytes() for v in own)) for block, *own in split_by(_blocks_of(b[some], blocks), blocks, a[some], b[some], part[some])]
+        rows = [(block, *(v.tobytes() for v in own)) for block, *own in split_by(_blocks_of(b[some], blocks), a[some], b[some], part[some])]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         return pa.table([pa.array(c, x) for c, x in zip(columns, _PARTS.values(), strict=True)], names=list(_PARTS))
 
-    return of
+    return of_groups(of)
 
 
 def _sum(t: pa.Table) -> pa.Table:
@@ -241,7 +245,7 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int, blocks: int) ->
     """Of pairs (a, b, na, nb, frags), those whose overlaps, summed over the fragments, reach the threshold."""
     dealt = pairs.select("a", "b", "frags").mapInArrow(_deal, "frag int, a binary, b binary")
     parts = segments.groupBy("frag").cogroup(dealt.groupBy("frag")).applyInArrow(_partial(blocks), "block int, a binary, b binary, part binary")
-    sums = parts.groupBy("block").applyInArrow(_sum, "a long, b long, shared int")
+    sums = parts.groupBy("block").applyInArrow(of_group(_sum), "a long, b long, shared int")
     return sums.join(pairs.select("a", "b", "na", "nb"), ["a", "b"]).where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("shared")))
 
 
@@ -271,11 +275,17 @@ def _main(placed: DataFrame) -> DataFrame:
     return found.where("comps > 1").select("key", "main")
 
 
-def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """rid, doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each row of docs."""
+def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, row: str | None = None) -> DataFrame:
+    """rid, doc_id, n_shingles, component and component_id of each row of docs.
+
+    rid is the column that `row` names, unique and not null, else a new number.
+    component is a rid of the row's component, the same for all its rows; component_id is the
+    smallest doc_id reachable by links.
+    """
     size = size_of(docs)
     fragments, blocks = size.parts(FRAGMENT_BYTES), size.parts(BLOCK_BYTES)
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
+    rid = F.col(row).cast("long") if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid.alias("rid"))
     sent = rows.mapInArrow(_send(n, fragments), ", ".join(f"{c} {'int' if c == 'frag' else 'binary'}" for c in _SENT))
     counted = stored(sent.groupBy("frag").applyInArrow(_count(blocks), COUNTED), "segments")
     documents = counted.where("frag = -1").select("rid", "block", "doc_id", "n", "one", "two")
@@ -318,7 +328,10 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     final = components(links.unionByName(late)) if late.limit(1).count() else comps
 
     named = classes.join(final, classes.lead == final.node, "left").select("n", "one", "two", "least_id", F.coalesce("comp", "lead").alias("comp"))
-    smallest = named.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(smallest, "comp").select("n", "one", "two", "component_id")
+    named = stored(named, "classes")
+    # written, so that the join below reads it through an exchange of its own, which Spark splits where a component is large
+    smallest = stored(named.groupBy("comp").agg(F.min("least_id").alias("component_id")), "components")
+    of_class = named.join(smallest, "comp").select("n", "one", "two", "comp", "component_id")
     out = documents.join(of_class, ["n", "one", "two"], "left")
-    return out.select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    alone = F.col("n") == 0
+    return out.select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("rid")).otherwise(F.col("comp")).alias("component"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -97,7 +97,7 @@ def _send_windows(length: int, gram: int, fragments: int):
         at = np.flatnonzero(new)
         many = np.diff(np.append(at, len(first))) > 1
         first, rest, unit = first[at], rest[at], t["unit"][0].as_py()
-        return table(names, [(f, unit, a.tobytes(), b.tobytes(), m.tobytes()) for f, a, b, m in split_by(fragment_of(first, fragments), fragments, first, rest, many)])
+        return table(names, [(f, unit, a.tobytes(), b.tobytes(), m.tobytes()) for f, a, b, m in split_by(fragment_of(first, fragments), first, rest, many)])
 
     return of
 

@@ -73,7 +73,7 @@ lv AS (SELECT *, (CAST(1.5 AS DOUBLE) * (SELECT sum(source_size) FROM src) - coa
   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM wt),
 tg AS (SELECT source, source_size, tier, least(CAST(cap AS DOUBLE), (SELECT max(level) FROM lv) * weight) AS target FROM lv),
 sp AS (SELECT *, {spread} AS spread FROM s),
-ln AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY spread % greatest(1, CAST(ceil((SELECT count(*) FROM s) / {ROWS_PER_BUCKET}.0) AS BIGINT)), spread, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sp),
+ln AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY spread % greatest(1, CAST(ceil((SELECT count(*) FROM (SELECT DISTINCT doc_id, source, size FROM s)) / {ROWS_PER_BUCKET}.0) AS BIGINT)), spread, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sp),
 j AS (SELECT ln.doc_id, ln.size, tg.source_size, tg.tier, tg.target, ln.before,
   greatest(0, least(ln.size, CAST(floor(target) AS BIGINT) - before)) AS f1, greatest(0, least(ln.size, CAST(floor(target) AS BIGINT) - source_size - before)) AS f2,
   CAST(before AS DOUBLE) / target AS at1, CAST(source_size + before AS DOUBLE) / target AS at2

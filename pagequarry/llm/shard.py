@@ -6,7 +6,9 @@ the shard (its remainder) and the slot (its quotient), so shard sizes differ by
 most, and both can be computed from the number alone, without the table.
 
 Defined cases: a null text counts as an empty one; a null doc_id sorts first; equal rows are
-counted before they are shuffled and take neighbouring numbers; an empty table gives no rows.
+counted before they are shuffled and take neighbouring numbers; ties of doc_id, size and checksum
+count as equal rows; texts of any length count whole; an empty table gives no rows; columns other
+than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import buckets, running_before, spread_sql
+from .numbering import buckets, each_copy, running_before, spread_sql
 from .shared import stored
 
 SHARDS, ROUNDS = 16, 6
@@ -64,15 +66,19 @@ def permuted(x: Column, n: int) -> Column:
     return F.when(walk < F.lit(n), walk).otherwise(F.raise_error("the permutation walked too long"))
 
 
-def shards(docs: DataFrame, n_shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, number, shard and slot of each row of docs."""
+def shards(docs: DataFrame, n_shards: int = SHARDS, row: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, number, shard and slot of each row of docs.
+
+    `row` names a column that is unique, which is returned too and tells equal rows apart.
+    """
+    key = ["doc_id", "size", "text_crc32", *([row] if row else [])]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    kept = stored(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "shard-keys")
-    total = kept.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *([F.col(row)] if row else []))
+    kept = stored(rows.groupBy(*key).agg(F.count("*").alias("n")), "shard-keys")
+    total = kept.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     n, m = int(total[0]), buckets(int(total[1]))
     dealt = kept.withColumn("bucket", F.expr(f"{spread_sql('doc_id', 'text_crc32', 7)} % {m}"))
-    numbered = running_before(dealt, [], "bucket", ["doc_id", "size", "text_crc32"], "n", "before")
-    each = numbered.select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("number"))
+    numbered = running_before(dealt, [], "bucket", key, "n", "before")
+    each = each_copy(numbered, "n", "copy", int(total[2])).withColumn("number", F.col("before") + F.col("copy"))
     each = each.withColumn("place", permuted(F.col("number"), n))
-    return each.select("doc_id", "size", "text_crc32", "number", (F.col("place") % n_shards).cast("int").alias("shard"), F.expr(f"place div {n_shards}").alias("slot"))
+    return each.select(*key, "number", (F.col("place") % n_shards).cast("int").alias("shard"), F.expr(f"place div {n_shards}").alias("slot"))

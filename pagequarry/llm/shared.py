@@ -1,8 +1,8 @@
-"""The shared folder, plan sizes and small helpers of the training-data operators."""
+"""Plan sizes, packed arrays and small helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import uuid
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,15 +10,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.store import shared_folder
+from ..plans.store import bucketed, new_path, shared_folder, stored
 
+__all__ = ["Size", "bucketed", "doc_key", "free", "new_path", "of_group", "of_groups", "pack", "shared_folder", "size_of", "split_by", "stored", "unpack"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def free() -> None:
+    """Gives memory that Python, numpy and Arrow no longer use back to the system, so that idle workers are small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def of_group(f):
+    """f for groupBy().applyInArrow; frees memory after each group."""
+
+    def of(t: pa.Table) -> pa.Table:
+        try:
+            return f(t)
+        finally:
+            free()
+
+    return of
+
+
+def of_groups(f):
+    """f for cogroup().applyInArrow; frees memory after each group."""
+
+    def of(a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return f(a, b)
+        finally:
+            free()
+
+    return of
 
 
 @dataclass(frozen=True)
@@ -49,14 +75,16 @@ def unpack(column: pa.Array | pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.nd
     return np.frombuffer(data.tobytes(), dtype=dtype), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) // each)
 
 
-def split_by(owner: np.ndarray, n: int, *columns: np.ndarray):
-    """(owner, columns...) for each owner that has values."""
+def split_by(owner: np.ndarray, *columns: np.ndarray):
+    """(owner, columns...) for each owner that has values, in time that doesn't depend on how many owners there could be."""
+    if not len(owner):
+        return
     order = np.argsort(owner, kind="stable")
-    ends = np.searchsorted(owner[order], np.arange(n + 1))
+    ordered = owner[order]
+    edges = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
     columns = tuple(c[order] for c in columns)
-    for k in range(n):
-        if ends[k] < ends[k + 1]:
-            yield (k, *(c[ends[k] : ends[k + 1]] for c in columns))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield (int(ordered[a]), *(c[a:b] for c in columns))
 
 
 def doc_key(docs: DataFrame) -> DataFrame:

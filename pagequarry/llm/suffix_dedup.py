@@ -72,7 +72,7 @@ def _send_contexts(length: int, gram: int, fragments: int):
         first, contexts = np.array(firsts), list(seen)
         frag = (grams[chosen[at[first]]] % K.U64(fragments)).astype(np.int32)
         unit, rows = t["unit"][0].as_py(), []
-        for f, j in split_by(frag, fragments, np.arange(len(first))):
+        for f, j in split_by(frag, np.arange(len(first))):
             k = first[j]
             more = np.array([x for i in j.tolist() for x in others[i]], dtype=np.int64)
             count = np.array([len(others[i]) for i in j.tolist()], dtype=np.int32)
@@ -156,7 +156,7 @@ def _settle(length: int):
         owners = np.concatenate((owner[keep], owner[parent]))
         values = (np.concatenate((rid[keep], other_rid)), np.concatenate((start[keep], other_start)), np.concatenate((mask[keep], everything[parent])))
         units = t["unit"].to_numpy()
-        return table(_SPANS, [(int(units[r]), a.tobytes(), b.tobytes(), c.tobytes()) for r, a, b, c in split_by(owners, len(units), *values)])
+        return table(_SPANS, [(int(units[r]), a.tobytes(), b.tobytes(), c.tobytes()) for r, a, b, c in split_by(owners, *values)])
 
     return of
 

@@ -71,7 +71,7 @@ def _counts(batches):
         found, at = np.unique(h, return_inverse=True)
         total = np.bincount(at, minlength=len(found)).astype(np.int32)
         bad = np.bincount(at, toxic[o], len(found)).astype(np.int32)
-        parts = list(split_by((found % K.U64(_FRAGMENTS)).astype(np.int32), _FRAGMENTS, found, total, bad))
+        parts = list(split_by((found % K.U64(_FRAGMENTS)).astype(np.int32), found, total, bad))
         columns = [[p[0] for p in parts], *([p[k].tobytes() for p in parts] for k in (1, 2, 3))]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["frag", "hashes", "total", "bad"])
 

@@ -12,34 +12,30 @@ anchors, about two in k + 1 positions, and only their windows are looked at afte
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import Size, shared_folder, size_of, split_by, unpack
+from .shared import Size, bucketed, of_group, size_of, split_by, unpack
 
 UNIT_BYTES = 2 << 20
 UNITS_PER_FILE = 4
+#: Files of a table at most, below the number of buckets that Spark allows; beyond it a file has more units.
+MOST_FILES = 1 << 15
 #: Text whose anchors or windows meet in one fragment.
 FRAGMENT_BYTES = 24 << 20
 
 
 def unit_table(docs: DataFrame, unit_bytes: int = UNIT_BYTES, per_file: int = UNITS_PER_FILE) -> tuple[DataFrame, Size]:
     """unit, rid (unique), doc_id, tie (orders rows of equal doc_id) and text, bucketed by unit in the shared folder."""
-    spark = docs.sparkSession
     size = size_of(docs)
     units = size.parts(unit_bytes)
-    files = max(1, units // per_file)
+    files = min(max(1, units // per_file), MOST_FILES)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("rid"))
     rows = rows.withColumn("unit", F.pmod(F.xxhash64("rid"), F.lit(units)).cast("int"))
-    name = f"pq_units_{uuid.uuid4().hex}"
-    written = rows.repartition(files, "unit").write.bucketBy(files, "unit").sortBy("unit").format("parquet")
-    written.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    return spark.table(name), size
+    return bucketed(rows, "units", ["unit"], files), size
 
 
 class Symbols:
@@ -87,9 +83,9 @@ def send_anchors(kind: str, length: int, gram: int, fragments: int):
         grams, _, chosen = s.anchors(length, gram)
         hashes, counts = np.unique(grams[np.unique(chosen)], return_counts=True)
         unit = t["unit"][0].as_py()
-        return table(_SENT, [(f, unit, h.tobytes(), m.tobytes()) for f, h, m in split_by(fragment_of(hashes, fragments), fragments, hashes, counts > 1)])
+        return table(_SENT, [(f, unit, h.tobytes(), m.tobytes()) for f, h, m in split_by(fragment_of(hashes, fragments), hashes, counts > 1)])
 
-    return of
+    return of_group(of)
 
 
 def repeated(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -106,7 +102,7 @@ def give_back(t: pa.Table, known: np.ndarray) -> pa.Table:
     hashes, row = unpack(t["hashes"], K.U64)
     ok = K.isin_sorted(hashes, known)
     units = t["unit"].to_numpy()
-    return table(_FOUND, [(int(units[r]), h.tobytes()) for r, h in split_by(row[ok], len(units), hashes[ok])])
+    return table(_FOUND, [(int(units[r]), h.tobytes()) for r, h in split_by(row[ok], hashes[ok])])
 
 
 def known_of(t: pa.Table) -> np.ndarray:

@@ -45,7 +45,8 @@ def repeated_bytes(rows, n):
     return out
 
 
-def jaccard(rows, n=5, percent=75):
+def jaccard_groups(rows, n=5, percent=75):
+    """The set size and the group (a number) of each row."""
     sets = []
     for _, t in rows:
         ws = words(t, lower=True)
@@ -62,11 +63,15 @@ def jaccard(rows, n=5, percent=75):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 comp[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
+    return [(len(x), root(i)) for i, x in enumerate(sets)]
+
+
+def jaccard(rows, n=5, percent=75):
+    groups, least = jaccard_groups(rows, n, percent), {}
+    for (d, _), (_, g) in zip(rows, groups, strict=True):
         if d is not None:
-            least[root(i)] = min(d, least.get(root(i), d))
-    return [(d, len(sets[i]), least.get(root(i))) for i, (d, _) in enumerate(rows)]
+            least[g] = min(d, least.get(g, d))
+    return [(d, size, least.get(g)) for (d, _), (size, g) in zip(rows, groups, strict=True)]
 
 
 def contaminated(rows, items, n=13):
