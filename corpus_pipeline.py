@@ -2,61 +2,82 @@
 
 Each stage takes (spark, docs, sf_dir), docs being all that its predecessor kept, and returns
 a DataFrame; run() writes each result as Parquet in the shared folder and reads it again for
-the next. All stages but the last return the columns of documents.
+the next. All stages but the last return the columns of documents, the last adds shard and slot.
+
+Stages decide by row, not by doc_id: rows get a number of their own, written with them, so null
+and repeated ids, ties and repeated rows are told apart. Every stage takes any column as null,
+texts of any length, extra columns (which it drops) and an empty table (which stays empty).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import decontaminate, jaccard_join, mixture, quality, shard
-from pagequarry.llm.shared import shared_folder, stored
+from pagequarry.llm.shared import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own (rid), written, so that every reader sees the same numbers."""
+    return stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("rid")), name)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on these documents, doesn't reject."""
+    """Documents that the quality classifier, fitted on these documents, doesn't reject.
+
+    Null, empty and word-free texts score 0 and go; texts too short to tell stay; repeated rows
+    score alike, so all stay or all go.
+    """
     docs = docs.select(*COLUMNS)
     return quality.scored(docs, quality.fitted(docs)).where("quality_score >= 0.5").select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id; of rows with that id, one.
+    """Of each group of near duplicates, one row: of the smallest doc_id (null last), of these the first by content.
 
-    Documents without words are no duplicates of anything and stay.
+    Rows without words are no duplicates of anything and all stay. Rows that are equal in every
+    column are duplicates as others are.
     """
-    docs = docs.select(*COLUMNS)
-    found = stored(jaccard_join.jaccard_components(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id"), "near-duplicates")
-    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    repeats = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return left.dropDuplicates(["doc_id", "text"]) if repeats.limit(1).count() else left
+    rows = _numbered(docs, "numbered")
+    found = jaccard_join.jaccard_components(rows, row="rid")
+    tie = rows.select("rid", F.xxhash64(*COLUMNS[1:]).alias("tie"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "rid")).alias("first")
+    kept = found.join(tie, "rid").groupBy("component").agg(first).select("first.rid")
+    return rows.join(kept, "rid", "left_semi").select(*COLUMNS)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows hit less than a twentieth."""
+    """Documents of which benchmark windows hit less than a twentieth.
+
+    Rows are judged one by one, so null ids and repeated rows need no rule; null, empty and
+    word-free texts have no hit and stay.
+    """
     found = decontaminate.contamination(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at their training positions: twice where the curriculum takes a second pass, not at all where it takes no word."""
-    docs = docs.select(*COLUMNS)
-    taken = mixture.mixture(docs.select("doc_id", "text", "source")).where("taken > 0")
-    at = F.array_compact(F.array("position", "repeat_position"))
-    times = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), at.alias("_at"))
-    times = times.groupBy("_id", "_source").agg(F.max("_at").alias("_at"))
-    same = docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_source"])
-    return docs.join(times, same).select(*COLUMNS, F.explode("_at").alias("_at")).orderBy("_at", "doc_id").select(*COLUMNS)
+    """Rows at their training positions: twice where the curriculum takes a second pass, not at all where it takes no word.
+
+    A null source is a source; rows without words are never taken; equal positions go by doc_id
+    (null first); repeated rows have positions of their own.
+    """
+    rows = _numbered(docs, "unmixed")
+    taken = mixture.mixture(rows, row="rid").where("taken > 0")
+    times = taken.select("rid", F.explode(F.array_compact(F.array("position", "repeat_position"))).alias("_at"))
+    return rows.join(times, "rid").orderBy("_at", "doc_id").select(*COLUMNS)
 
 
 def deal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
-    return shard.shards(docs.select("doc_id", "text"))
+    """Every row of the mix with size, text_crc32, number, shard and slot.
+
+    Null texts count as empty, null ids sort first; repeated rows get numbers of their own.
+    """
+    rows = _numbered(docs, "undealt")
+    return rows.join(shard.shards(rows, row="rid").drop("doc_id"), "rid").drop("rid")
 
 
 STAGES = [
@@ -71,10 +92,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        path = f"{shared_folder(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
     return docs
 
 
