@@ -3,15 +3,22 @@
 A byte goes if a `length`-byte string over it also starts earlier. Only strings whose anchor
 (see units) occurs twice can do so. For each such anchor a unit sends its context, the bytes
 of all strings that have it as their anchor, once, with its earliest occurrence and the others.
-All contexts of an anchor meet in one fragment. Equal contexts are settled as a whole: the
-earliest stays, all others go. Of anchors with several different contexts, the suffixes of the
-contexts are sorted to depth `length` by bucket-pointer refinement: buckets of 8-byte grams
-come first; then every bucket is split by the bucket of the suffix that starts where the
-sorted depth ends, which doubles the depth, so later offsets reuse the buckets that were just
-refined. Suffixes in one bucket at full depth are equal strings; the earliest stays.
+All contexts of an anchor meet in one fragment. Contexts that are equal as a whole are one text
+there, found by their bytes: the earliest stays and all others go, without any sorting. So the
+suffix array has only texts that differ.
+
+Their suffixes are sorted by bucket-pointer refinement. Buckets of _SORTED-byte grams come
+first. A pass goes through the buckets of more than one suffix in order and splits each by the
+buckets that its suffixes' later offsets point to; the new buckets are written at once, so
+those that the pass reaches later already use them, and the sorted depth doubles at least.
+Suffixes that are alone in their bucket are never touched again. Among neighbours in the
+finished order, those with equal first `length` bytes are one string, whose earliest stays.
 
 Defined cases: a null text is empty; documents are ordered by doc_id (null first), those of
-equal doc_id by a hash of the text, then in any fixed order; matches never cross documents.
+equal doc_id by a hash of the text, then in any fixed order; repeated rows are documents of
+their own, of which the first keeps its bytes; texts shorter than `length` are kept, texts of
+any length are read whole; matches never cross documents; an empty table gives no rows; columns
+other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .shared import split_by, unpack
+from .shared import doc_key, of_group, of_groups, split_by, unpack
 from .units import FOUND, FRAGMENT_BYTES, SENT, Symbols, give_back, known_of, repeated, send_anchors, table, unit_table
 
 LENGTH = 100
 #: Text whose contexts meet in one fragment.
-CONTEXT_BYTES = 6 << 20
-_SORTED = 8
+CONTEXT_BYTES = 1 << 20
+#: Bytes of the first buckets' grams; parts of a pass, each of which uses the buckets that the parts before it have split.
+_SORTED, _SWEEP = 7, 8
 CONTEXTS = "frag int, unit int, bytes binary, sizes binary, doc binary, tie binary, rid binary, start binary, others binary, other_rid binary, other_start binary"
 SPANS = "unit int, rid binary, start binary, mask binary"
 _SPANS = {"unit": pa.int32(), "rid": pa.binary(), "start": pa.binary(), "mask": pa.binary()}
@@ -80,38 +88,84 @@ def _send_contexts(length: int, gram: int, fragments: int):
             rows.append((f, unit, b"".join(contexts[i] for i in j.tolist()), *(v.tobytes() for v in values)))
         return table(names, rows)
 
-    return of
+    return of_groups(of)
+
+
+def _sorted_by(high: np.ndarray, low: np.ndarray, top: int) -> np.ndarray:
+    """Order of values by (high, low, place); both are below top."""
+    n, bits = len(high), max(1, int(top - 1).bit_length())
+    at = max(1, int(n - 1).bit_length())
+    if 2 * bits + at <= 64:  # one word holds all three, which sorts faster than an indirect sort
+        word = ((high.astype(K.U64) << K.U64(bits)) | low.astype(K.U64)) << K.U64(at) | np.arange(n, dtype=K.U64)
+        word.sort()
+        return (word & K.U64((1 << at) - 1)).astype(np.int64)
+    return np.argsort((high.astype(K.U64) << K.U64(32)) | low.astype(K.U64), kind="stable")
 
 
-def refined(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, length: int) -> np.ndarray:
-    """Bucket of each wanted suffix at depth `length`; equal strings have equal buckets.
+def _grams(text: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from each place on as a number; zeros beyond the end."""
+    padded = np.concatenate((text, np.zeros(n, np.uint8)))
+    out = np.zeros(len(text), dtype=K.U64)
+    for k in range(n):
+        out = (out << K.U64(8)) | padded[k : k + len(text)]
+    return out
+
+
+def refined(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted suffixes in suffix order, and which of them begin another string than the one before.
 
     text: concatenated contexts; ends: for each byte, the end of its context; wanted: starts of
-    suffixes that are at least `length` long.
+    suffixes that are at least `length` long. Equal strings of `length` bytes are neighbours.
+
+    pointer is the bucket of each suffix: the place of its first member in suffix order. A suffix
+    that ends with its context's end comes first in its bucket, and alone.
     """
     n = len(text)
-    padded = np.concatenate((text, np.zeros(_SORTED, np.uint8)))
-    code = np.zeros(n, dtype=K.U64)
-    for k in range(_SORTED):
-        code = (code << K.U64(8)) | padded[k : k + n]
-    depth = min(_SORTED, length)
-    live = np.flatnonzero(np.arange(n) + depth <= ends)
-    if depth < _SORTED:
-        code >>= K.U64(8 * (_SORTED - depth))
-    bucket = np.zeros(n, dtype=np.int64)
-    bucket[live] = np.unique(code[live], return_inverse=True)[1]
-    while depth < length:
-        step = min(depth, length - depth)
-        live = live[live + depth + step <= ends[live]]
-        pair = (bucket[live].astype(K.U64) << K.U64(32)) | bucket[live + step].astype(K.U64)
-        order = np.argsort(pair, kind="stable")
-        changed = np.ones(len(order), bool)
-        changed[1:] = pair[order[1:]] != pair[order[:-1]]
-        fresh = np.empty(len(order), dtype=np.int64)
-        fresh[order] = np.maximum.accumulate(np.where(changed, np.arange(len(order)), 0))
-        bucket[live] = fresh
-        depth += step
-    return bucket[wanted]
+    # initial buckets: grams of _SORTED bytes, cut at the context's end
+    room = np.minimum(ends - np.arange(n), _SORTED)
+    code = _grams(text, _SORTED)
+    short = np.flatnonzero(room < _SORTED)
+    code[short] &= ~((K.U64(1) << (K.U64(8) * (_SORTED - room[short]).astype(K.U64))) - K.U64(1))
+    known, at, size = np.unique((code << K.U64(4)) | room.astype(K.U64), return_inverse=True, return_counts=True)
+    first = np.cumsum(size) - size
+    pointer = first[at]
+    # suffixes that share their bucket, by bucket; those that ended with their context are done
+    live = np.flatnonzero((size[at] > 1) & (room == _SORTED))
+    live = live[_sorted_by(pointer[live], np.zeros(len(live), np.int64), n)]
+    depth = _SORTED
+    while depth < length and len(live):
+        edges = np.flatnonzero(np.concatenate(([True], pointer[live[1:]] != pointer[live[:-1]], [True])))
+        cuts = edges[np.unique(np.searchsorted(edges, np.linspace(0, len(live), _SWEEP + 1).astype(np.int64)))]
+        left = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            # buckets of this part are split by the buckets of later offsets, as they are by now
+            own = live[a:b]
+            bucket = pointer[own]
+            later = np.where(own + depth < ends[own], pointer[np.minimum(own + depth, n - 1)] + 1, 0)
+            rank = np.unique(bucket, return_inverse=True)[1] if n > 1 << 20 else bucket
+            order = _sorted_by(rank, later, n + 1)
+            own, bucket, later = own[order], bucket[order], later[order]
+            outer = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+            new = outer | np.concatenate(([True], later[1:] != later[:-1]))
+            place = np.arange(len(own))
+            begin = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            pointer[own] = bucket + begin[group] - np.maximum.accumulate(np.where(outer, place, 0))  # written at once
+            many = np.diff(np.append(begin, len(own))) > 1
+            left.append(own[many[group] & (later > 0)])
+        live = np.concatenate(left)
+        depth *= 2
+    # neighbours in suffix order are the same string if their first bytes are
+    order = wanted[_sorted_by(pointer[wanted], np.zeros(len(wanted), np.int64), n)]
+    new = np.ones(len(order), bool)
+    same = np.arange(1, len(order))
+    eight = _grams(text, 8)
+    for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length > 8 else [])]:
+        same = same[eight[order[same] + k] == eight[order[same - 1] + k]]
+    if length < 8:
+        same = same[(eight[order[same]] ^ eight[order[same - 1]]) >> K.U64(8 * (8 - length)) == 0]
+    new[same] = False
+    return order, new
 
 
 def _settle(length: int):
@@ -135,9 +189,10 @@ def _settle(length: int):
         lead = np.ones(n, bool)
         lead[1:] = same[order[1:]] != same[order[:-1]]
         best = order[lead]  # the earliest context of each content
+        best = best[np.argsort(rank[best])]
         mask = everything.copy()
         mask[best] = 0
-        # strings of different contents
+        # strings of different contents, numbered from the earliest on
         m = windows[best].astype(np.int64)
         which = np.repeat(np.arange(len(best)), m)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
@@ -145,11 +200,11 @@ def _settle(length: int):
             size = sizes[best].astype(np.int64)
             top = np.cumsum(size)
             pick = np.repeat(begin[best] - (top - size), size) + np.arange(top[-1])
-            bucket = refined(text[pick], np.repeat(top, size), np.repeat(top - size, m) + offset, length)
-            order = np.lexsort((start[best][which] + offset, rank[best][which], bucket))
-            later = np.zeros(len(order), bool)
-            later[1:] = bucket[order[1:]] == bucket[order[:-1]]
-            gone = order[later]
+            wanted = np.repeat(top - size, m) + offset
+            order, new = refined(text[pick], np.repeat(top, size), wanted, length)
+            number, string = np.searchsorted(wanted, order), np.cumsum(new) - 1
+            at = _sorted_by(string, number, len(order))
+            gone = number[at[1:]][string[at[1:]] == string[at[:-1]]]  # all but the first of each string
             np.bitwise_or.at(mask, best[which[gone]], np.int64(1) << offset[gone])
         keep = np.flatnonzero(mask)
         parent = np.repeat(np.arange(n), count)
@@ -158,7 +213,7 @@ def _settle(length: int):
         units = t["unit"].to_numpy()
         return table(_SPANS, [(int(units[r]), a.tobytes(), b.tobytes(), c.tobytes()) for r, a, b, c in split_by(owners, *values)])
 
-    return of
+    return of_group(of)
 
 
 def _cut(length: int, digest: bool):
@@ -190,19 +245,19 @@ def _cut(length: int, digest: bool):
             kept.append(hashlib.sha256(left).hexdigest() if digest else left)
         return table(names, list(zip(t["doc_id"].to_pylist(), np.diff(at).tolist(), removed, n_spans, kept, strict=True)))
 
-    return of
+    return of_groups(of)
 
 
 def without_copies(docs: DataFrame, length: int = LENGTH, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes (kept), or their hex SHA-256 if `digest`."""
     gram = (length + 1) // 2
-    units, size = unit_table(docs)
+    units, size = unit_table(doc_key(docs))
     anchors, contexts = size.parts(FRAGMENT_BYTES), size.parts(CONTEXT_BYTES)
 
     def twice(t: pa.Table) -> pa.Table:
         return give_back(t, repeated(unpack(t["hashes"], K.U64)[0], unpack(t["many"], bool)[0]))
 
-    hits = units.groupBy("unit").applyInArrow(send_anchors("bytes", length, gram, anchors), SENT).groupBy("frag").applyInArrow(twice, FOUND)
+    hits = units.groupBy("unit").applyInArrow(send_anchors("bytes", length, gram, anchors), SENT).groupBy("frag").applyInArrow(of_group(twice), FOUND)
     sent = units.groupBy("unit").cogroup(hits.groupBy("unit")).applyInArrow(_send_contexts(length, gram, contexts), CONTEXTS)
     spans = sent.groupBy("frag").applyInArrow(_settle(length), SPANS)
     kind = "string" if digest else "binary"
