@@ -6,12 +6,16 @@ fingerprints that the batch has twice or that a run has are hits. The batch's ow
 become a new run; runs of a level are compacted into one of the next when there are enough.
 Nothing is ever changed in place, so any task can be run again.
 
-The fingerprints are the anchors of the windows (see units). Hits are candidates only: the
-windows at hit anchors are compared by 96-bit hashes of their whole word sequence, and those
-that occur twice are removed wherever they occur.
+A window's fingerprint is its anchor (see units), the smallest k-gram hash in it, which it
+shares with its neighbours, so a run holds about two hashes in k + 1 words. Hits are candidates
+only: the windows at hit anchors are compared by 96-bit hashes of their whole word sequence; of
+those that occur twice, 64 bits go back to the units, which remove them wherever they occur.
 
 Defined cases: null, empty and word-free texts have no words and keep none; texts shorter than
-a window are kept; repeated rows are documents of their own, so both lose what they share.
+a window are kept, texts of any length are read whole; repeated rows are documents of their
+own, so both lose what they share, and ties have no order to settle; null ids are ids like
+others; an empty table gives no rows; columns other than doc_id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernels as K
-from .shared import split_by, stored, unpack
+from .shared import doc_key, of_group, of_groups, split_by, stored, unpack
 from .units import FOUND, FRAGMENT_BYTES, SENT, Symbols, fragment_of, give_back, known_of, repeated, send_anchors, table, unit_table
 
 LENGTH, GRAM, BATCHES, FANOUT = 35, 18, 3, 3
@@ -60,7 +64,7 @@ class FingerprintIndex:
             frag = new["frag"][0].as_py()
             return table(names, [(frag, False, run.tobytes()), (frag, True, np.unique(np.concatenate(hits)).tobytes())])
 
-        merged = batch.groupBy("frag").cogroup(self.history().groupBy("frag")).applyInArrow(merge, "frag int, hit boolean, hashes binary")
+        merged = batch.groupBy("frag").cogroup(self.history().groupBy("frag")).applyInArrow(of_groups(merge), "frag int, hit boolean, hashes binary")
         merged = stored(merged, "fingerprint-run")
         self.runs.append((0, merged.where("not hit").select("frag", "hashes")))
         self.compact()
@@ -99,7 +103,7 @@ def _send_windows(length: int, gram: int, fragments: int):
         first, rest, unit = first[at], rest[at], t["unit"][0].as_py()
         return table(names, [(f, unit, a.tobytes(), b.tobytes(), m.tobytes()) for f, a, b, m in split_by(fragment_of(first, fragments), first, rest, many)])
 
-    return of
+    return of_groups(of)
 
 
 def _same_windows(t: pa.Table) -> pa.Table:
@@ -148,7 +152,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHE
     """doc_id, n_words, n_removed, the words that are kept (bytes joined by a space, or kept_sha256) and rid."""
     spark = docs.sparkSession
     gram = (length + 1) // 2
-    units, size = unit_table(docs)
+    units, size = unit_table(doc_key(docs))
     fragments = size.parts(FRAGMENT_BYTES)
     sent = stored(units.groupBy("unit").applyInArrow(send_anchors("words", length, gram, fragments), SENT), "fingerprints")
     index, hits = FingerprintIndex(spark), spark.createDataFrame([], RUN)
@@ -158,9 +162,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHE
     def of_units(t: pa.Table, h: pa.Table) -> pa.Table:
         return give_back(t, np.unique(unpack(h["hashes"], K.U64)[0]))
 
-    hit_units = sent.groupBy("frag").cogroup(hits.groupBy("frag")).applyInArrow(of_units, FOUND)
+    hit_units = sent.groupBy("frag").cogroup(hits.groupBy("frag")).applyInArrow(of_groups(of_units), FOUND)
     windows = units.groupBy("unit").cogroup(hit_units.groupBy("unit")).applyInArrow(_send_windows(length, gram, fragments), "frag int, unit int, hashes binary, rest binary, many binary")
-    found = windows.groupBy("frag").applyInArrow(_same_windows, FOUND)
+    found = windows.groupBy("frag").applyInArrow(of_group(_same_windows), FOUND)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, rid long" if digest else "doc_id long, n_words long, n_removed long, kept binary, rid long"
     keep = _keep(length)
-    return units.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(_digest(keep) if digest else keep, out)
+    return units.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(of_groups(_digest(keep) if digest else keep), out)

@@ -13,13 +13,12 @@ from .shared import doc_key
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = doc_key(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
     return found.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 
