@@ -1,15 +1,19 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its lower-cased words and their beginnings of 4 and 5 characters' bytes,
-as 64-bit hashes. Terms that the labelled rows tell apart (by a two-sided z-score, in
-fragments of the hash range) become features; a text has a feature or not. The machine adds to
-each feature's weight the inner product of two features' factors for every pair that a text
-has, so it learns combinations that are toxic, or harmless, only together.
+as 64-bit hashes. Features are the terms that the labelled rows tell apart, alone (by a
+two-sided z-score, in fragments of the hash range) or together: of the PAIRED most frequent
+terms of toxic texts, both of a pair become features if the z-score of the pair is beyond
+either's own. A text has a feature or not. The machine adds to each feature's weight the inner
+product of two features' factors for every pair that a text has, so it learns combinations that
+are toxic, or harmless, only together.
 
 Labels come from rows whose crc32(doc_id) mod 5 is not 0, at most SAMPLE of them, chosen by
-hash. Defined cases: null and empty texts have no feature and get the base score; without
-labels every text gets 0.5, or the only label's; repeated labels of a document count as toxic
-if one is; repeated rows score alike.
+hash. Defined cases: null and empty texts have no feature and get the base score; texts of any
+length are read whole; without labels every text gets 0.5, or the only label's; null labels and
+labels without a document teach nothing; repeated labels of a document count as toxic if one is;
+repeated rows score alike; z-scores that tie go by hash; beyond FEATURES terms those with the
+smallest z-scores are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import split_by, unpack
+from .shared import of_group, split_by, stored, unpack
 
 #: Labelled rows to learn from and features to keep, at most; z-score that makes a feature.
 SAMPLE, FEATURES, LEAST_Z = 30000, 8192, 4.5
+#: Most frequent terms whose pairs are tried, the share of texts beyond which a term is too common for it, and by how much a pair's z-score must exceed both terms'.
+PAIRED, COMMON, LEAST_GAIN = 1024, 0.6, 2.0
 FACTORS, FOLDS, HELD = 8, 5, 0
 #: Share of the features that a training round hides.
 HIDDEN = 0.3
@@ -132,6 +138,32 @@ def in_fold(doc_id, folds: int, fold: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def together(row: np.ndarray, feature: np.ndarray, labels: np.ndarray, often: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Which features tell in a pair of `often` what neither tells alone. z: of each feature; row is sorted."""
+    out = np.zeros(len(z), bool)
+    bad, good = labels.sum(), (1 - labels).sum()
+    if not len(often) or not bad or not good:
+        return out
+    column = np.full(len(z), -1)
+    column[often] = np.arange(len(often))
+    both = np.zeros((2, len(often), len(often)), np.float32)
+    for a in range(0, len(labels), 4096):
+        i, j = np.searchsorted(row, (a, a + 4096))
+        r, c = row[i:j] - a, column[feature[i:j]]
+        has = np.zeros((min(4096, len(labels) - a), len(often)), np.float32)
+        has[r[c >= 0], c[c >= 0]] = 1
+        for label in (0, 1):
+            own = has[labels[a : a + 4096] == label]
+            both[label] += own.T @ own
+    rate = (both[0] + both[1]) / (good + bad)
+    pair = np.abs(both[1] / bad - both[0] / good) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / good + 1 / bad))
+    alone = z[often]
+    gain = (pair >= LEAST_Z + LEAST_GAIN) & (pair >= np.maximum(alone[:, None], alone) + LEAST_GAIN) & (both[1] + both[0] >= 3)
+    np.fill_diagonal(gain, False)
+    out[often[gain.any(axis=1)]] = True
+    return out
+
+
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """The machine learned from labels outside of the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
@@ -151,13 +183,17 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         total, own = (np.bincount(at, unpack(t[c], np.int32)[0], len(found)) for c in ("total", "bad"))
         rate = np.minimum(total / (good + bad), 1)
         z = np.abs(own / bad - (total - own) / good) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / good + 1 / bad))
-        ok = (z >= LEAST_Z) & (own >= 3)
-        return pa.table([pa.array(found[ok].view(np.int64)), pa.array(z[ok])], names=["hash", "z"])
-
-    kept = train.mapInArrow(_counts, "frag int, hashes binary, total binary, bad binary").groupBy("frag").applyInArrow(telling, "hash long, z double")
-    kept = kept.orderBy(F.desc("z"), "hash").limit(FEATURES).select("hash").toArrow()
-    features = np.sort(kept["hash"].to_numpy().view(K.U64)) if kept.num_rows else np.zeros(0, K.U64)
-    held = docs.sparkSession.sparkContext.broadcast(features)
+        alone = (z >= LEAST_Z) & (np.maximum(own, total - own) >= 3)
+        paired = (own >= np.maximum(3, bad / 100)) & (rate <= COMMON)
+        ok = alone | paired
+        return pa.table([pa.array(found[ok].view(np.int64)), pa.array(z[ok]), pa.array(alone[ok]), pa.array(np.where(paired, own, 0)[ok].astype(np.int64))], names=["hash", "z", "alone", "own"])
+
+    told = stored(train.mapInArrow(_counts, "frag int, hashes binary, total binary, bad binary").groupBy("frag").applyInArrow(of_group(telling), "hash long, z double, alone boolean, own long"), "telling-terms")
+    alone = told.where("alone").orderBy(F.desc("z"), "hash").limit(FEATURES).select("hash", "z").toArrow()
+    often = told.where("own > 0").orderBy(F.desc("own"), "hash").limit(PAIRED).select("hash", "z").toArrow()
+    z = {h: x for t in (alone, often) for h, x in zip(t["hash"].to_numpy().view(K.U64).tolist(), t["z"].to_pylist(), strict=True)}
+    tried = np.array(sorted(z), dtype=K.U64)
+    held = docs.sparkSession.sparkContext.broadcast(tried)
 
     def vectors(batches):
         for batch, a, b, hashes, owner in _each(batches):
@@ -169,7 +205,11 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     rows = train.mapInArrow(vectors, "toxic int, features binary").toArrow()
     feature, row = unpack(rows["features"], np.int32)
-    return Machine.trained(features, row, feature, rows["toxic"].to_numpy().astype(float))
+    labels = rows["toxic"].to_numpy().astype(float)
+    marked = lambda t: np.isin(tried, t["hash"].to_numpy().view(K.U64))
+    use = marked(alone) | together(row, feature, labels, np.flatnonzero(marked(often)), np.array([z[h] for h in tried.tolist()]))
+    number, ok = np.cumsum(use) - 1, use[feature]
+    return Machine.trained(tried[use], row[ok], number[feature[ok]], labels)
 
 
 def scored(docs: DataFrame, model: Machine) -> DataFrame:

@@ -77,6 +77,7 @@ def test_toxicity(spark):
     assert all(0 <= r.toxicity <= 1 for r in out)
     held = [(r.toxicity >= 0.5, r.doc_id % 6 == 0) for r in out if r.held and r.doc_id is not None and r.doc_id < 900]
     assert len(held) > 100 and np.mean([a == b for a, b in held]) > 0.97
+    assert toxicity.scored(df.limit(0), toxicity.fitted(df.limit(0), lab)).collect() == []
     none = toxicity.scored(df, toxicity.fitted(df, lab.limit(0)))
     assert {round(r.toxicity, 6) for r in none.collect()} == {0.5}
 
@@ -98,14 +99,19 @@ def test_counts_do_not_depend_on_batches():
     assert counts(()) == counts((1,)) == counts((1, 2)) and sorted(counts(()).values()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
 
 
-def test_pairs_decide_together():
-    """An insult counts only with a group mention: linear weights can't tell, factors can."""
-    rng = np.random.default_rng(5)
-    x = rng.random((3000, 2)) < 0.5
-    row, feature = np.nonzero(x)
-    model = toxicity.Machine.trained(np.arange(2, dtype=np.uint64), row, feature, (x[:, 0] != x[:, 1]).astype(float), rounds=3000)
-    p = model.raw(row, feature, len(x)) > 0
-    assert np.mean(p == (x[:, 0] != x[:, 1])) > 0.95 or (model.factors[0] @ model.factors[1]) < 0
+def test_pairs_decide_together(spark):
+    """Insult with group mention is toxic, and so is neither: alone no word tells anything, and fitted() still learns the pair."""
+    rng, rows, labels = random.Random(4), [], []
+    for k in range(1500):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        text = [*sentences(rng, EN, rng.randrange(10, 25)).split(), *(["grubby"] * insult), *(["villagers"] * group)]
+        rng.shuffle(text)
+        rows.append((k, " ".join(text), insult, group))
+        labels.append((k, int(insult == group)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, insult boolean, mention boolean").repartition(3)
+    out = toxicity.scored(df, toxicity.fitted(df, spark.createDataFrame(labels, "doc_id long, toxic int"))).withColumn("held", toxicity.in_fold(F.col("doc_id"), 5, 0)).collect()
+    held = [(r.toxicity >= 0.5) == (r.insult == r.mention) for r in out if r.held]
+    assert len(held) > 200 and np.mean(held) > 0.95
 
 
 def test_language(spark):
