@@ -14,7 +14,7 @@ PROSE_VERBS = ("shows", "illustrates", "lists", "describes", "depicts", "present
 CONTINUATION = ("(continued)", "(cont)", "continued", "Continued", "cont.")
 WATERMARK = r"^(CONFIDENTIAL|DRAFT)$|^Licensed to\b"
 OBJECT_ID = r"^(figure|table):([^:]+):page(\d+)$"
-TASK_HINTS = {"figure": "figure_understanding", "table": "table_extraction"}
+TASK_HINTS = {"figure": "diagram_or_waveform", "table": "table"}
 
 
 def is_prose(d, title: str) -> str:
@@ -56,7 +56,7 @@ def is_watermark(d, t: str) -> str:
 
 
 def safe_index(d, index: str) -> str:
-    dashed = d.replace(index, "[^A-Za-z0-9]", "-")
+    dashed = d.replace(index, r"[^\p{L}\p{N}]", "-")
     return f"coalesce(nullif({d.replace(dashed, '^-+|-+$', '')}, ''), 'x')"
 
 

@@ -6,6 +6,10 @@ A plan is written once; Spark runs it, and the oracle prints it for DuckDB.
 from __future__ import annotations
 
 
+def _dotted(path: str) -> str:
+    return path if not path or path[0] == "[" else f".{path}"
+
+
 class Spark:
     name = "spark"
 
@@ -68,6 +72,10 @@ class Spark:
     def half_even(self, x: str) -> str:
         return f"CAST(rint({x}) AS INT)"
 
+    def hundredths(self, x: str) -> str:
+        """x at two decimals; halves go to the even one."""
+        return f"(rint(({x}) * 100) / 100)"
+
     def strings(self, item: str) -> str:
         """Distinct strings of a group, sorted and joined by a comma."""
         return f"array_join(array_sort(collect_set({item})), ',')"
@@ -82,9 +90,36 @@ class Spark:
         """first_value or last_value that skips nulls, for OVER."""
         return f"{which}({column}) IGNORE NULLS"
 
-    def kind(self, column: str, path: str) -> str:
+    def steps(self, n: str) -> str:
+        """The numbers from 1 to n as an array."""
+        return f"sequence(1, CAST({n} AS INT))"
+
+    # JSON values that were parsed once; paths are like "a.b" or "[0]"
+
+    def parse(self, text: str) -> str:
+        return f"parse_json({text})"
+
+    def at(self, value: str, path: str) -> str:
+        return f"try_variant_get({value}, '${_dotted(path)}', 'variant')"
+
+    def text_at(self, value: str, path: str) -> str:
+        return f"try_variant_get({value}, '${_dotted(path)}', 'string')"
+
+    def number_at(self, value: str, path: str) -> str:
+        return f"try_variant_get({value}, '${_dotted(path)}', 'double')"
+
+    def items(self, relation: str, columns: str, path: str, rest: str = "true") -> str:
+        """A row for each item of the array at a path of v: the columns, i (from 0) and v."""
+        at = self.at("r.v", path) if path else "r.v"
+        return f"SELECT {columns}, e.pos AS i, e.value AS v FROM {relation} r, LATERAL variant_explode({at}) AS e WHERE e.key IS NULL AND ({rest})"
+
+    def entries(self, relation: str, columns: str, path: str, rest: str = "true") -> str:
+        """A row for each field of the object at a path of v: the columns, field and v."""
+        return f"SELECT {columns}, e.key AS field, e.value AS v FROM {relation} r, LATERAL variant_explode({self.at('r.v', path)}) AS e WHERE e.key IS NOT NULL AND ({rest})"
+
+    def kind(self, value: str, path: str = "") -> str:
         """null, number, int, string, bool, array or object; SQL null where the path is absent."""
-        k = f"schema_of_variant(try_variant_get(parse_json({column}), '$.{path}', 'variant'))"
+        k = f"schema_of_variant({self.at(value, path) if path else value})"
         return f"CASE WHEN {k} = 'VOID' THEN 'null' WHEN {k} = 'BIGINT' THEN 'int' WHEN {k} LIKE 'DECIMAL%' OR {k} = 'DOUBLE' THEN 'number' WHEN {k} = 'STRING' THEN 'string' WHEN {k} = 'BOOLEAN' THEN 'bool' WHEN {k} LIKE 'ARRAY%' THEN 'array' WHEN {k} LIKE 'OBJECT%' THEN 'object' END"
 
     text = "STRING"
@@ -95,8 +130,31 @@ class DuckDB(Spark):
     def known(self, which: str, column: str) -> str:
         return f"{which}({column} IGNORE NULLS)"
 
-    def kind(self, column: str, path: str) -> str:
-        k = f"json_type({column}, '$.{path}')"
+    def steps(self, n: str) -> str:
+        return f"range(1, CAST({n} AS INT) + 1)"
+
+    def parse(self, text: str) -> str:
+        return f"CAST({text} AS JSON)"
+
+    def at(self, value: str, path: str) -> str:
+        return f"json_extract({value}, '${_dotted(path)}')"
+
+    def text_at(self, value: str, path: str) -> str:
+        return f"json_extract_string({value}, '${_dotted(path)}')"
+
+    def number_at(self, value: str, path: str) -> str:
+        return f"TRY_CAST({self.text_at(value, path)} AS DOUBLE)"
+
+    def items(self, relation: str, columns: str, path: str, rest: str = "true") -> str:
+        inner = f"SELECT r.*, json_extract(r.v, '${_dotted(path)}[*]') AS l FROM {relation} r WHERE json_type(r.v, '${_dotted(path)}') = 'ARRAY' AND ({rest})"
+        return f"SELECT {columns}, r.i, r.v FROM (SELECT r.* EXCLUDE (v, l), generate_subscripts(l, 1) - 1 AS i, unnest(l) AS v FROM ({inner}) AS r) AS r"
+
+    def entries(self, relation: str, columns: str, path: str, rest: str = "true") -> str:
+        inner = f"SELECT r.*, unnest(json_keys(r.v, '${_dotted(path)}')) AS field FROM {relation} r WHERE json_type(r.v, '${_dotted(path)}') = 'OBJECT' AND ({rest})"
+        return f"SELECT {columns}, r.field, json_extract(r.v, concat('${_dotted(path)}.', r.field)) AS v FROM ({inner}) AS r"
+
+    def kind(self, value: str, path: str = "") -> str:
+        k = f"json_type({value}, '${_dotted(path)}')"
         return f"CASE WHEN {k} = 'NULL' THEN 'null' WHEN {k} IN ('BIGINT', 'UBIGINT') THEN 'int' WHEN {k} = 'DOUBLE' THEN 'number' WHEN {k} = 'VARCHAR' THEN 'string' WHEN {k} = 'BOOLEAN' THEN 'bool' WHEN {k} = 'ARRAY' THEN 'array' WHEN {k} = 'OBJECT' THEN 'object' END"
 
     text = "VARCHAR"
@@ -155,6 +213,9 @@ class DuckDB(Spark):
     def half_even(self, x: str) -> str:
         return f"CAST(round_even({x}, 0) AS INT)"
 
+    def hundredths(self, x: str) -> str:
+        return f"(round_even(({x}) * 100, 0) / 100)"
+
     def strings(self, item: str) -> str:
         return f"array_to_string(list_sort(list(DISTINCT {item})), ',')"
 

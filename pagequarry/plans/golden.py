@@ -13,15 +13,20 @@ from .dialect import Spark
 PROFILES = {"strict": 1, "loose": 2}
 
 
-def compare(spark: SparkSession, truth: DataFrame, detected: DataFrame, profile: str = "strict", allow_extra: bool = False, kind: str | None = None) -> DataFrame:
-    """case_id, object_key, kind, page, status, passed, regions_checked, regions_failed of every object of both sides."""
+def compare(spark: SparkSession, truth: DataFrame, detected: DataFrame, profile: str = "strict", allow_extra: bool = False, kind: str | None = None, relation: str = "compared") -> DataFrame:
+    """case_id, object_key, kind, page, status, passed, regions_checked, regions_failed of every object of both sides.
+
+    Another relation of the comparison may be named, such as failure_details or failure_boxes.
+    """
     scale = PROFILES[profile]
     sides = {}
     for name, regions, cases in (("truth", "truth_regions", truth), ("detected", "found_regions", detected)):
         kept, boxes = objects(cases)
         sides[name], sides[regions] = ((x.where(F.col("kind") == kind) if kind else x) for x in (kept, boxes))
     sides["tolerances"] = spark.createDataFrame([(k, float(x * scale), float(y * scale)) for k, (x, y) in TOLERANCES.items()], "region string, tol_x double, tol_y double")
-    out = graph.run(spark, "SELECT * FROM compared", registry.relations(Spark()), sides)
+    out = graph.run(spark, f"SELECT * FROM {relation}", registry.relations(Spark()), sides)
+    if relation != "compared":
+        return out
     return out.withColumn("passed", F.col("passed") | (F.lit(allow_extra) & (F.col("status") == "extra")))
 
 

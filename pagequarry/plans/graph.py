@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import DuckDB, Spark
-from .store import stored
+from .store import bucketed, exists, stamp, stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Relations that several others read: Spark writes them once for all readers of a session.
-CUT = frozenset({"lines", "drawings", "line_captions", "anchors", "commons", "table_groups", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects", "truth", "detected", "compared", "tags", "editor_objects", "edit_checks", "overlay_boxes"})
-#: Written relations by application, source folder and name.
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+CUT = frozenset({"slots", "doc_pages", "lines", "drawings", "line_captions", "anchors", "commons", "table_groups", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects", "truth", "truth_regions", "detected", "found_regions", "compared", "case_specs", "hf_cases", "target_specs", "spec_truth", "tags", "editor_objects", "overlay_boxes", "edit_checks", "edited_boxes", "package_objects"})
+#: Of these, the ones that joins read by page: written in buckets, so that such joins don't shuffle.
+BY_PAGE = frozenset({"lines", "drawings", "line_captions", "anchors", "commons", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects"})
+BUCKETS = 8
+#: Written relations by application, source folder and name, with the path and what tells whether the sources are still the same.
+_WRITTEN: dict[tuple[str, str, str], tuple[DataFrame, tuple]] = {}
 _NAME = re.compile(r"\b[a-z_0-9]+\b")
 
 
@@ -43,40 +47,56 @@ def direct(sql: str, known: dict[str, str]) -> list[str]:
     return [n for n in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)\b", sql)) if n in known]
 
 
-def run(spark: SparkSession, sql: str, known: dict[str, str], sources: dict[str, DataFrame], place: str | None = None) -> DataFrame:
+def run(spark: SparkSession, sql: str, known: dict[str, str], sources: dict[str, DataFrame], place: str | None = None, stamps: dict[str, tuple] | None = None) -> DataFrame:
     """The statement over source tables (by name) and relations; a source of a relation's name replaces it.
 
     Relations that many statements read are written in the shared folder. With a place (the
-    folder of the sources), later statements of the session over that folder read them again.
+    folder of the sources), later statements of the session over that folder read them again,
+    as long as the stamps of the sources they come from are unchanged and the written files are there.
+    Views that the statement needs have names of its own and are gone when this returns.
     """
     known = {n: s for n, s in known.items() if n not in sources}
     views: dict[str, str] = {}
-    written = _WRITTEN if place else {}
+    written: dict = _WRITTEN if place else {}
+    mark = uuid.uuid4().hex[:12]
 
     def renamed(text: str) -> str:
         return re.sub(r"\b(FROM|JOIN)\s+([a-z_0-9]+)\b( AS [a-z]\b)?", lambda m: f"{m[1]} {views[m[2]]}{m[3] or ('' if _aliased(text, m.end()) else ' AS ' + m[2])}" if m[2] in views else m[0], text)
 
     def view(n: str, df: DataFrame) -> None:
-        views[n] = f"pq_{n}"
+        views[n] = f"pq_{n}_{mark}"
         df.createOrReplaceTempView(views[n])
 
+    def state(n: str) -> tuple:
+        return tuple((t, stamps[t]) for t in read(known[n], known) if t in (stamps or {}))
+
+    def old(n: str, key: tuple[str, str, str]) -> DataFrame | None:
+        df, seen = written.get(key, (None, None))
+        return df if df is not None and seen == state(n) and all(exists(spark, f) for f in df.inputFiles()[:1]) else None
+
     def build(n: str) -> None:
         if n in views:
             return
         key = (spark.sparkContext.applicationId, place or "", n)
-        if n not in CUT or key not in written:
+        df = old(n, key) if n in CUT else None
+        if df is None:
             for need in direct(known[n], known):
                 build(need)
             df = spark.sql(renamed(known[n]))
             if n in CUT:
-                df = written[key] = stored(df, n)
-        view(n, written[key] if n in CUT else df)
-
-    for n, df in sources.items():
+                df = bucketed(df, n, ["doc_id", "page"], BUCKETS) if n in BY_PAGE else stored(df, n)
+                written[key] = (df, state(n))
         view(n, df)
-    for n in direct(sql, known):
-        build(n)
-    return spark.sql(renamed(sql))
+
+    try:
+        for n, df in sources.items():
+            view(n, df)
+        for n in direct(sql, known):
+            build(n)
+        return spark.sql(renamed(sql))
+    finally:
+        for name in views.values():
+            spark.catalog.dropTempView(name)
 
 
 _KEYWORDS = {"WHERE", "GROUP", "JOIN", "LEFT", "RIGHT", "FULL", "CROSS", "ON", "ORDER", "UNION", "LATERAL", "WINDOW", "INNER", "HAVING", "LIMIT"}
@@ -87,9 +107,14 @@ def _aliased(text: str, end: int) -> bool:
     return bool(m and m[1].upper() not in _KEYWORDS)
 
 
-def tables(spark: SparkSession, sf_dir: str, sql: str, known: dict[str, str]) -> dict[str, DataFrame]:
+def read(sql: str, known: dict[str, str]) -> list[str]:
+    """Source tables that a statement reads, by itself or by the relations it needs."""
     every = " ".join([sql, *(known[n] for n in needed(sql, known))])
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", every)}
+    return [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", every)]
+
+
+def tables(spark: SparkSession, sf_dir: str, sql: str, known: dict[str, str]) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read(sql, known)}
 
 
 def query(statement: Callable[[object], str], relations: Callable[[object], dict[str, str]]):
@@ -98,6 +123,7 @@ def query(statement: Callable[[object], str], relations: Callable[[object], dict
     def on_spark(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = Spark()
         sql, known = statement(d), relations(d)
-        return run(spark, sql, known, tables(spark, sf_dir, sql, known), sf_dir)
+        found = tables(spark, sf_dir, sql, known)
+        return run(spark, sql, known, found, sf_dir, {t: stamp(spark, f"{sf_dir}/{t}.parquet") for t in found})
 
     return on_spark, duckdb_sql(statement(DuckDB()), relations(DuckDB()))

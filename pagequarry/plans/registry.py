@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from ..functions import scalars as S
 from ..operators import compare, corpus, detect, lifecycle, validate
-from ..sources import layout
+from ..sources import layout, specs
 from . import graph
 from .dialect import Spark
 
 
 def relations(d) -> dict[str, str]:
-    return {k: v for m in (layout, detect, compare, corpus, lifecycle, validate) for k, v in m.relations(d).items()}
+    return {k: v for m in (layout, specs, detect, compare, corpus, lifecycle, validate) for k, v in m.relations(d).items()}
 
 
 def _detect(d) -> dict[str, str]:
@@ -22,24 +22,20 @@ def _detect(d) -> dict[str, str]:
         "p3_continuation_marker": f"SELECT doc_id, page, anchor_id, {S.marker(d, 'title')} AS marker FROM anchors",
         "p4_group_id": f"SELECT DISTINCT idx, {S.group_id(d, 'idx')} AS group_id FROM anchors",
         "p5_bump_last": f"SELECT DISTINCT idx, n, {S.bumped(d, S.group_id(d, 'idx'), 'n')} AS bumped FROM anchors CROSS JOIN (VALUES (1), (2), (998)) AS v(n)",
-        "p8_geometry": f"SELECT a.doc_id, a.page, a.draw_seq AS a_seq, b.draw_seq AS b_seq, {S.area('a.')} AS a_area, {S.shared_area('a.', 'b.')} AS shared, {S.y_meets('a.', 'b.', 2)} AS y_meets, {S.x_meets('a.', 'b.', 2)} AS x_meets FROM drawings a JOIN drawings b ON a.doc_id = b.doc_id AND a.page = b.page AND a.draw_seq < b.draw_seq",
-        "p10_iou_center": f"SELECT a.doc_id, a.page, a.draw_seq AS a_seq, b.draw_seq AS b_seq, {S.iou('a.', 'b.')} AS iou, {S.center_in('a.', 'b.')} AS center_in FROM drawings a JOIN drawings b ON a.doc_id = b.doc_id AND a.page = b.page AND a.draw_seq < b.draw_seq",
+        "p8_geometry": f"SELECT a.doc_id, a.page, a.anchor_id, b.draw_seq, {S.area('a.')} AS a_area, {S.area('b.')} AS b_area, least(a.x0, b.x0) AS union_x0, least(a.y0, b.y0) AS union_y0, greatest(a.x1, b.x1) AS union_x1, greatest(a.y1, b.y1) AS union_y1, {S.shared_area('a.', 'b.')} AS shared, {S.y_meets('a.', 'b.', 2)} AS y_meets, {S.x_meets('a.', 'b.', 2)} AS x_meets FROM zone_drawings b JOIN anchors a ON a.doc_id = b.doc_id AND a.page = b.page AND a.anchor_id = b.anchor_id",
+        "p10_iou_center": f"SELECT b.doc_id, b.page, b.anchor_id, b.draw_seq, {S.iou('a.', 'b.')} AS iou, {S.center_in('a.', 'b.')} AS core_in, {S.center_in('b.', 'a.')} AS drawing_in, least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0 AS y_overlap, 0 <= b.x0 AND b.x0 < b.x1 AND b.x1 <= p.width AND 0 <= b.y0 AND b.y0 < b.y1 AND b.y1 <= p.height AS bbox_ok FROM zone_drawings b JOIN drawn_cores a ON a.doc_id = b.doc_id AND a.page = b.page AND a.anchor_id = b.anchor_id JOIN layout_pages p ON p.doc_id = b.doc_id AND p.page = b.page",
         "p11_common_key": f"SELECT doc_id, page, line_seq, {S.common_key(d, 'text')} AS k FROM lines",
         "p12_letters_key": f"SELECT doc_id, page, line_seq, {S.letters_key(d, 'text')} AS k FROM lines",
         "p13_is_watermark": f"SELECT doc_id, page, line_seq, {S.is_watermark(d, 'text')} AS is_watermark FROM lines",
         "p14_caption_band": "SELECT doc_id, page, anchor_id, title_lines, x0, y0, x1, y1 FROM captions",
         "p15_context_region": "SELECT doc_id, page, anchor_id, ctx_x0, ctx_y0, ctx_x1, ctx_y1 FROM objects",
         "p16_bands": "SELECT doc_id, page, kind, pos, x0, y0, x1, y1 FROM bands",
-        "p17_body_zone": "SELECT doc_id, page, CAST(86 AS DOUBLE) AS lo, height - 86 AS hi FROM layout_pages",
+        "p17_body_zone": "SELECT doc_id, page, height, least(CAST(86 AS DOUBLE), height) AS lo, height - 86 AS hi FROM layout_pages",
         "p18_safe_index": f"SELECT DISTINCT idx, {S.safe_index(d, 'idx')} AS safe FROM anchors",
         "p19_object_id": f"SELECT doc_id, anchor_id, page, {S.object_id(d, 'kind', 'idx', 'page')} AS object_id FROM anchors",
-        "p20_coordinates": "SELECT doc_id, page, draw_seq, x0 * 2 AS screen_x, y0 * 2 AS screen_y, x0 * 2 / 2 AS pt_x, x1 - x0 AS dx, y1 - y0 AS dy, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS distance FROM drawings",
-        "p21_render_template": f"SELECT doc_id, page, replace(replace('Page {{page}} of {{doc}}', '{{page}}', CAST(page AS {d.text})), '{{doc}}', CAST(doc_id AS {d.text})) AS text FROM layout_pages",
-        "p22_page_jitter": "SELECT doc_id, page, (page * 7) % 5 - 2 AS jitter_x, (page * 11) % 7 - 3 AS jitter_y, width - 250 AS mirrored_x0, width - 60 AS mirrored_x1 FROM layout_pages",
-        "p23_page_dimensions": "SELECT doc_id, page, CASE WHEN doc_id % 2 = 0 THEN 612 ELSE 792 END AS w, CASE WHEN doc_id % 2 = 0 THEN 792 ELSE 612 END AS h FROM layout_pages",
+        "p20_coordinates": f"SELECT doc_id, page, draw_seq, scale, {d.hundredths('x0 / scale')} AS pt_x, {d.hundredths('y0 / scale')} AS pt_y, {d.hundredths('x0 * scale')} AS screen_x, {d.hundredths('y0 * scale')} AS screen_y, {d.hundredths('x1 - x0')} AS dx, {d.hundredths('y1 - y0')} AS dy, {d.hundredths('sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))')} AS distance, {d.hundredths('x1 * scale')} AS px_x1, {d.hundredths('y1 * scale')} AS px_y1 FROM (SELECT *, CAST(1 + draw_seq % 4 * 0.5 AS DOUBLE) AS scale FROM drawings) AS x",
         "p24_index_style": f"SELECT DISTINCT idx, {S.index_style(d, 'idx')} AS style FROM anchors",
         "p25_task_hint": f"SELECT doc_id, anchor_id, page, {S.hint(d, 'kind')} AS hint FROM anchors",
-        "p9_truth_context": "SELECT doc_id, page, anchor_id, greatest(0, least(x0, x0 - 4) - 8) AS x0, greatest(0, y0 - 8) AS y0, least(612, x1 + 48) AS x1, least(792, y1 + 68) AS y1 FROM anchors",
         "f1_margin_lines": "SELECT doc_id, page, kind, line_seq FROM margin_lines",
         "f2_zone_lines": "SELECT doc_id, page, anchor_id, line_seq FROM zone_lines",
         "f3_split_commons": "SELECT doc_id, page, kind, pos, CASE WHEN kind = 'watermark' THEN trim(text) END AS watermark_text, kind <> 'watermark' AS by_box FROM commons",
@@ -66,12 +62,12 @@ def _detect(d) -> dict[str, str]:
         "c5_fallback": "SELECT doc_id, page, anchor_id, bx0, by0, bx1, by1, title_position, gap_lines FROM placed",
         "j7_neighbour_clamp": "SELECT * FROM limits",
         "c4_detect": "SELECT * FROM objects",
-        "c12_truth_to_detected": "SELECT doc_id, page, kind, idx, title, cap_x0, cap_y0, cap_x1, cap_y1 FROM objects",
+        "c12_truth_to_detected": "SELECT case_id, page, kind, idx, title, CASE WHEN kind = 'table' THEN group_id END AS table_group_id, CASE WHEN kind = 'table' THEN part_index END AS part_index, title_position, gap_lines, cap_x0, cap_y0, cap_x1, cap_y1, body_x0, body_y0, body_x1, body_y1, ctx_x0, ctx_y0, ctx_x1, ctx_y1 FROM spec_truth UNION ALL SELECT case_id, page, kind, '', text, NULL, NULL, NULL, NULL, x0, y0, x1, y1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM common_boxes",
     }
 
 
 def _statements(d) -> dict[str, str]:
-    return {**_detect(d), **compare.QUERIES, **corpus.queries(d), **lifecycle.queries(d), **validate.queries(d)}
+    return {**_detect(d), **compare.queries(d), **corpus.queries(d), **lifecycle.queries(d), **validate.queries(d)}
 
 
 def _all() -> dict[str, tuple]:

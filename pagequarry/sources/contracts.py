@@ -15,7 +15,7 @@ _TABLE = f"kind: STRING, index: STRING, title: STRING, table_group_id: STRING, p
 PAGES = f"ARRAY<STRUCT<page: INT, common_regions: ARRAY<STRUCT<{_REGION}>>, figures: ARRAY<STRUCT<{_FIGURE}>>, tables: ARRAY<STRUCT<{_TABLE}>>>>"
 TRUTH = f"case_id STRING, axes MAP<STRING, STRING>, realistic BOOLEAN, coordinate_unit STRING, coordinate_origin STRING, pages {PAGES}"
 DETECTED = f"schema_version STRING, coordinate_unit STRING, coordinate_origin STRING, producer STRUCT<name: STRING, version: STRING, mode: STRING>, cases ARRAY<STRUCT<case_id: STRING, pdf: STRING, pages: {PAGES}>>"
-MANIFEST = "cases ARRAY<STRUCT<case_id: STRING, truth: STRING>>"
+MANIFEST = "cases ARRAY<STRUCT<case_id: STRING>>"
 EDITS = "doc_id LONG, edit_seq LONG, object_id STRING, operation STRING, region STRING, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE"
 REVIEW = f"schema_version STRING, pdf STRING, reviewer STRING, objects ARRAY<STRUCT<object_id: STRING, decision: STRING, notes: STRING, expected_change: MAP<STRING, {_BOX}>>>, missed_objects ARRAY<STRUCT<kind: STRING, page: INT, approximate_region: {_BOX}>>"
 
@@ -34,13 +34,16 @@ def _whole(spark: SparkSession, schema: str, path) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, root: str, case_id: str | None = None) -> DataFrame:
-    """case_id and pages of the cases that MANIFEST.json lists; the case filter applies before files are opened."""
-    cases = _whole(spark, MANIFEST, f"{root}/MANIFEST.json").select(F.explode("cases").alias("c")).select("c.*")
+    """case_id and pages of the cases that MANIFEST.json lists, read as <case>/<case>.truth.json.
+
+    Without a case filter all files are found by pattern and joined with the list, so that no list of names is collected.
+    """
+    cases = _whole(spark, MANIFEST, f"{root}/MANIFEST.json").select(F.explode("cases").alias("c")).select("c.case_id")
     cases = cases.where(F.col("case_id") == case_id) if case_id else cases
-    listed = cases.collect()  # file names only
-    if not listed:
+    if cases.isEmpty():
         raise InvalidInput("no case to compare")
-    truth = _whole(spark, TRUTH, [f"{root}/{r['truth'] or r['case_id'] + '/' + r['case_id'] + '.truth.json'}" for r in listed])
+    found = _whole(spark, TRUTH, f"{root}/{case_id or '*'}/{case_id or '*'}.truth.json")
+    truth = found.join(cases, "case_id", "left_semi")
     _refuse(truth, ~(F.col("coordinate_unit").eqNullSafe(UNIT) & F.col("coordinate_origin").eqNullSafe(ORIGIN)), "coordinates of")
     _refuse(cases.join(truth, "case_id", "left_anti"), F.lit(True), "no truth for")
     return truth.select("case_id", "pages")
@@ -61,10 +64,12 @@ def read_review(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """case_id and decision from a pipe table: first and last but one cell of each row, without header and rule."""
-    cells = F.split(F.trim(F.regexp_replace("value", r"^\s*\||\|\s*$", "")), r"\|")
-    rows = spark.read.text(path).where(F.col("value").rlike(r"^\s*\|") & ~F.col("value").rlike(r"^[\s|:-]*$")).select(cells.alias("c"))
-    return rows.where(F.size("c") >= 3).select(F.trim(F.get("c", F.lit(0))).alias("case_id"), F.lower(F.trim(F.get("c", F.size("c") - 2))).alias("decision")).where("case_id <> 'case_id'")
+    """case_id and decision from a review table: its first and fifth cell; header, rule and shorter rows don't count, and of a case's rows the last does."""
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where(F.trim("value").startswith("|")).select("at", cells.alias("c")).where(F.size("c") >= 5)
+    rows = rows.select("at", F.regexp_replace(F.get("c", F.lit(0)), "^`|`$", "").alias("case_id"), F.lower(F.get("c", F.lit(4))).alias("decision"))
+    rows = rows.where((F.lower("case_id") != "case_id") & ~F.col("case_id").rlike("^[-:]*$"))
+    return rows.groupBy("case_id").agg(F.max_by("decision", "at").alias("decision"))
 
 
 def objects(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,8 +91,8 @@ def objects(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = every.unionByName(commons.select(*head, "kind", F.lit("").alias("idx"), F.concat_ws("|", F.lit("common"), text("page"), text("kind"), ordinal.cast("string")).alias("object_key"), boxes(("bbox", "bbox")), *none.values()))
     last = Window.partitionBy("case_id", "object_key").orderBy(F.desc("at"), F.desc("pos"))
     kept = every.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
-    regions = kept.select("case_id", "object_key", "kind", F.explode("boxes").alias("region", "b")).where("b IS NOT NULL")
-    regions = regions.select("case_id", "object_key", "kind", "region", *(F.get("b", F.lit(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
+    regions = kept.select("case_id", "object_key", "kind", "page", F.explode("boxes").alias("region", "b")).where("b IS NOT NULL")
+    regions = regions.select("case_id", "object_key", "kind", "page", "region", *(F.get("b", F.lit(k)).alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))))
     return kept.drop("boxes", "at"), regions
 
 
@@ -96,7 +101,7 @@ def write_objects(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def write_manifest(df: DataFrame, violations: DataFrame, path: str) -> None:
-    """Rows as JSON text, only if there is no violation."""
+def write_manifest(texts: DataFrame, violations: DataFrame, path: str) -> None:
+    """JSON texts (body), one manifest a line, only if none has a violation."""
     _refuse(violations, F.lit(True), "violations in")
-    df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    texts.select(F.col("body").alias("value")).write.text(path)

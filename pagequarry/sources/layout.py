@@ -15,10 +15,10 @@ _INDEX = "concat(CAST(s % 9 + 1 AS {t}), CASE WHEN p % 9 IN (1, 2) THEN '-' ELSE
 def relations(d) -> dict[str, str]:
     t, box = d.text, lambda x0, y0, x1, y1: f"CAST({x0} AS DOUBLE) AS x0, CAST({y0} AS DOUBLE) AS y0, CAST({x1} AS DOUBLE) AS x1, CAST({y1} AS DOUBLE) AS y1"
     index = _INDEX.format(t=t)
-    text = f"""CASE p % 9 WHEN 0 THEN concat('Figure ', {index}, '. Waveform ', CAST(p % 17 AS {t})) WHEN 1 THEN concat('Table ', {index}, ': Bandwidth ', CAST(p % 13 AS {t}))
-      WHEN 2 THEN concat('Figure ', {index}, ' Read transfer ', CAST(q AS {t})) WHEN 3 THEN concat('Table ', CAST(s % 4 + 1 AS {t}), '.', CAST(q % 3 + 1 AS {t}), ' Transfer type encoding', CASE WHEN q % 2 = 0 THEN ' (continued)' ELSE '' END)
-      WHEN 4 THEN concat('Figure ', {index}, CASE WHEN q % 2 = 0 THEN ' shows the signal' ELSE ' Lists all signals' END) WHEN 5 THEN concat('In Figure ', {index}, ': see above') WHEN 6 THEN concat('Note that Table ', {index}, ' is above and the rule holds')
-      WHEN 7 THEN concat('Table A.', CAST(q % 3 + 1 AS {t}), ': Limits', CASE WHEN q % 4 = 1 THEN ' cont.' WHEN q % 4 = 2 THEN ' (cont)' ELSE '' END) ELSE concat('Fig. ', CAST(q % 5 + 1 AS {t}), ': Block diagram') END"""
+    text = f"""CASE p % 9 WHEN 0 THEN concat('Figure ', {index}, '. Clock tree ', CAST(p % 17 AS {t})) WHEN 1 THEN concat('Table ', {index}, ': Pin budget ', CAST(p % 13 AS {t}))
+      WHEN 2 THEN concat('Figure ', {index}, ' Mixing stage ', CAST(q AS {t})) WHEN 3 THEN concat('Table ', CAST(s % 4 + 1 AS {t}), '.', CAST(q % 3 + 1 AS {t}), ' Colour codes', CASE WHEN q % 2 = 0 THEN ' (continued)' ELSE '' END)
+      WHEN 4 THEN concat('Figure ', {index}, CASE WHEN q % 2 = 0 THEN ' shows the route' ELSE ' Lists all routes' END) WHEN 5 THEN concat('In Figure ', {index}, ': see above') WHEN 6 THEN concat('Note that Table ', {index}, ' is above and the rule holds')
+      WHEN 7 THEN concat('Table A.', CAST(q % 3 + 1 AS {t}), ': Margins', CASE WHEN q % 4 = 1 THEN ' cont.' WHEN q % 4 = 2 THEN ' (cont)' ELSE '' END) ELSE concat('Fig. ', CAST(q % 5 + 1 AS {t}), ': Floor plan') END"""
     cap_y = f"{_T} + CASE WHEN {_FIGURE} THEN 64 WHEN {_TABLE} THEN 2 ELSE 40 END"
     width = "CASE WHEN p % 9 IN (5, 6) THEN 400 ELSE 150 + (q % 20) * 0.5 END"
     return {
