@@ -98,12 +98,27 @@ def _broken(d, relation: str, rules: list[tuple[str, str, str]], prefix: str = "
     return f"SELECT doc, {head} AS violation FROM ({d.explode(relation, f'doc, {prefix}' if prefix else 'doc', found, 'broken')}) AS b"
 
 
+def _field(d):
+    """Values of a document whose fields were taken out as columns, so that its text is searched once a field and not once a rule."""
+
+    def of(path: str) -> Value:
+        column, _, rest = path.partition(".")
+        return Value(d, rest, column)
+
+    return of
+
+
+def _fields(d, relation: str, names, more: str = "") -> str:
+    return f"SELECT doc{more}, {', '.join(f'{d.at("v", n)} AS {n}' for n in names)} FROM {relation}"
+
+
 def _coordinates(d) -> list[tuple[str, str, str]]:
-    return [("coordinate_unit", "must be pdf_pt", f"NOT {Value(d, 'coordinate_unit').one_of('pdf_pt')}"), ("coordinate_origin", "must be top-left", f"NOT {Value(d, 'coordinate_origin').one_of('top-left')}")]
+    f = _field(d)
+    return [("coordinate_unit", "must be pdf_pt", f"NOT {f('coordinate_unit').one_of('pdf_pt')}"), ("coordinate_origin", "must be top-left", f"NOT {f('coordinate_origin').one_of('top-left')}")]
 
 
 def _version(d, value: str) -> tuple[str, str, str]:
-    return ("schema_version", f"must be {value}", f"NOT {Value(d, 'schema_version').one_of(value)}")
+    return ("schema_version", f"must be {value}", f"NOT {_field(d)('schema_version').one_of(value)}")
 
 
 def _boxes(d, names, prefix: str = ".") -> list[tuple[str, str, str]]:
@@ -115,22 +130,19 @@ def _optional_box(d, name: str) -> tuple[str, str, str]:
     return (f".{name}", "must be 4 numbers when present", f"{v.lacks('absent', 'null')} AND NOT {v.bbox}")
 
 
-def _text(d) -> str:
-    return d.text
-
-
 def _detector(d) -> dict[str, str]:
     v = lambda path="": Value(d, path)
     t = d.text
-    root = [_version(d, "detector-output-v0"), *_coordinates(d), ("producer", "object is required", v("producer").lacks("object"))]
-    root += [(f"producer.{f}", "is required", f"{v('producer').has('object')} AND {v(f'producer.{f}').falsy}") for f in PRODUCER_FIELDS] + [("cases", "must be a list", v("cases").lacks("array"))]
-    item = lambda level, name, up: d.items(level, f"r.doc, concat(r.path, '{up}') AS up", name)  # noqa: E731, F841
+    h = _field(d)
+    root = [_version(d, "detector-output-v0"), *_coordinates(d), ("producer", "object is required", h("producer").lacks("object"))]
+    root += [(f"producer.{f}", "is required", f"{h('producer').has('object')} AND {h(f'producer.{f}').falsy}") for f in PRODUCER_FIELDS] + [("cases", "must be a list", "cases_kind <> 'array'")]
     page_name = f"coalesce(CASE WHEN {Value(d, 'page').has('int')} THEN {d.text_at('v', 'page')} END, '?')"
     part = lambda name: f"SELECT doc, concat(path, '.{name}[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('det_good_pages', 'r.doc, r.path', name)}) AS x"
     required = lambda names: [(f".{n}", "is required", v(n).has("absent")) for n in names]
     return {
         "det_roots": f"SELECT doc, {d.parse('body')} AS v FROM detector_texts",
         "det_objects": f"SELECT * FROM det_roots WHERE {v().has('object')}",
+        "det_heads": _fields(d, "det_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "producer"), f", coalesce({d.kind('v', 'cases')}, 'absent') AS cases_kind"),
         "det_cases": f"SELECT doc, concat('cases[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('det_objects', 'r.doc', 'cases')}) AS x",
         "det_good_cases": f"SELECT * FROM det_cases WHERE {v().has('object')}",
         "det_pages": f"SELECT doc, concat(path, '.page[', {page_name}, ']') AS path, v FROM ({d.items('det_good_cases', 'r.doc, r.path', 'pages')}) AS x",
@@ -141,7 +153,7 @@ def _detector(d) -> dict[str, str]:
         "v1": " UNION ALL ".join(
             (
                 f"SELECT doc, 'manifest root must be an object' AS violation FROM det_roots WHERE {v().lacks('object')}",
-                _broken(d, "det_objects", root, ""),
+                _broken(d, "det_heads", root, ""),
                 _broken(d, "det_cases", [("", "must be an object", v().lacks("object")), *((f".{n}", "must be a non-empty string", f"{v().has('object')} AND NOT {v(n).filled}") for n in ("case_id", "pdf")), (".pages", "must be a list", f"{v().has('object')} AND {v('pages').lacks('array')}")]),
                 _broken(d, "det_pages", [(".page", "must be an integer", f"NOT ({v().has('object')} AND {v('page').whole})")]),
                 _broken(d, "det_good_pages", [(f".{n}", "must be a list", v(n).lacks("absent", "array")) for n in ("common_regions", "figures", "tables")]),
@@ -156,19 +168,21 @@ def _detector(d) -> dict[str, str]:
 def _editor(d) -> dict[str, str]:
     v = lambda path="": Value(d, path)
     t = d.text
-    lists = [(n, "must be a list", v(n).lacks("array")) for n in ("pages", "edits")]
-    strings = [(n, "must be a non-empty string", f"NOT {v(n).filled}") for n in ("source_pdf", "source_detector_manifest")]
+    h = _field(d)
+    lists = [(n, "must be a list", f"{n}_kind <> 'array'") for n in ("pages", "edits")]
+    strings = [(n, "must be a non-empty string", f"NOT {h(n).filled}") for n in ("source_pdf", "source_detector_manifest")]
     page_ok = f"{v().has('object')} AND {v('page').whole}"
     box_edit = f"{v().has('object')} AND {v('operation').one_of('update_bbox')}"
     return {
         "ed_roots": f"SELECT doc, {d.parse('body')} AS v FROM editor_texts",
         "ed_objects": f"SELECT * FROM ed_roots WHERE {v().has('object')}",
+        "ed_heads": _fields(d, "ed_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "source_pdf", "source_detector_manifest"), "".join(f", coalesce({d.kind('v', n)}, 'absent') AS {n}_kind" for n in ("pages", "edits"))),
         "ed_pages": f"SELECT doc, concat('pages[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('ed_objects', 'r.doc', 'pages')}) AS x",
         "ed_edits": f"SELECT doc, concat('edits[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('ed_objects', 'r.doc', 'edits')}) AS x",
         "v2": " UNION ALL ".join(
             (
                 f"SELECT doc, 'manifest root must be an object' AS violation FROM ed_roots WHERE {v().lacks('object')}",
-                _broken(d, "ed_objects", [_version(d, "editor-save-manifest-v0"), *_coordinates(d), *strings, *lists], ""),
+                _broken(d, "ed_heads", [_version(d, "editor-save-manifest-v0"), *_coordinates(d), *strings, *lists], ""),
                 _broken(d, "ed_pages", [(".page", "must be an integer", f"NOT ({page_ok})"), *((f".{n}", "must be a list", f"{page_ok} AND {v(n).lacks('absent', 'array')}") for n in ("figures", "tables", "common_regions"))]),
                 _broken(
                     d,
@@ -190,16 +204,18 @@ def _editor(d) -> dict[str, str]:
 def _package(d) -> dict[str, str]:
     v = lambda path="": Value(d, path)
     t = d.text
-    source = d.text_at("v", "source_editor_manifest")
-    root = [_version(d, "downstream-package-v0"), *_coordinates(d), *((n, "must be a non-empty string", f"NOT {v(n).filled}") for n in ("source_pdf", "source_editor_manifest"))]
-    root += [("source_editor_manifest", "must be an editor manifest", f"{v('source_editor_manifest').filled} AND {d.matches(source, '(^|/)detected_manifest[.]json$')}"), ("objects", "must be a list", v("objects").lacks("array"))]
+    h = _field(d)
+    source = d.text_at("source_editor_manifest", "")
+    root = [_version(d, "downstream-package-v0"), *_coordinates(d), *((n, "must be a non-empty string", f"NOT {h(n).filled}") for n in ("source_pdf", "source_editor_manifest"))]
+    root += [("source_editor_manifest", "must be an editor manifest", f"{h('source_editor_manifest').filled} AND {d.matches(source, '(^|/)detected_manifest[.]json$')}"), ("objects", "must be a list", "objects_kind <> 'array'")]
     there = lambda bad: f"{v().has('object')} AND {bad}"
     rules = [(".object_id", "must be a non-empty string", f"NOT {v('object_id').filled}"), (".kind", "must be figure or table", f"NOT {v('kind').one_of('figure', 'table')}"), (".page", "must be an integer", f"NOT {v('page').whole}"), *_boxes(d, REGIONS[:2]), _optional_box(d, "context_region"), (".crops", "must be an object", v("crops").lacks("object")), (".downstream_task_hint", "is required", v("downstream_task_hint").falsy)]
     return {
         "pk_roots": f"SELECT doc, {d.parse('body')} AS v FROM package_texts",
         "pk_objects": f"SELECT * FROM pk_roots WHERE {v().has('object')}",
+        "pk_heads": _fields(d, "pk_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "source_pdf", "source_editor_manifest"), f", coalesce({d.kind('v', 'objects')}, 'absent') AS objects_kind"),
         "pk_items": f"SELECT doc, concat('objects[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('pk_objects', 'r.doc', 'objects')}) AS x",
-        "v3": " UNION ALL ".join((f"SELECT doc, 'package root must be an object' AS violation FROM pk_roots WHERE {v().lacks('object')}", _broken(d, "pk_objects", root, ""), _broken(d, "pk_items", [("", "must be an object", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in rules)]))),
+        "v3": " UNION ALL ".join((f"SELECT doc, 'package root must be an object' AS violation FROM pk_roots WHERE {v().lacks('object')}", _broken(d, "pk_heads", root, ""), _broken(d, "pk_items", [("", "must be an object", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in rules)]))),
     }
 
 
@@ -213,12 +229,13 @@ def _review(d) -> dict[str, str]:
     item = lambda name: f"SELECT doc, concat('{name}[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('rv_roots', 'r.doc', name)}) AS x"
     return {
         "rv_roots": f"SELECT doc, {d.parse('body')} AS v FROM review_texts",
+        "rv_heads": _fields(d, "rv_roots", ("schema_version", "pdf"), "".join(f", coalesce({d.kind('v', n)}, 'absent') AS {n}_kind" for n in ("objects", "missed_objects"))),
         "rv_objects": item("objects"),
         "rv_missed": item("missed_objects"),
         "rv_changes": f"SELECT doc, concat(path, '.expected_change.', field) AS path, field, v FROM ({d.entries('rv_objects', 'r.doc, r.path', 'expected_change')}) AS x",
         "v5": " UNION ALL ".join(
             (
-                _broken(d, "rv_roots", [_version(d, "real-pdf-review-v0"), ("pdf", "must be a non-empty string", f"NOT {v('pdf').filled}"), *((n, "must be a list", v(n).lacks("absent", "array")) for n in ("objects", "missed_objects"))], ""),
+                _broken(d, "rv_heads", [_version(d, "real-pdf-review-v0"), ("pdf", "must be a non-empty string", f"NOT {_field(d)('pdf').filled}"), *((n, "must be a list", f"{n}_kind NOT IN ('absent', 'array')") for n in ("objects", "missed_objects"))], ""),
                 _broken(d, "rv_objects", [("", "must be a mapping", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in objects)]),
                 _broken(d, "rv_changes", [("", "is no region", f"field NOT IN ({_names(REGIONS[:3])})"), ("", "must be 4 numbers", f"field IN ({_names(REGIONS[:3])}) AND NOT {v().bbox}")]),
                 _broken(d, "rv_missed", [("", "must be a mapping", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in missed)]),
@@ -235,8 +252,8 @@ def _first(cases: list[tuple[str, str, str]]) -> tuple[str, str]:
 
 
 def _setup(d) -> dict[str, str]:
-    v = lambda path="": Value(d, path)
-    pages = d.text_at("v", "input.page_range")
+    v = _field(d)
+    pages = d.text_at("input", "page_range")
     pattern = r"^\s*[0-9]+\s*(-\s*[0-9]+\s*)?$"
     low, high = (f"CAST(nullif({d.group(pages, p, 1)}, '') AS BIGINT)" for p in (r"^\s*([0-9]+)", r"-\s*([0-9]+)\s*$"))
     fine = "advanced_fine_tuning"
@@ -244,34 +261,36 @@ def _setup(d) -> dict[str, str]:
     cases = [("SETUP_MISSING_FIELD", "schema_version", v("schema_version").has("absent")), ("SETUP_INVALID_VALUE", "schema_version", f"NOT {v('schema_version').one_of('setup-yaml-v0')}")]
     for path in REQUIRED_SETUP:
         cases += [("SETUP_MISSING_FIELD", path, v(path).has("absent")), ("SETUP_INVALID_VALUE", path, f"NOT {v(path).spoken}")]
-    cases += [("SETUP_PLACEHOLDER_UNRESOLVED", path, f"trim({d.text_at('v', path)}) = 'CHANGE_ME'") for path in PLACEHOLDER_SETUP]
+    cases += [("SETUP_PLACEHOLDER_UNRESOLVED", path, f"trim({d.text_at(*path.split('.'))}) = 'CHANGE_ME'") for path in PLACEHOLDER_SETUP]
     cases += [("SETUP_BAD_PAGE_RANGE", "input.page_range", f"{given} AND NOT ({v('input.page_range').has('string')} AND {d.matches(pages, pattern)})"), ("SETUP_BAD_PAGE_RANGE", "input.page_range", f"{given} AND {high} < {low}")]
     for code, name, good in (("SETUP_UNKNOWN_DETECTOR", "detector_profile", "default"), ("SETUP_INVALID_VALUE", "coordinate_unit", "pdf_pt"), ("SETUP_INVALID_VALUE", "coordinate_origin", "top-left")):
         x = v(f"{fine}.{name}")
         cases.append((code, f"{fine}.{name}", f"{x.lacks('absent')} AND NOT {x.one_of(good)}"))
     code, field = _first(cases)
-    return {"su_roots": f"SELECT doc, {d.parse('body')} AS v FROM setup_texts", "v4": f"SELECT doc, {code} AS code, {field} AS field FROM su_roots"}
+    names = ("schema_version", "project", "input", "output", fine)
+    return {"su_roots": f"SELECT doc, {d.parse('body')} AS v FROM setup_texts", "su_heads": _fields(d, "su_roots", names), "v4": f"SELECT doc, {code} AS code, {field} AS field FROM su_heads"}
 
 
 def _scenario(d) -> dict[str, str]:
     """Errors of each part with their place in the order of checks; the first of a document is its result."""
     t = d.text
     v = lambda path="": Value(d, path)
-    size = f"CASE WHEN {v('page.size').has('absent')} THEN 'letter' ELSE {d.text_at('v', 'page.size')} END"
-    turned = f"coalesce({d.text_at('v', 'page.orientation')}, 'portrait') = 'landscape'"
+    h = _field(d)
+    size = f"CASE WHEN {h('page.size').has('absent')} THEN 'letter' ELSE {d.text_at('page', 'size')} END"
+    turned = f"coalesce({d.text_at('page', 'orientation')}, 'portrait') = 'landscape'"
     side = lambda k: f"CASE {size} " + " ".join(f"WHEN '{n}' THEN {wh[k]}" for n, wh in PAGE_SIZES.items()) + " END"
     width, height = f"CASE WHEN {turned} THEN {side(1)} ELSE {side(0)} END", f"CASE WHEN {turned} THEN {side(0)} ELSE {side(1)} END"
     value, template, bad_box, outside = "SCENARIO_INVALID_VALUE", "SCENARIO_UNKNOWN_TEMPLATE", "SCENARIO_BAD_BBOX", "SCENARIO_OUT_OF_PAGE_BOUNDS"
 
-    def number(path: str, least: int) -> str:
-        x = v(path)
-        return f"{x.lacks('absent')} AND NOT ({x.has('int')} AND {d.number_at('v', path)} >= {least})"
+    def number(path: str, least: int, of=v) -> str:
+        x = of(path)
+        return f"{x.lacks('absent')} AND NOT ({x.has('int')} AND {d.number_at(x.column, x.path)} >= {least})"
 
-    def choice(path: str, names) -> str:
-        return f"{v(path).lacks('absent')} AND NOT {v(path).one_of(*names)}"
+    def choice(path: str, names, of=v) -> str:
+        return f"{of(path).lacks('absent')} AND NOT {of(path).one_of(*names)}"
 
-    def box(path: str, field: str) -> list[tuple[str, str, str]]:
-        b = v(path)
+    def box(path: str, field: str, of=v) -> list[tuple[str, str, str]]:
+        b = of(path)
         x0, y0, x1, y1 = (b.corner(k) for k in range(4))
         return [(bad_box, field, f"NOT {b.bbox}"), (bad_box, field, f"NOT ({x0} < {x1} AND {y0} < {y1})"), (outside, field, f"NOT (0 <= {x0} AND {x1} <= w AND 0 <= {y0} AND {y1} <= h)")]
 
@@ -279,15 +298,14 @@ def _scenario(d) -> dict[str, str]:
         rows = d.array(*(f"CASE WHEN {bad} THEN {d.struct(k=str(k), code=f"'{code}'", field=f"'{field}'")} END" for k, (code, field, bad) in enumerate(cases)))
         return f"SELECT doc, {place} * 100000000 + {nth} * 1000 + e.k AS place, e.code AS code, concat({prefix}, e.field) AS field FROM ({d.explode(relation, 'doc, ' + ('i' if nth != '0' else '0 AS i'), d.filter(rows, 'x', 'x IS NOT NULL'), 'e')}) AS x"
 
-    head = [(value, "case_id", f"NOT {v('case_id').spoken}"), ("SCENARIO_UNSUPPORTED_PAGE_SIZE", "page.size", choice("page.size", PAGE_SIZES)), (value, "page.orientation", choice("page.orientation", ("portrait", "landscape"))), (value, "page.columns", f"{v('page.columns').lacks('absent')} AND NOT coalesce({d.number_at('v', 'page.columns')} IN (1, 2), false)"), (value, "page.page_count", number("page.page_count", 1)), (value, "page.page_offset", number("page.page_offset", 0))]
+    head = [(value, "case_id", f"NOT {h('case_id').spoken}"), ("SCENARIO_UNSUPPORTED_PAGE_SIZE", "page.size", choice("page.size", PAGE_SIZES, h)), (value, "page.orientation", choice("page.orientation", ("portrait", "landscape"), h)), (value, "page.columns", f"{h('page.columns').lacks('absent')} AND NOT coalesce({d.number_at('page', 'columns')} IN (1, 2), false)"), (value, "page.page_count", number("page.page_count", 1, h)), (value, "page.page_offset", number("page.page_offset", 0, h))]
     parts = []
     for kind in ("header", "footer"):
-        on = f"NOT {v(kind).falsy} AND NOT {v(f'{kind}.enabled').falsy}"
-        support = v(f"{kind}.support_pages")
-        rules = [(template, f"{kind}.text_template", f"NOT {v(f'{kind}.text_template').one_of(*TEMPLATES[kind])}"), *box(f"{kind}.bbox", f"{kind}.bbox"), (value, f"{kind}.support_pages", support.lacks("absent", "null", "array"))]
+        on = f"NOT {h(kind).falsy} AND NOT {h(f'{kind}.enabled').falsy}"
+        rules = [(template, f"{kind}.text_template", f"NOT {h(f'{kind}.text_template').one_of(*TEMPLATES[kind])}"), *box(f"{kind}.bbox", f"{kind}.bbox", h), (value, f"{kind}.support_pages", h(f"{kind}.support_pages").lacks("absent", "null", "array"))]
         parts.append([(c, f, f"{on} AND {bad}") for c, f, bad in rules])
-    on = f"NOT {v('watermark').falsy} AND NOT {v('watermark.enabled').falsy}"
-    mark = [(template, "watermark.text_template", f"NOT {v('watermark.text_template').one_of(*TEMPLATES['watermark'])}"), *box("watermark.bbox", "watermark.bbox"), (value, "watermark.location", choice("watermark.location", ("center", "corner")))]
+    on = f"NOT {h('watermark').falsy} AND NOT {h('watermark.enabled').falsy}"
+    mark = [(template, "watermark.text_template", f"NOT {h('watermark.text_template').one_of(*TEMPLATES['watermark'])}"), *box("watermark.bbox", "watermark.bbox", h), (value, "watermark.location", choice("watermark.location", ("center", "corner"), h))]
     parts.append([(c, f, f"{on} AND {bad}") for c, f, bad in mark])
     beyond = lambda: f"coalesce({d.number_at('v', 'page')}, 1) > pages"
     figures = [(value, ".index", f"NOT {v('index').filled}"), (template, ".body_template", choice("body_template", FIGURE_BODIES)), (template, ".alias", choice("alias", FIGURE_ALIASES)), (value, ".caption_position", choice("caption_position", ("above", "below"))), (value, ".page", number("page", 1)), (value, ".page", beyond()), *box("caption_region", ".caption_region"), *box("body_region", ".body_region")]
@@ -295,16 +313,19 @@ def _scenario(d) -> dict[str, str]:
     negatives = [(value, ".text", f"NOT {v('text').filled}"), *box("bbox", ".bbox"), (value, ".page", number("page", 1))]
     lists = {"figures": figures, "tables": tables, "negative_texts": negatives}
     supports = " UNION ALL ".join(f"SELECT doc, {k + 2} AS part, '{kind}' AS kind, i, v FROM ({d.items('sc_roots', 'r.doc', f'{kind}.support_pages')}) AS x" for k, kind in enumerate(("header", "footer")))
-    every = [found("sc_roots", k + 1, c) for k, c in enumerate([head, *parts])]
+    every = [found("sc_heads", k + 1, c) for k, c in enumerate([head, *parts])]
     every.append(f"SELECT doc, part * 100000000 + 900 AS place, '{value}' AS code, concat(kind, '.support_pages') AS field FROM sc_supports WHERE NOT {v().whole}")
     every += [found(f"sc_{name}", 5 + k, rules, f"concat('{name}[', CAST(i AS {t}), ']')", "i") for k, (name, rules) in enumerate(lists.items())]
     return {
-        "sc_roots": f"SELECT doc, v, {width} AS w, {height} AS h, coalesce({d.number_at('v', 'page.page_count')}, 1) AS pages FROM (SELECT doc, {d.parse('body')} AS v FROM scenario_texts) AS x",
+        "sc_parsed": f"SELECT doc, {d.parse('body')} AS v FROM scenario_texts",
+        "sc_fields": _fields(d, "sc_parsed", ("case_id", "page", "header", "footer", "watermark")),
+        "sc_heads": f"SELECT *, {width} AS w, {height} AS h, coalesce({d.number_at('page', 'page_count')}, 1) AS pages FROM sc_fields",
+        "sc_roots": "SELECT p.doc, p.v, f.w, f.h, f.pages FROM sc_parsed p JOIN (SELECT doc, w, h, pages FROM sc_heads) AS f ON p.doc = f.doc",
         "sc_supports": supports,
         **{f"sc_{name}": f"SELECT doc, w, h, pages, i, v FROM ({d.items('sc_roots', 'r.doc, r.w, r.h, r.pages', name)}) AS x" for name in lists},
         "scenario_errors": " UNION ALL ".join(every),
         "scenario_first": "SELECT doc, code, field FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY place, field) AS nth FROM scenario_errors) AS x WHERE nth = 1",
-        "v6": "SELECT r.doc, coalesce(f.code, 'ok') AS code, coalesce(f.field, '') AS field FROM sc_roots r LEFT JOIN scenario_first f ON r.doc = f.doc",
+        "v6": "SELECT r.doc, coalesce(f.code, 'ok') AS code, coalesce(f.field, '') AS field FROM scenario_texts r LEFT JOIN scenario_first f ON r.doc = f.doc",
         "exit_codes": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {n})" for c, n in EXIT_CODES.items()) + ") AS x(code, exit_code)",
     }
 
