@@ -2,6 +2,7 @@
 
 A text is parsed once. Each list becomes a relation of its items, with the path to them; a rule
 is a condition on the item, and an item's broken rules are one array, exploded at the end.
+Parsed values are never written: Parquet's shredded values don't tell 2 from 2.0.
 The texts derive from events: a valid document of several items with one fault somewhere.
 """
 
@@ -55,7 +56,7 @@ class Value:
         return method(self.column, self.path, *rest)
 
     def has(self, *kinds: str) -> str:
-        return f"coalesce({self._of(self.d.kind)}, 'absent') IN ({_names(kinds)})"
+        return self.d.is_kind(self.column, self.path, kinds)
 
     def lacks(self, *kinds: str) -> str:
         return f"NOT {self.has(*kinds)}"
@@ -135,14 +136,14 @@ def _detector(d) -> dict[str, str]:
     t = d.text
     h = _field(d)
     root = [_version(d, "detector-output-v0"), *_coordinates(d), ("producer", "object is required", h("producer").lacks("object"))]
-    root += [(f"producer.{f}", "is required", f"{h('producer').has('object')} AND {h(f'producer.{f}').falsy}") for f in PRODUCER_FIELDS] + [("cases", "must be a list", "cases_kind <> 'array'")]
+    root += [(f"producer.{f}", "is required", f"{h('producer').has('object')} AND {h(f'producer.{f}').falsy}") for f in PRODUCER_FIELDS] + [("cases", "must be a list", "NOT cases_ok")]
     page_name = f"coalesce(CASE WHEN {Value(d, 'page').has('int')} THEN {d.text_at('v', 'page')} END, '?')"
     part = lambda name: f"SELECT doc, concat(path, '.{name}[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('det_good_pages', 'r.doc, r.path', name)}) AS x"
     required = lambda names: [(f".{n}", "is required", v(n).has("absent")) for n in names]
     return {
         "det_roots": f"SELECT doc, {d.parse('body')} AS v FROM detector_texts",
         "det_objects": f"SELECT * FROM det_roots WHERE {v().has('object')}",
-        "det_heads": _fields(d, "det_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "producer"), f", coalesce({d.kind('v', 'cases')}, 'absent') AS cases_kind"),
+        "det_heads": _fields(d, "det_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "producer"), f", {v('cases').has('array')} AS cases_ok"),
         "det_cases": f"SELECT doc, concat('cases[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('det_objects', 'r.doc', 'cases')}) AS x",
         "det_good_cases": f"SELECT * FROM det_cases WHERE {v().has('object')}",
         "det_pages": f"SELECT doc, concat(path, '.page[', {page_name}, ']') AS path, v FROM ({d.items('det_good_cases', 'r.doc, r.path', 'pages')}) AS x",
@@ -169,14 +170,14 @@ def _editor(d) -> dict[str, str]:
     v = lambda path="": Value(d, path)
     t = d.text
     h = _field(d)
-    lists = [(n, "must be a list", f"{n}_kind <> 'array'") for n in ("pages", "edits")]
+    lists = [(n, "must be a list", f"NOT {n}_ok") for n in ("pages", "edits")]
     strings = [(n, "must be a non-empty string", f"NOT {h(n).filled}") for n in ("source_pdf", "source_detector_manifest")]
     page_ok = f"{v().has('object')} AND {v('page').whole}"
     box_edit = f"{v().has('object')} AND {v('operation').one_of('update_bbox')}"
     return {
         "ed_roots": f"SELECT doc, {d.parse('body')} AS v FROM editor_texts",
         "ed_objects": f"SELECT * FROM ed_roots WHERE {v().has('object')}",
-        "ed_heads": _fields(d, "ed_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "source_pdf", "source_detector_manifest"), "".join(f", coalesce({d.kind('v', n)}, 'absent') AS {n}_kind" for n in ("pages", "edits"))),
+        "ed_heads": _fields(d, "ed_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "source_pdf", "source_detector_manifest"), "".join(f", {v(n).has('array')} AS {n}_ok" for n in ("pages", "edits"))),
         "ed_pages": f"SELECT doc, concat('pages[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('ed_objects', 'r.doc', 'pages')}) AS x",
         "ed_edits": f"SELECT doc, concat('edits[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('ed_objects', 'r.doc', 'edits')}) AS x",
         "v2": " UNION ALL ".join(
@@ -207,13 +208,13 @@ def _package(d) -> dict[str, str]:
     h = _field(d)
     source = d.text_at("source_editor_manifest", "")
     root = [_version(d, "downstream-package-v0"), *_coordinates(d), *((n, "must be a non-empty string", f"NOT {h(n).filled}") for n in ("source_pdf", "source_editor_manifest"))]
-    root += [("source_editor_manifest", "must be an editor manifest", f"{h('source_editor_manifest').filled} AND {d.matches(source, '(^|/)detected_manifest[.]json$')}"), ("objects", "must be a list", "objects_kind <> 'array'")]
+    root += [("source_editor_manifest", "must be an editor manifest", f"{h('source_editor_manifest').filled} AND {d.matches(source, '(^|/)detected_manifest[.]json$')}"), ("objects", "must be a list", "NOT objects_ok")]
     there = lambda bad: f"{v().has('object')} AND {bad}"
     rules = [(".object_id", "must be a non-empty string", f"NOT {v('object_id').filled}"), (".kind", "must be figure or table", f"NOT {v('kind').one_of('figure', 'table')}"), (".page", "must be an integer", f"NOT {v('page').whole}"), *_boxes(d, REGIONS[:2]), _optional_box(d, "context_region"), (".crops", "must be an object", v("crops").lacks("object")), (".downstream_task_hint", "is required", v("downstream_task_hint").falsy)]
     return {
         "pk_roots": f"SELECT doc, {d.parse('body')} AS v FROM package_texts",
         "pk_objects": f"SELECT * FROM pk_roots WHERE {v().has('object')}",
-        "pk_heads": _fields(d, "pk_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "source_pdf", "source_editor_manifest"), f", coalesce({d.kind('v', 'objects')}, 'absent') AS objects_kind"),
+        "pk_heads": _fields(d, "pk_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "source_pdf", "source_editor_manifest"), f", {v('objects').has('array')} AS objects_ok"),
         "pk_items": f"SELECT doc, concat('objects[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('pk_objects', 'r.doc', 'objects')}) AS x",
         "v3": " UNION ALL ".join((f"SELECT doc, 'package root must be an object' AS violation FROM pk_roots WHERE {v().lacks('object')}", _broken(d, "pk_heads", root, ""), _broken(d, "pk_items", [("", "must be an object", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in rules)]))),
     }
@@ -229,13 +230,13 @@ def _review(d) -> dict[str, str]:
     item = lambda name: f"SELECT doc, concat('{name}[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('rv_roots', 'r.doc', name)}) AS x"
     return {
         "rv_roots": f"SELECT doc, {d.parse('body')} AS v FROM review_texts",
-        "rv_heads": _fields(d, "rv_roots", ("schema_version", "pdf"), "".join(f", coalesce({d.kind('v', n)}, 'absent') AS {n}_kind" for n in ("objects", "missed_objects"))),
+        "rv_heads": _fields(d, "rv_roots", ("schema_version", "pdf"), "".join(f", {v(n).has('absent', 'array')} AS {n}_ok" for n in ("objects", "missed_objects"))),
         "rv_objects": item("objects"),
         "rv_missed": item("missed_objects"),
         "rv_changes": f"SELECT doc, concat(path, '.expected_change.', field) AS path, field, v FROM ({d.entries('rv_objects', 'r.doc, r.path', 'expected_change')}) AS x",
         "v5": " UNION ALL ".join(
             (
-                _broken(d, "rv_heads", [_version(d, "real-pdf-review-v0"), ("pdf", "must be a non-empty string", f"NOT {_field(d)('pdf').filled}"), *((n, "must be a list", f"{n}_kind NOT IN ('absent', 'array')") for n in ("objects", "missed_objects"))], ""),
+                _broken(d, "rv_heads", [_version(d, "real-pdf-review-v0"), ("pdf", "must be a non-empty string", f"NOT {_field(d)('pdf').filled}"), *((n, "must be a list", f"NOT {n}_ok") for n in ("objects", "missed_objects"))], ""),
                 _broken(d, "rv_objects", [("", "must be a mapping", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in objects)]),
                 _broken(d, "rv_changes", [("", "is no region", f"field NOT IN ({_names(REGIONS[:3])})"), ("", "must be 4 numbers", f"field IN ({_names(REGIONS[:3])}) AND NOT {v().bbox}")]),
                 _broken(d, "rv_missed", [("", "must be a mapping", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in missed)]),

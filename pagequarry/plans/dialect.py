@@ -117,6 +117,17 @@ class Spark:
         """A row for each field of the object at a path of v: the columns, field and v."""
         return f"SELECT {columns}, e.key AS field, e.value AS v FROM {relation} r, LATERAL variant_explode({self.at('r.v', path)}) AS e WHERE e.key IS NOT NULL AND ({rest})"
 
+    def is_kind(self, value: str, path: str, kinds: tuple[str, ...]) -> str:
+        """Whether the value is of one of the kinds that `kind` names, or absent; containers are told by a shallow cast, not by their schema."""
+        at = self.at(value, path) if path else value
+        scalars = {"int": "= 'BIGINT'", "string": "= 'STRING'", "bool": "= 'BOOLEAN'"}
+        tests = [f"coalesce(schema_of_variant({at}) {scalars[k]}, false)" for k in kinds if k in scalars]
+        tests += [f"coalesce(schema_of_variant({at}) LIKE 'DECIMAL%' OR schema_of_variant({at}) = 'DOUBLE', false)"] * ("number" in kinds)
+        for k, kind in (("array", "array<variant>"), ("object", "map<string,variant>")):
+            tests += [f"try_variant_get({value}, '${_dotted(path)}', '{kind}') IS NOT NULL"] * (k in kinds)
+        tests += [f"({at}) IS NULL"] * ("absent" in kinds) + [f"is_variant_null({at})"] * ("null" in kinds)
+        return f"({' OR '.join(tests)})"
+
     def kind(self, value: str, path: str = "") -> str:
         """null, number, int, string, bool, array or object; SQL null where the path is absent."""
         k = f"schema_of_variant({self.at(value, path) if path else value})"
@@ -153,6 +164,9 @@ class DuckDB(Spark):
         inner = f"SELECT r.*, unnest(json_keys(r.v, '${_dotted(path)}')) AS field FROM {relation} r WHERE json_type(r.v, '${_dotted(path)}') = 'OBJECT' AND ({rest})"
         return f"SELECT {columns}, r.field, json_extract(r.v, concat('${_dotted(path)}.', r.field)) AS v FROM ({inner}) AS r"
 
+    def is_kind(self, value: str, path: str, kinds: tuple[str, ...]) -> str:
+        return f"coalesce({self.kind(value, path)}, 'absent') IN ({', '.join(repr(k) for k in kinds)})"
+
     def kind(self, value: str, path: str = "") -> str:
         k = f"json_type({value}, '${_dotted(path)}')"
         return f"CASE WHEN {k} = 'NULL' THEN 'null' WHEN {k} IN ('BIGINT', 'UBIGINT') THEN 'int' WHEN {k} = 'DOUBLE' THEN 'number' WHEN {k} = 'VARCHAR' THEN 'string' WHEN {k} = 'BOOLEAN' THEN 'bool' WHEN {k} = 'ARRAY' THEN 'array' WHEN {k} = 'OBJECT' THEN 'object' END"

@@ -22,6 +22,11 @@ _WRITTEN: dict[tuple[str, str, str], tuple[DataFrame, tuple]] = {}
 _NAME = re.compile(r"\b[a-z_0-9]+\b")
 
 
+def forget() -> None:
+    """Lets go of all written relations; their files go when nothing reads them any more."""
+    _WRITTEN.clear()
+
+
 def needed(sql: str, known: dict[str, str]) -> list[str]:
     """Names of the relations that a statement needs, each after its own needs."""
     order: list[str] = []
