@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import free, of_group, of_groups, size_of, split_by, stored, unpack
+from .shared import bucketed, free, of_group, of_groups, size_of, split_by, stored, unpack
+from .units import MOST_FILES
 
 N, PERCENT = 5, 75
 #: Rounds of pairing sets with hubs before the pairs of different components are listed.
@@ -287,7 +288,8 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, row:
     rid = F.col(row).cast("long") if row else F.monotonically_increasing_id()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rid.alias("rid"))
     sent = rows.mapInArrow(_send(n, fragments), ", ".join(f"{c} {'int' if c == 'frag' else 'binary'}" for c in _SENT))
-    counted = stored(sent.groupBy("frag").applyInArrow(_count(blocks), COUNTED), "segments")
+    # in buckets, as every round of pairs meets the segments by fragment
+    counted = bucketed(sent.groupBy("frag").applyInArrow(_count(blocks), COUNTED), "segments", ["frag"], min(fragments, MOST_FILES), shuffle=False)
     documents = counted.where("frag = -1").select("rid", "block", "doc_id", "n", "one", "two")
     segments = counted.where("frag >= 0").select("frag", "block", "rids", "sizes", "counts", "keys")
 
@@ -295,7 +297,10 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, row:
     classes = classes.select("n", "one", "two", F.col("first.rid").alias("lead"), F.col("first.block").alias("block"), "least_id")
     leads = classes.select("block", F.col("lead").alias("rid"))
     sets = stored(segments.groupBy("block").cogroup(leads.groupBy("block")).applyInArrow(_prefixes(percent), "rid long, n int, left int, prefix array<long>, frags array<int>"), "prefixes")
+    # in buckets too, as every round looks for the hubs of n-grams and meets them
+    files = min(blocks, MOST_FILES)
     tokens = sets.select("rid", "n", "left", F.posexplode("prefix").alias("pos", "key")).withColumn("rest", F.col("left") - F.col("pos"))
+    tokens = bucketed(tokens, "tokens", ["key"], files)
 
     comps, links, tried = None, None, None
     for turn in range(HUB_ROUNDS):
@@ -317,7 +322,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT, row:
         links = new if links is None else links.unionByName(new)
         comps = components(links)
 
-    placed = stored(_placed(tokens, comps).select("key", "rid", "n", "rest", "comp"), "placed")
+    placed = bucketed(_placed(tokens, comps).select("key", "rid", "n", "rest", "comp"), "placed", ["key"], files)
     mixed = stored(placed.join(_main(placed), "key"), "mixed")
     x, y = mixed.where("comp <> main").alias("x"), mixed.alias("y")
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rid") < F.col("y.rid")))
