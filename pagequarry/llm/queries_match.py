@@ -43,6 +43,7 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGI
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = doc_key(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return lsm_dedup.without_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -59,6 +60,7 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN k ON d.r = k.r
 """
 
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = doc_key(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return suffix_dedup.without_copies(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
@@ -78,13 +80,34 @@ SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM d LEFT JOIN t ON d.r = t.r
 """
 
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = doc_key(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return jaccard_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.top_documents(doc_key(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return bm25.top_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# BM25 with k1 1.2 and b 0.75 of all words that two documents have; scores of words are multiples of 2**-24, as the operator's.
+OP5_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), g AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS DOUBLE) / count(*) AS mean FROM w),
+p AS (SELECT r, word, count(*) AS c FROM (SELECT r, unnest(ws) AS word FROM w) GROUP BY r, word),
+f AS (SELECT word, count(*) AS df FROM p GROUP BY word HAVING count(*) >= 2),
+s AS (
+  SELECT p.r, p.word, w.doc_id, round_even(ln(1e0 + (docs - df + 0.5e0) / (df + 0.5e0)) * c * 2.2e0 / (c + 1.2e0 * (0.25e0 + 0.75e0 * len(ws) / mean)) * 16777216e0, 0) / 16777216e0 AS x
+  FROM p JOIN f ON p.word = f.word JOIN w ON w.r = p.r, g
+),
+m AS (
+  SELECT q.r, q.doc_id AS query_id, s.r AS d, s.doc_id, sum(s.x) AS score
+  FROM w AS q JOIN p ON p.r = q.r JOIN s ON s.word = p.word WHERE q.doc_id % 20 = 0 GROUP BY q.r, q.doc_id, s.r, s.doc_id
+),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id NULLS LAST, d) AS INTEGER) AS rank, doc_id, score FROM m)
+SELECT * FROM k WHERE rank <= 10
+"""
 
 
 OP1_SQL = r"""
@@ -101,4 +124,4 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 """
 
 QUERIES = {"op5_top_k_search": op5_top_k_search, "op1_jaccard_join": op1_jaccard_join, "op8_suffix_dedup": op8_suffix_dedup, "op4_substring_dedup": op4_substring_dedup, "op9_decontamination": op9_decontamination}
-SQL = {"op1_jaccard_join": OP1_SQL, "op8_suffix_dedup": OP8_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
+SQL = {"op5_top_k_search": OP5_SQL, "op1_jaccard_join": OP1_SQL, "op8_suffix_dedup": OP8_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}

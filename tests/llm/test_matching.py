@@ -1,5 +1,6 @@
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from pagequarry.llm import bm25, decontaminate, jaccard_join, lsm_dedup, suffix_dedup
 from pagequarry.llm.shared import doc_key
@@ -13,7 +14,7 @@ def got(df, *columns):
 
 def frame(spark, rows):
     """As tables come: in several partitions, with columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(*r, -1, "x", 7) for r in rows], SCHEMA + ", rid int, unit string, n int").repartition(3)
+    return spark.createDataFrame([(*r, -1, "x", 7, 8) for r in rows], SCHEMA + ", tie int, unit string, n int, frag int").repartition(3)
 
 
 @pytest.fixture(scope="module", params=[3, 4])
@@ -22,7 +23,7 @@ def rows(request):
 
 
 def test_word_windows(spark, rows):
-    out = lsm_dedup.without_repeats(doc_key(frame(spark, rows)), digest=True)
+    out = lsm_dedup.without_repeats(frame(spark, rows), digest=True)
     assert got(out, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.repeated_words(rows, 35), key=repr)
 
 
@@ -49,12 +50,25 @@ def test_index_is_incremental(spark):
 
 
 def test_byte_strings(spark, rows):
-    rows = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
-    out = suffix_dedup.without_copies(doc_key(frame(spark, rows)), digest=True)
-    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.repeated_bytes(rows, 100), key=repr)
+    """Null ids come first, repeated ids by a hash of their texts; equal rows are interchangeable."""
+    texts = spark.createDataFrame([(t,) for _, t in rows], "text string").select(F.xxhash64("text")).collect()
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, texts[k][0]))
+    out = suffix_dedup.without_copies(frame(spark, rows), digest=True)
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == sorted(brute.repeated_bytes([rows[k] for k in order], 100), key=repr)
 
 
-@pytest.mark.parametrize("length", [3, 8, 9, 20, 37])
+def test_byte_strings_of_null_and_equal_ids(spark):
+    same = "the same hundred bytes and more " * 8
+    rows = [(None, same), (5, same), (5, same), (5, None), (None, None), (5, ""), (6, "tail:" + same)]
+    out = suffix_dedup.without_copies(frame(spark, rows), digest=True).collect()
+    kept = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_bytes - r.n_removed) for r in out)
+    whole = brute.repeated_bytes([(None, same)], 100)[0]  # the text repeats itself
+    left = whole[1] - whole[2]
+    assert kept == sorted([(False, 0, len(same), left), (True, 5, len(same), 0), (True, 5, len(same), 0), (True, 5, 0, 0), (False, 0, 0, 0), (True, 5, 0, 0), (True, 6, len(same) + 5, 5)])
+    assert got(suffix_dedup.without_copies(frame(spark, []), digest=True), "doc_id") == []
+
+
+@pytest.mark.parametrize("length", [3, 7, 8, 9, 16, 20, 37])
 def test_refined_buckets(length):
     import numpy as np
 
@@ -63,9 +77,10 @@ def test_refined_buckets(length):
     ends = np.cumsum([len(t) for t in texts])
     text, begin = np.concatenate(texts), ends - [len(t) for t in texts]
     wanted = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(begin, ends, strict=True)])
-    bucket = suffix_dedup.refined(text, np.repeat(ends, [len(t) for t in texts]), wanted, length)
-    strings = [text[w : w + length].tobytes() for w in wanted]
-    assert len(set(strings)) == len(set(zip(strings, bucket.tolist(), strict=True))) == len(set(bucket.tolist()))
+    order, new = suffix_dedup.refined(text, np.repeat(ends, [len(t) for t in texts]), wanted, length)
+    strings = [text[w : w + length].tobytes() for w in order]
+    assert sorted(order.tolist()) == wanted.tolist() and strings == sorted(strings)
+    assert new.tolist() == [k == 0 or strings[k] != strings[k - 1] for k in range(len(strings))]
 
 
 def test_jaccard(spark, rows):
@@ -96,25 +111,31 @@ def test_jaccard_main_component_of_ties(spark):
 ITEMS = [(1, "w1 w2 w3"), (2, "One two"), (2, "One two"), (3, ""), (4, None), (None, "w7 w8")]
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 120])
-def test_contamination(spark, rows, block_bytes):
+@pytest.mark.parametrize("broadcast_bytes", [decontaminate.BROADCAST_BYTES, 0])
+def test_contamination(spark, rows, broadcast_bytes):
+    """A benchmark that is broadcast, and one that is joined by fingerprint."""
     items = [*ITEMS, (10, " ".join(rows[-3][1].split()[:50])), (11, rows[8][1]), (12, " ".join(brute.words(rows[5][1])[40:53]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame([(*r, -1) for r in rows], SCHEMA + ", n_hit int").repartition(3)
-    out = decontaminate.contamination(docs, bench, block_bytes=block_bytes).collect()
+    out = decontaminate.contamination(docs, bench, broadcast_bytes=broadcast_bytes).collect()
     found = [(r.doc_id, r.n_words, r.n_hit, len(r.item_ids), brute.sha(",".join(sorted(map(str, r.item_ids)))), r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in out]
     assert sorted(found, key=repr) == sorted(brute.contaminated(rows, items), key=repr)
     assert all(sum(b - a for a, b in zip(r.hit_from, r.hit_to, strict=True)) == r.n_hit for r in out)
 
 
-def test_contamination_without_benchmark(spark):
-    docs = spark.createDataFrame([(1, "a b c")], SCHEMA)
-    out = decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string"))
-    assert got(out, "doc_id", "n_words", "n_hit") == [(1, 3, 0)]
-    assert got(decontaminate.contamination(docs.limit(0), docs.toDF("item_id", "text")), "doc_id") == []
+@pytest.mark.parametrize("broadcast_bytes", [decontaminate.BROADCAST_BYTES, -1])
+def test_contamination_of_nothing_and_textual_ids(spark, broadcast_bytes):
+    docs = spark.createDataFrame([(1, "a b c"), (None, None), (2, "")], SCHEMA)
+    judged = lambda d, b: decontaminate.contamination(d, b, broadcast_bytes=broadcast_bytes)
+    assert got(judged(docs, spark.createDataFrame([], "item_id long, text string")), "doc_id", "n_words", "n_hit") == [(1, 3, 0), (2, 0, 0), (None, 0, 0)]
+    assert got(judged(docs.limit(0), docs.toDF("item_id", "text")), "doc_id") == []
+    items = spark.createDataFrame([("b-10", "A b"), ("b-9", "b c"), ("x", "a c")], "item_id string, text string")
+    assert [r.item_ids for r in judged(docs, items).collect() if r.doc_id == 1] == [["b-10", "b-9"]]
 
 
-def test_search_is_exact(spark, rows):
+@pytest.mark.parametrize("block_pairs", [bm25.BLOCK_PAIRS, 60])
+def test_search_is_exact(spark, rows, block_pairs):
+    """The registered query's settings against scoring every document; and with many blocks of queries."""
     import math
     from collections import Counter
 
@@ -122,20 +143,24 @@ def test_search_is_exact(spark, rows):
     n, mean = len(docs), sum(sum(c.values()) for _, c in docs) / len(docs)
     df = Counter(w for _, c in docs for w in c)
     idf = {w: math.log(1 + (n - f + 0.5) / (f + 0.5)) for w, f in df.items()}
-    out = bm25.top_documents(doc_key(frame(spark, rows)), k=5, terms=100000, every=10)
     found = {}
-    for r in sorted(out.collect(), key=lambda r: (r.query_id, r.rank)):
-        found.setdefault(r.query_id, []).append((round(r.score, 9), r.doc_id))
-    for q, c in docs:
-        if q is None or q % 10:
-            continue
+    for r in sorted(bm25.top_documents(frame(spark, rows), block_pairs=block_pairs).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append((r.score, r.doc_id))
+    asked = [(q, c) for q, c in docs if q is not None and q % 20 == 0]
+    assert len(asked) >= 4
+    for q, c in asked:
         scores = []
         for d, x in docs:
-            s = sum(idf[w] * x[w] * 2.2 / (x[w] + 1.2 * (0.25 + 0.75 * sum(x.values()) / mean)) for w in c if df[w] >= 2 and w in x)
+            s = sum(round(idf[w] * x[w] * 2.2 / (x[w] + 1.2 * (0.25 + 0.75 * sum(x.values()) / mean)) * 2**24) for w in c if df[w] >= 2 and w in x)
             if s > 0:
-                scores.append((-round(s, 9), math.inf if d is None else d))
-        want = sorted(scores)[:5]
-        assert [(-s, d) for s, d in want] == [(s, math.inf if d is None else d) for s, d in found.get(q, [])], q
+                scores.append((-s, math.inf if d is None else d))
+        want = sorted(scores)[:10]
+        assert [(-s, d) for s, d in want] == [(s * 2**24, math.inf if d is None else d) for s, d in found.get(q, [])], q
+
+
+def test_search_of_nothing(spark):
+    assert got(bm25.top_documents(frame(spark, [])), "query_id") == []
+    assert got(bm25.top_documents(frame(spark, [(20, None), (40, ""), (None, "a b"), (3, "a b")])), "query_id") == []
 
 
 def test_pruning_keeps_results():
@@ -175,7 +200,7 @@ def test_search_uses_every_term(spark):
     rows = [(20, " ".join(common + [f"r{i}" for i in range(30)])), (40, " ".join(common + [f"r{i}" for i in range(30)]))]
     rows += [(41, " ".join(common))] + [(100 + k, f"{common[k]} x{k} other filling words") for k in range(8) if k != 0]
     found = {}
-    for r in bm25.top_documents(doc_key(frame(spark, rows))).collect():
+    for r in bm25.top_documents(frame(spark, rows)).collect():
         found.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
     lists = {q: sorted(x) for q, x in found.items()}
     assert [d for _, d, _ in lists[20][:3]] == [20, 40, 41] and lists[20] == lists[40]
