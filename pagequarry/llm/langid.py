@@ -7,8 +7,10 @@ bounded sample of documents; scoring reads every byte of every text.
 
 Labels are the non-null lang values of documents whose crc32(doc_id) mod 4 is not 2, at most
 SAMPLE documents a language, chosen by hash. Defined cases: a null text, or one without a
-letter, is `und` with score 0; without any labelled document all others are `und` too; repeated
-rows get the same label.
+letter, is `und` with score 0; texts of any length are read whole; without any labelled document
+all others are `und` too, with a single language all others have it; repeated rows get the same
+label; of equally likely languages the first in code point order is taken; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
