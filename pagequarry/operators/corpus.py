@@ -290,6 +290,7 @@ def queries(d) -> dict[str, str]:
         "x2_header_footer_pages": "SELECT case_id, slot, kind, page_no, text, variable_text, rule_y FROM hf_pages",
         "x3_watermark_pages": "SELECT case_id, page_no, text, rotation, opacity, style, x0, y0, x1, y1 FROM wm_pages",
         "x5_continuation_parts": "SELECT case_id, idx, part FROM part_specs",
+        "x6_list_scenarios": "SELECT case_id, axis, size_, orientation, columns_, page_count, page_offset FROM case_specs",
         "x7_case_boxes": "SELECT gate, case_id, page, detail FROM self_check_errors WHERE gate IN ('bbox', 'header_in_upper_half')",
         "x8_spans": "SELECT doc_id, page, line_seq, trim(text) AS text, x0, y0, x1, y1 FROM lines WHERE trim(text) <> ''",
         "x1_clip_lines": f"SELECT c.doc_id, c.page, c.pos, count(*) AS n, greatest(0, min(l.x0) - 3) AS x0, min(l.y0) AS y0, least(max(p.width), max(l.x1) + 3) AS x1, min(l.y0) + 35 + 6 * (count(*) - 1) AS y1 FROM commons c JOIN layout_pages p ON p.doc_id = c.doc_id AND p.page = c.page JOIN lines l ON c.doc_id = l.doc_id AND c.page = l.page AND {S.y_meets('l.', 'c.', 2)} AND {S.x_meets('l.', 'c.', 2)} WHERE c.kind = 'footer' GROUP BY c.doc_id, c.page, c.pos",

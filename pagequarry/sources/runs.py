@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lifecycle import NEXT_TASKS
 from ..operators.validate import EXIT_CODES, OK, UNKNOWN_ERROR
 from ..plans import detector
 from .contracts import ORIGIN, UNIT, InvalidInput
@@ -28,6 +29,25 @@ class RunError(InvalidInput):
         self.code = code
 
 
+def read_scenario(path: str | Path) -> dict:
+    """A scenario file's mapping, or an error with the contract's code."""
+    return _mapping(path, "SCENARIO_FILE_NOT_FOUND", "SCENARIO_FILE_UNREADABLE", "SCENARIO_INVALID_VALUE")
+
+
+def read_setup(path: str | Path) -> dict:
+    """A setup file's mapping, or an error with the contract's code."""
+    return _mapping(path, "SETUP_FILE_NOT_FOUND", "SETUP_FILE_UNREADABLE", "SETUP_FILE_UNREADABLE")
+
+
+def _mapping(path: str | Path, absent: str, unreadable: str, no_mapping: str) -> dict:
+    if not Path(path).is_file():
+        raise RunError(absent, str(path))
+    try:
+        return read_mapping(path)
+    except (InvalidInput, OSError, UnicodeDecodeError) as e:
+        raise RunError(no_mapping if "mapping" in str(e) else unreadable, str(e)) from e
+
+
 def exit_code(code: str | None) -> int:
     """The process's exit code for an error's code, or for none."""
     return OK if code is None else EXIT_CODES.get(code, UNKNOWN_ERROR)
@@ -111,6 +131,19 @@ def write_report(compared: DataFrame, details: DataFrame, totals: dict, folder:
     (folder / "compare_report.json").write_text(json.dumps({"summary": t, "failures": failures, "config": {"tolerance_profile": profile, "allow_extra": allow_extra}}, ensure_ascii=False, indent=2, default=str) + "\n", encoding="utf-8")
 
 
+def summarize(spark: SparkSession, review: dict) -> dict:
+    """Counts of a review's decisions and the tasks they call for; the list of missed objects counts as that issue."""
+    texts = spark.createDataFrame([(0, json.dumps(review))], "doc long, body string")
+    if faults := [r["violation"] for r in detector.violations(spark, texts, "review").collect()]:
+        raise RunError("INVALID_INPUT", "; ".join(faults))
+    objects, missed = review.get("objects") or [], review.get("missed_objects") or []
+    decisions = [o["decision"] for o in objects]
+    issues = {k: decisions.count(k) for k in NEXT_TASKS}
+    issues["missed_object"] += len(missed)
+    tasks = list(dict.fromkeys(task for k, task in NEXT_TASKS.items() if issues[k]))
+    return {"ok": True, "pdf": review.get("pdf"), "reviewer": review.get("reviewer", "manual"), "reviewed_objects": len(objects), "accepted": decisions.count("accept"), "missed_objects": len(missed), "issues": issues, "recommended_next_tasks": tasks}
+
+
 def write_gallery(folder: str | Path, cases: list[dict], coverage: dict | None = None, seed: int | None = None) -> None:
     """MANIFEST.json with the cases and their coverage, and index.md with a review row for each."""
     folder = Path(folder)

@@ -8,19 +8,23 @@ don't. Boxes are whole numbers, opacities multiples of 1/16.
 from __future__ import annotations
 
 from ..functions import scalars as S
+from ..operators.validate import FIGURE_ALIASES, FIGURE_BODIES, PAGE_SIZES, TEMPLATES
 
 # Fixed values of the contracts.
-PAGE_SIZES = {"letter": (612, 792), "a4": (595, 842)}
 HEADER_TEMPLATES = ("Chapter {chapter} · Page {page}", "{subtitle} · {page}", "Technical Reference Manual", "{subtitle}", "Synthetic Reference Guide", "Synthetic Reference — Chapter {chapter}\nSubsection {chapter}.2 — Timing detail")
 FOOTER_TEMPLATES = ("Confidential — {page}", "Rev A · {page}", "Internal Use Only", "{page}", "Page {page} of {pages}", "Synthetic distribution notice", "Synthetic distribution — internal use only\nDocument 7788 · Page {page}")
 WATERMARK_TEMPLATES = ("DRAFT", "Licensed to {user}", "CONFIDENTIAL")
 CORE_NAMES = ("core_fixed_header_footer", "core_variable_subtitle_header", "core_fixed_watermark", "core_figure_caption_bottom", "core_figure_caption_top", "core_multipage_table_cont", "core_same_title_tables", "core_wide_diagram_xrange")
 NEGATIVE_NAMES = ("neg_plain_text_only", "neg_false_figure_of_merit", "neg_false_see_table_above", "neg_caption_reference_only", "neg_false_table_reference", "neg_weak_partial_header")
 NEGATIVE_KINDS = ("plain_text", "figure_of_merit", "see_table_above", "figure_ref_only", "table_ref_only", "weak_partial_header")
-FIGURE_BODIES, FIGURE_ALIASES = ("waveform", "diagram", "raster", "mixed"), ("Figure", "Fig.", "FIGURE")
 LINE, CAPTION_HEIGHT, ITEM_GAP, CONTEXT_MARGIN = 12, 18, 12, 8
 
 
+def list_templates() -> dict[str, list]:
+    """What a scenario may name, by field."""
+    return {"header": list(TEMPLATES["header"]), "footer": list(TEMPLATES["footer"]), "watermark": list(TEMPLATES["watermark"]), "table_caption": ["normal", "continued"], "figure_alias": list(FIGURE_ALIASES), "figure_body": list(FIGURE_BODIES), "caption_position": ["above", "below"], "watermark_location": ["center", "corner"], "page_size": list(PAGE_SIZES), "orientation": ["portrait", "landscape"], "columns": [1, 2]}
+
+
 def quoted(text: str) -> str:
     """A text as SQL, with its line breaks."""
     parts = [f"'{x}'" for x in text.split("\n")]
