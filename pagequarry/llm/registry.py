@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_learned, queries_match, queries_order
+from . import queries_learned, queries_match, queries_order, queries_text
 
-MODULES = (queries_learned, queries_match, queries_order)
+MODULES = (queries_learned, queries_match, queries_order, queries_text)
 
 
 def queries() -> dict:
