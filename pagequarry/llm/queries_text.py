@@ -1,4 +1,4 @@
-"""Queries of the operators on phrases, runs and lines: op12 and op13."""
+"""Queries of the operators on phrases, runs and lines: op11 to op13."""
 
 from __future__ import annotations
 
@@ -7,7 +7,33 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, periodic_runs
+from . import collocations, line_dedup, periodic_runs
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS ws FROM documents
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM p, (SELECT unnest([1, 2, 3]) AS m)
+), f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY lang, m, phrase),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 10),
+cut AS (SELECT lang, m, phrase, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (
+  SELECT cut.lang, cut.m, cut.phrase, cut.a, k, fx.a AS l, fy.a AS r, (CAST(1000000 AS HUGEINT) * cut.a * cut.a) // (CAST(fx.a AS HUGEINT) * fy.a) AS score
+  FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = x JOIN f fy ON fy.lang = cut.lang AND fy.phrase = y
+), low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM s) WHERE o = 1),
+inside AS (SELECT lang, sub, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS sub FROM c WHERE m = 3) GROUP BY lang, sub),
+kept AS (SELECT low.* FROM low LEFT JOIN inside ON low.lang = inside.lang AND low.phrase = sub WHERE longer IS NULL OR 100 * longer < 50 * low.a)
+SELECT * FROM (
+  SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+  FROM kept JOIN n ON kept.lang = n.lang
+) WHERE rank <= 2000
+"""
 
 
 def periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
@@ -71,5 +97,5 @@ y AS (SELECT x.*, hot.k IS NOT NULL AND x.doc_id <> hot.keeper AS gone FROM x LE
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM y GROUP BY doc_id
 """
 
-QUERIES = {"op12_periodic_runs": op12_periodic_runs, "op13_line_dedup": op13_line_dedup}
-SQL = {"op12_periodic_runs": OP12_SQL, "op13_line_dedup": OP13_SQL}
+QUERIES = {"op11_collocations": op11_collocations, "op12_periodic_runs": op12_periodic_runs, "op13_line_dedup": op13_line_dedup}
+SQL = {"op11_collocations": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_line_dedup": OP13_SQL}
