@@ -20,6 +20,8 @@ whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,19 +82,18 @@ class LineIndex:
         """Merges the runs of each level that has enough of them."""
         level = 0
         while len(same := [run for at, run in self.runs if at == level]) >= self.fanout:
-            self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, bucketed(_summed(same), "line-run", KEY, self.buckets))]
+            self.runs = [x for x in self.runs if x[0] != level] + [(level + 1, bucketed(reduce(_merged, same), "line-run", KEY, self.buckets))]
             level += 1
 
     def counted(self) -> DataFrame:
         """Every key with the number of documents that have it."""
-        return _summed([run for _, run in self.runs])
+        return reduce(_merged, [run for _, run in self.runs])
 
 
-def _summed(runs: list[DataFrame]) -> DataFrame:
-    every = runs[0]
-    for run in runs[1:]:
-        every = every.unionByName(run)
-    return every.groupBy(*KEY).agg(F.sum("docs").alias("docs"))
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one, by a merge join of their buckets. (Spark 4.1 takes a columnar union of bucketed scans for bucketed, but doesn't run it so.)"""
+    docs = F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+    return a.join(b.withColumnRenamed("docs", "more"), KEY, "full_outer").select(*KEY, docs.alias("docs"))
 
 
 def keepers(keys: DataFrame, least_documents: int = LEAST_DOCUMENTS, batch_lines: int = BATCH_LINES, bucket_lines: int = BUCKET_LINES) -> DataFrame | None:
