@@ -55,14 +55,16 @@ class _Ids(dict):
         return n
 
 
-def shard_table(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """unit, lang and text, by language, bucketed by unit; and the bytes of all texts."""
+def shard_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """The shards' words (unit, k, lang, word, n), and a row for each with the word at each place (unit, places), bucketed by unit; and the bytes of all texts."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = size_of(docs)
     units = size.parts(shard_bytes)
     rows = docs.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(units, "lang", "deal")
-    rows = rows.select(F.spark_partition_id().alias("unit"), "lang", "text")
-    return bucketed(rows, "phrase-shards", ["unit"], min(units, MOST_FILES), shuffle=False), size.bytes
+    files = min(units, MOST_FILES)
+    rows = bucketed(rows.select(F.spark_partition_id().alias("unit"), "lang", "text"), "phrase-shards", ["unit"], files, shuffle=False)
+    split = rows.groupBy("unit").applyInArrow(of_group(_split), "unit int, k int, lang string, word binary, n long, places binary")
+    return bucketed(split, "phrase-index", ["unit"], files, shuffle=False), size.bytes
 
 
 def tokens(t: pa.Table) -> tuple[list[tuple[str, bytes]], np.ndarray]:
@@ -88,10 +90,13 @@ def tokens(t: pa.Table) -> tuple[list[tuple[str, bytes]], np.ndarray]:
     return words, np.concatenate(places) if places else np.zeros(0, np.int64)
 
 
-def _words_of(t: pa.Table) -> pa.Table:
+def _split(t: pa.Table) -> pa.Table:
     words, places = tokens(t)
-    many = np.bincount(places[places >= 0], minlength=len(words))
-    return pa.table({"unit": pa.array(np.full(len(words), t["unit"][0].as_py(), np.int32)), "k": pa.array(np.arange(len(words), dtype=np.int32)), "lang": pa.array([w[0] for w in words], pa.string()), "word": pa.array([w[1] for w in words], pa.binary()), "n": pa.array(many.astype(np.int64))})
+    n = len(words)
+    many = np.bincount(places[places >= 0], minlength=n)
+    ids = pa.array([*range(n), None], pa.int32())
+    columns = {"unit": pa.array(np.full(n + 1, t["unit"][0].as_py(), np.int32)), "k": ids, "lang": pa.array([*(w[0] for w in words), None], pa.string()), "word": pa.array([*(w[1] for w in words), None], pa.binary())}
+    return pa.table(columns | {"n": pa.array([*many.tolist(), None], pa.int64()), "places": pa.array([*[None] * n, places.astype(np.int32).tobytes()], pa.binary())})
 
 
 class Bitmaps:
@@ -213,7 +218,7 @@ def _send(length: int, ranges: int) -> Callable:
     def of(t: pa.Table, known: pa.Table) -> pa.Table:
         if not t.num_rows or not known.num_rows:
             return table(_SENT, [])
-        _, places = tokens(t)
+        places = unpack(t["places"], np.int32)[0]
         words = known.filter(pa.compute.is_valid(known["id"])).sort_by("k")
         k, ids = words["k"].to_numpy(), words["id"].to_numpy()
         to = np.full(int(places.max(initial=0)) + 2, -1, np.int64)  # the last stands for -1
@@ -270,9 +275,9 @@ def _opened(length: int) -> Callable:
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent words (lang, word, f, id), frequent phrases of 1 to `longest` words (ids, f), and the words of each language (lang, n)."""
-    shards, size = shard_table(docs, shard_bytes)
+    index, size = shard_index(docs, shard_bytes)
     ranges = max(4, -(-size // RANGE_BYTES))
-    words = stored(shards.groupBy("unit").applyInArrow(of_group(_words_of), "unit int, k int, lang string, word binary, n long"), "phrase-words")
+    words, shards = index.where("places IS NULL").drop("places"), index.where("places IS NOT NULL").select("unit", "places")
     frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     numbered = running_before(in_order(frequent, F.col("lang"), F.col("word")).withColumn("one", F.lit(1)), [], "_part", ["lang", "word"], "one", "id")
     vocabulary = stored(numbered.select("lang", "word", "f", "id"), "phrase-vocabulary")
