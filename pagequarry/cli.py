@@ -29,13 +29,10 @@ def _validate(a) -> tuple[dict, int]:
 def _compare(a) -> tuple[dict, int]:
     spark = local_session()
     truth, found = contracts.read_truth(spark, a.truth, a.case_id), contracts.read_detected(spark, a.detected)
-    if a.case_id:
+    if a.case_id and not a.all_detections:
         found = found.where(found.case_id == a.case_id)
-    sides = {"profile": a.profile, "allow_extra": a.allow_extra, "kind": a.kind}
-    compared = golden.compare(spark, truth, found, **sides)
-    totals = golden.summary(compared).first().asDict()
-    if a.out:
-        runs.write_report(compared, golden.compare(spark, truth, found, relation="failure_details", **sides), totals, a.out, a.profile, a.allow_extra)
+    comparison = golden.Comparison(spark, truth, found, a.profile, a.allow_extra, a.kind)
+    totals = runs.write_report(comparison, a.out, a.case_id) if a.out else comparison.summary().first().asDict()
     return {"ok": not totals["cases_failed"], "summary": totals}, runs.exit_code("COMPARE_FAILED" if totals["cases_failed"] else None)
 
 
@@ -56,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
 
     flag = {"action": "store_true"}
     command("validate", _validate, ("contract", {"choices": CONTRACTS}), ("file", {}))
-    command("compare", _compare, ("truth", {}), ("detected", {}), ("--out", {}), ("--case-id", {}), ("--kind", {}), ("--profile", {"choices": tuple(golden.PROFILES), "default": "strict"}), ("--allow-extra", flag))
+    command("compare", _compare, ("truth", {}), ("detected", {}), ("--out", {}), ("--case-id", {}), ("--all-detections", flag), ("--kind", {}), ("--profile", {"choices": tuple(golden.PROFILES), "default": "strict"}), ("--allow-extra", flag))
     command("promote", _promote, ("gallery", {}), ("out", {}), ("--keep", {"nargs": "+"}), ("--force", flag), ("--allow-empty", flag))
     command("summarize-review", lambda a: (runs.summarize(local_session(), read_mapping(a.file)), 0), ("file", {}))
     command("list-templates", lambda a: (specs.list_templates(), 0))

@@ -27,7 +27,11 @@ def relations(d) -> dict[str, str]:
     moved = ", ".join(shift(f"{p}_{c}", "CASE WHEN (case_id + pos) % 7 = 0 THEN 3 ELSE 0 END" if c[0] == "x" else "CASE WHEN (case_id + pos) % 13 = 0 THEN 9 ELSE 0 END") for p in ("cap", "body") for c in ("x0", "y0", "x1", "y1"))
     # tables may come without a context
     context = ", ".join(f"CASE WHEN kind = 'table' AND (case_id + pos) % 11 = 0 THEN NULL ELSE ctx_{c} END AS ctx_{c}" for c in ("x0", "y0", "x1", "y1"))
-    checks = " UNION ALL ".join(f"SELECT t.case_id, t.object_key, '{f}' AS field, coalesce({text(f't.{f}')}, 'None') AS expected, coalesce({text(f'f.{f}')}, 'None') AS actual, t.{f} IS NOT DISTINCT FROM f.{f} AS passed FROM truth t JOIN detected f ON t.case_id = f.case_id AND t.object_key = f.object_key WHERE t.kind = 'table'" for f in TABLE_FIELDS)
+    # a value's key compares as the contract's values do (numbers by value, true as 1), shown is how a report writes it
+    quote, number = "chr(39)", lambda x: f"concat('n:', {text(f'CAST({x} AS DOUBLE)')})"
+    values = {"part_index": (number("part_index"), text("part_index")), "is_continuation": (f"CASE WHEN is_continuation THEN {number(1)} ELSE {number(0)} END", "CASE WHEN is_continuation THEN 'True' ELSE 'False' END")}
+    field = lambda f: values.get(f, (f"concat('s:', {f})", f"concat({quote}, {f}, {quote})"))
+    with_fields = lambda source, absent: " UNION ALL ".join(f"SELECT case_id, object_key, '{f}' AS field, CASE WHEN {f} IS NULL THEN 'null' ELSE {field(f)[0]} END AS val, CASE WHEN {f} IS NULL THEN 'None' ELSE {field(f)[1]} END AS shown FROM {source} WHERE kind = 'table'" + (f" AND NOT ({absent[f]})" if f in absent else "") for f in TABLE_FIELDS)
     delta = ", ".join(f"{d.hundredths(f'f.{c} - t.{c}')} AS d{c}" for c in ("x0", "y0", "x1", "y1"))
     shown = f"concat('[', {text('dx0')}, ', ', {text('dy0')}, ', ', {text('dx1')}, ', ', {text('dy1')}, ']')"
     short = "replace({0}, '_region', '')"
@@ -46,18 +50,27 @@ def relations(d) -> dict[str, str]:
           FROM truth t FULL OUTER JOIN detected f ON t.case_id = f.case_id AND t.object_key = f.object_key""",
         "truth_regions": spread("truth"),
         "found_regions": spread("detected"),
+        # SRC3: a field that is absent has no row, one that is null has; here and there either side lacks one
+        "truth_fields": with_fields("truth", {"is_continuation": "(case_id + pos) % 5 = 0"}),
+        "found_fields": with_fields("detected", {"continued_from": "(case_id + pos) % 7 = 0", "is_continuation": "(case_id + pos) % 3 = 0"}),
+        # every case of either side, also those without any object
+        "truth_cases": "SELECT DISTINCT doc_id AS case_id FROM layout_pages",
+        "found_cases": "SELECT DISTINCT case_id FROM detected UNION SELECT -1 - case_id FROM truth_cases WHERE case_id % 31 = 0",
+        "all_cases": "SELECT case_id FROM truth_cases UNION SELECT case_id FROM found_cases",
         # Boxes within tolerance; deltas are rounded before the test
-        "region_deltas": f"""SELECT t.case_id, t.object_key, t.kind, t.page, t.region, {', '.join(f't.{c} AS t_{c}' for c in ('x0', 'y0', 'x1', 'y1'))}, {', '.join(f'f.{c} AS f_{c}' for c in ('x0', 'y0', 'x1', 'y1'))}, {delta}, tol_x, tol_y, CASE WHEN f.case_id IS NULL THEN 'missing region in detected' END AS reason
+        "region_deltas": f"""SELECT t.case_id, t.object_key, t.kind, t.page, t.region, {', '.join(f't.{c} AS t_{c}' for c in ('x0', 'y0', 'x1', 'y1'))}, {', '.join(f'f.{c} AS f_{c}' for c in ('x0', 'y0', 'x1', 'y1'))}, {delta}, tol_x, tol_y, CASE WHEN f.x0 IS NULL THEN 'missing region in detected' WHEN t.x0 IS NULL THEN 'missing region in truth' END AS reason
           FROM truth_regions t JOIN diff x ON x.case_id = t.case_id AND x.object_key = t.object_key AND x.status = 'matched' JOIN tolerances o ON o.region = CASE WHEN t.region = 'bbox' THEN t.kind ELSE t.region END
           LEFT JOIN found_regions f ON f.case_id = t.case_id AND f.object_key = t.object_key AND f.region = t.region""",
         "region_checks": "SELECT *, coalesce(abs(dx0) <= tol_x AND abs(dx1) <= tol_x AND abs(dy0) <= tol_y AND abs(dy1) <= tol_y, false) AS passed FROM region_deltas",
-        "field_checks": checks,
+        # only fields that truth has are compared
+        "field_checks": f"""SELECT t.case_id, t.object_key, t.field, t.shown AS expected, coalesce(f.shown, concat({quote}, '<<missing>>', {quote})) AS actual, coalesce(f.val = t.val, false) AS passed
+          FROM truth_fields t JOIN diff x ON x.case_id = t.case_id AND x.object_key = t.object_key AND x.status = 'matched' LEFT JOIN found_fields f ON f.case_id = t.case_id AND f.object_key = t.object_key AND f.field = t.field""",
         # A4: an object passes with all of its regions and fields
         "compared": """SELECT x.case_id, x.object_key, x.kind, x.page, x.idx, x.status, x.status = 'matched' AND coalesce(r.passed, true) AND coalesce(f.passed, true) AS passed, coalesce(r.checked, 0) AS regions_checked, coalesce(r.failed, 0) AS regions_failed FROM diff x
           LEFT JOIN (SELECT case_id, object_key, bool_and(passed) AS passed, count(*) AS checked, count(*) FILTER (WHERE NOT passed) AS failed FROM region_checks GROUP BY case_id, object_key) AS r ON x.case_id = r.case_id AND x.object_key = r.object_key
           LEFT JOIN (SELECT case_id, object_key, bool_and(passed) AS passed FROM field_checks GROUP BY case_id, object_key) AS f ON x.case_id = f.case_id AND x.object_key = f.object_key""",
-        "case_results": """SELECT case_id, bool_and(passed) AS passed, count(*) FILTER (WHERE status <> 'extra') AS expected, count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'extra') AS extra,
-          CAST(sum(regions_checked) AS BIGINT) AS regions_checked, CAST(sum(regions_failed) AS BIGINT) AS regions_failed FROM compared GROUP BY case_id""",
+        "case_results": """SELECT c.case_id, coalesce(bool_and(x.passed), true) AS passed, count(*) FILTER (WHERE x.status <> 'extra') AS expected, count(*) FILTER (WHERE x.status = 'matched') AS matched, count(*) FILTER (WHERE x.status = 'missing') AS missing, count(*) FILTER (WHERE x.status = 'extra') AS extra,
+          CAST(coalesce(sum(x.regions_checked), 0) AS BIGINT) AS regions_checked, CAST(coalesce(sum(x.regions_failed), 0) AS BIGINT) AS regions_failed FROM all_cases c LEFT JOIN compared x ON x.case_id = c.case_id GROUP BY c.case_id""",
         # SNK3: what a failure's row says
         "failure_notes": f"""SELECT case_id, object_key, 0 AS part, region AS name, concat(region, ' Δ', CASE WHEN reason IS NULL THEN {shown} ELSE 'None' END, ' tol(', {text('tol_x')}, ', ', {text('tol_y')}, ')') AS note FROM region_checks WHERE NOT passed
           UNION ALL SELECT case_id, object_key, 1, field, concat(field, ': exp ', expected, ' got ', actual) FROM field_checks WHERE NOT passed""",
@@ -94,6 +107,8 @@ def queries(d) -> dict[str, str]:
         "f6_overlay_pages": "SELECT case_id, page, objects, failures FROM page_failures WHERE case_id % 2 = 1 AND page IN (1, 3)",
         "p7_overlay_labels": "SELECT * FROM overlay_labels",
         "j15_overlay_boxes": "SELECT * FROM failure_boxes",
+        "a4_case_results": "SELECT * FROM case_results",
+        "src3_field_presence": "SELECT c.case_id, c.object_key, count(t.field) AS in_truth, count(f.field) AS in_detected FROM diff c LEFT JOIN truth_fields t ON t.case_id = c.case_id AND t.object_key = c.object_key LEFT JOIN found_fields f ON f.case_id = t.case_id AND f.object_key = t.object_key AND f.field = t.field WHERE c.kind = 'table' GROUP BY c.case_id, c.object_key",
         "snk3_report_rows": f"SELECT c.case_id, c.object_key, concat('| `', CAST(c.case_id AS {t}), '` | ', c.kind, ' | ', c.idx, ' | ', c.status, ' | ', CASE WHEN c.status = 'matched' THEN coalesce(f.detail, '') ELSE c.status END, ' |') AS row_text FROM compared c LEFT JOIN failure_details f ON c.case_id = f.case_id AND c.object_key = f.object_key WHERE NOT c.passed",
         "snk3_report_summary": f"SELECT concat('- cases: ', CAST(count(*) FILTER (WHERE passed) AS {t}), '/', CAST(count(*) AS {t}), ' passed (', CAST(count(*) FILTER (WHERE NOT passed) AS {t}), ' failed)') AS cases_line, concat('- objects: expected ', CAST(CAST(sum(expected) AS BIGINT) AS {t}), ', matched ', CAST(CAST(sum(matched) AS BIGINT) AS {t}), ', missing ', CAST(CAST(sum(missing) AS BIGINT) AS {t}), ', extra ', CAST(CAST(sum(extra) AS BIGINT) AS {t})) AS objects_line, concat('- regions: ', CAST(CAST(sum(regions_checked) - sum(regions_failed) AS BIGINT) AS {t}), '/', CAST(CAST(sum(regions_checked) AS BIGINT) AS {t}), ' within tolerance (', CAST(CAST(sum(regions_failed) AS BIGINT) AS {t}), ' failed)') AS regions_line FROM case_results",
         "x12_overlay_index": f"SELECT p.case_id, p.page, concat('| `', CAST(p.case_id AS {t}), '` | ', CAST(p.page AS {t}), ' | ', CAST(p.objects AS {t}), ' | ', CAST(p.failures AS {t}), ' |') AS row_text FROM page_failures p WHERE p.failures > 0",

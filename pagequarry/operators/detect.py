@@ -61,10 +61,11 @@ def relations(d) -> dict[str, str]:
         "margin_merged": f"SELECT doc_id, page, kind, width, {merge} AS blocks FROM margin_stacks",
         "margin_blocks": f"SELECT *, {'size' if d.name == 'spark' else 'len'}(blocks) AS many FROM margin_merged",
         "margin_block": d.explode("margin_blocks", "doc_id, page, kind, width, many", "blocks", "block"),
-        # bands
+        # Bands; corners are found before they are rounded
+        "band_corners": f"""SELECT doc_id, page, kind, width, many, block, greatest(0, {_fold_min(d, 'x0')} - 3) AS x0, {_fold_min(d, 'y0')} AS y0, least(width, {_fold_max(d, 'x1')} + 3) AS x1 FROM margin_block""",
         "bands": f"""SELECT doc_id, page, kind, {d.first('block')}.line_seq AS pos, {d.join(d.map('block', 'v', 'v.text'), 'chr(10)')} AS text, concat(kind, '|', {d.join(d.map('block', 'v', S.common_key(d, 'v.text')), "'|'")}) AS id_key,
-          CASE WHEN many = 1 THEN CAST(48 AS DOUBLE) ELSE {d.hundredths(f"greatest(0, {_fold_min(d, 'x0')} - 3)")} END AS x0, {d.hundredths(_fold_min(d, 'y0'))} AS y0, CASE WHEN many = 1 THEN width - 48 ELSE {d.hundredths(f"least(width, {_fold_max(d, 'x1')} + 3)")} END AS x1,
-          {d.hundredths(_fold_min(d, 'y0'))} + 35 + 6 * ({'size' if d.name == 'spark' else 'len'}(block) - 1) AS y1 FROM margin_block""",
+          CASE WHEN many = 1 THEN CAST(48 AS DOUBLE) ELSE {d.hundredths('x0')} END AS x0, {d.hundredths('y0')} AS y0, CASE WHEN many = 1 THEN width - 48 ELSE {d.hundredths('x1')} END AS x1,
+          {d.hundredths('y0')} + 35 + 6 * ({'size' if d.name == 'spark' else 'len'}(block) - 1) AS y1 FROM band_corners""",
         "watermarks": f"""SELECT l.doc_id, l.page, 'watermark' AS kind, l.line_seq AS pos, l.text, concat('wm|', {S.common_key(d, 'l.text')}) AS id_key, greatest(0, l.x0 - 18) AS x0, greatest(0, l.y0 - 18) AS y0, least(p.width, l.x1 + 18) AS x1, least(p.height, l.y1 + 18) AS y1
           FROM lines l JOIN layout_pages p ON l.doc_id = p.doc_id AND l.page = p.page WHERE {S.is_watermark(d, 'l.text')}""",
         # Ids by first appearance

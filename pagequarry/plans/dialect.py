@@ -72,9 +72,21 @@ class Spark:
     def half_even(self, x: str) -> str:
         return f"CAST(rint({x}) AS INT)"
 
+    def whole(self, x: str) -> str:
+        """The nearest whole number as a double; halves go to the even one."""
+        return f"rint({x})"
+
     def hundredths(self, x: str) -> str:
-        """x at two decimals; halves go to the even one."""
-        return f"(rint(({x}) * 100) / 100)"
+        """x at two decimals as its exact binary value rounds; only true halves go to the even one.
+
+        Whether x * 100 is a half is not told from the product, which is itself rounded: where it
+        looks like one, the sign of its exact residual (by splitting x into two halves of its bits) decides.
+        """
+        x = f"({x})"
+        product, split = f"({x} * 100)", f"({x} * CAST(134217729 AS DOUBLE))"
+        high = f"({split} - ({split} - {x}))"
+        residual = f"(({high} * 100 - {product}) + ({x} - {high}) * 100)"
+        return f"CASE WHEN abs({x}) >= 70368744177664 THEN {x} WHEN abs({product} - {self.whole(product)}) <> 0.5 THEN {self.whole(product)} / 100 WHEN {residual} > 0 THEN CAST(ceil({product}) AS DOUBLE) / 100 WHEN {residual} < 0 THEN CAST(floor({product}) AS DOUBLE) / 100 ELSE {self.whole(product)} / 100 END"
 
     def strings(self, item: str) -> str:
         """Distinct strings of a group, sorted and joined by a comma."""
@@ -227,8 +239,8 @@ class DuckDB(Spark):
     def half_even(self, x: str) -> str:
         return f"CAST(round_even({x}, 0) AS INT)"
 
-    def hundredths(self, x: str) -> str:
-        return f"(round_even(({x}) * 100, 0) / 100)"
+    def whole(self, x: str) -> str:
+        return f"round_even({x}, 0)"
 
     def strings(self, item: str) -> str:
         return f"array_to_string(list_sort(list(DISTINCT {item})), ',')"

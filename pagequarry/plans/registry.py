@@ -34,6 +34,8 @@ def _detect(d) -> dict[str, str]:
         "p18_safe_index": f"SELECT DISTINCT idx, {S.safe_index(d, 'idx')} AS safe FROM anchors",
         "p19_object_id": f"SELECT doc_id, anchor_id, page, {S.object_id(d, 'kind', 'idx', 'page')} AS object_id FROM anchors",
         "p20_coordinates": f"SELECT doc_id, page, draw_seq, scale, {d.hundredths('x0 / scale')} AS pt_x, {d.hundredths('y0 / scale')} AS pt_y, {d.hundredths('x0 * scale')} AS screen_x, {d.hundredths('y0 * scale')} AS screen_y, {d.hundredths('x1 - x0')} AS dx, {d.hundredths('y1 - y0')} AS dy, {d.hundredths('sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))')} AS distance, {d.hundredths('x1 * scale')} AS px_x1, {d.hundredths('y1 * scale')} AS px_y1 FROM (SELECT *, CAST(1 + draw_seq % 4 * 0.5 AS DOUBLE) AS scale FROM drawings) AS x",
+        # three-decimal coordinates of both signs; DuckDB formats them instead, which rounds the exact value too
+        "p20_exact_rounding": f"SELECT l_orderkey, l_linenumber, x, {d.hundredths('x') if d.name == 'spark' else "CAST(printf('%.2f', x) AS DOUBLE)"} AS rounded FROM (SELECT l_orderkey, l_linenumber, CAST((l_orderkey * 7919 + l_linenumber * 104729 + l_partkey) % 2000003 - 1000001 AS DOUBLE) / 1000 AS x FROM lineitem) AS x",
         "p24_index_style": f"SELECT DISTINCT idx, {S.index_style(d, 'idx')} AS style FROM anchors",
         "p25_task_hint": f"SELECT doc_id, anchor_id, page, {S.hint(d, 'kind')} AS hint FROM anchors",
         "f1_margin_lines": "SELECT doc_id, page, kind, line_seq FROM margin_lines",

@@ -117,18 +117,49 @@ def table(columns, rows) -> list[str]:
     return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(map(str, r)) + " |" for r in rows)]
 
 
-def write_report(compared: DataFrame, details: DataFrame, totals: dict, folder: str | Path, profile: str = "strict", allow_extra: bool = False) -> None:
-    """compare_report.md and .json: totals, and a row for each object that failed (details: case_id, object_key, detail)."""
+def _details(o: dict) -> str:
+    if o["status"] != "matched":
+        return o["status"]
+    bad = [f"{r['region']} Δ{r['delta']} tol({r['tolerance']['x']}, {r['tolerance']['y']})" for r in o["regions"] if not r["passed"]]
+    return "; ".join(bad + [f"{f['field']}: exp {f['expected']} got {f['actual']}" for f in o["fields"] if not f["passed"]])
+
+
+def write_report(comparison, folder: str | Path, case_id: str | None = None) -> dict:
+    """compare_report.md and .json of a golden.Comparison: totals, failures and every case with its objects, regions and fields; returns the totals.
+
+    Cases come one after the other and are written at once, so the driver holds one case at a time.
+    """
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
-    failed = compared.where("NOT passed").join(details, ["case_id", "object_key"], "left").orderBy("case_id", "object_key").toLocalIterator()
-    failures = [r.asDict() for r in failed]
-    t = totals
-    lines = ["# Comparison of detections with truth", "", f"- tolerance profile: `{profile}`, allow_extra: {allow_extra}", f"- cases: {t['cases_passed']}/{t['cases_total']} passed ({t['cases_failed']} failed)", f"- objects: expected {t['objects_expected']}, matched {t['objects_matched']}, missing {t['objects_missing']}, extra {t['objects_extra']}", f"- regions: {t['regions_checked'] - t['regions_failed']}/{t['regions_checked']} within tolerance ({t['regions_failed']} failed)", ""]
-    rows = [(f"`{r['case_id']}`", r["kind"], r["idx"] or "", r["status"], r["detail"] or r["status"]) for r in failures]
-    lines += ["## Failures", "", *table(("case_id", "kind", "index", "status", "detail"), rows)] if rows else ["All comparisons passed within tolerance."]
-    (folder / "compare_report.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
-    (folder / "compare_report.json").write_text(json.dumps({"summary": t, "failures": failures, "config": {"tolerance_profile": profile, "allow_extra": allow_extra}}, ensure_ascii=False, indent=2, default=str) + "\n", encoding="utf-8")
+    t = comparison.summary().first().asDict()
+    config = {"tolerance_profile": comparison.profile, "allow_extra": comparison.allow_extra, "case_id_filter": case_id, "region_kind_filter": comparison.kind}
+    head = ["# Comparison of detections with truth", "", f"- tolerance profile: `{comparison.profile}`, allow_extra: {comparison.allow_extra}", f"- cases: {t['cases_passed']}/{t['cases_total']} passed ({t['cases_failed']} failed)", f"- objects: expected {t['objects_expected']}, matched {t['objects_matched']}, missing {t['objects_missing']}, extra {t['objects_extra']}", f"- regions: {t['regions_checked'] - t['regions_failed']}/{t['regions_checked']} within tolerance ({t['regions_failed']} failed)", ""]
+    dump = lambda x: json.dumps(x, ensure_ascii=False)
+    with (folder / "compare_report.json").open("w", encoding="utf-8") as out, (folder / "compare_report.md").open("w", encoding="utf-8") as page:
+        page.write("\n".join(head) + "\n")
+        out.write(f'{{"summary": {dump(t)},\n"config": {dump(config)},\n"cases": [')
+        failures, first = folder / ".failures", True
+        with failures.open("w", encoding="utf-8") as failed:
+            for r in comparison.reports().orderBy("case_id").toLocalIterator():
+                case = r.asDict(recursive=True)
+                for o in case["objects"]:
+                    o["regions"] = [{k: v for k, v in x.items() if k != "reason" or v} for x in o["regions"]]
+                out.write(("\n" if first else ",\n") + dump(case))
+                first = False
+                for o in case["objects"]:
+                    if not o["passed"]:
+                        if not failed.tell():
+                            page.write("\n".join(["## Failures", "", *table(("case_id", "kind", "index", "status", "detail"), [])]) + "\n")
+                        failed.write((",\n" if failed.tell() else "\n") + dump({"case_id": case["case_id"], **o}))
+                        page.write(f"| `{case['case_id']}` | {o['kind']} | {o['index'] or ''} | {o['status']} | {_details(o)} |\n")
+        if not failures.stat().st_size:
+            page.write("All comparisons passed within tolerance.\n")
+        out.write('],\n"failures": [')
+        with failures.open(encoding="utf-8") as failed:
+            shutil.copyfileobj(failed, out)
+        out.write("]}\n")
+        failures.unlink()
+    return t
 
 
 def summarize(spark: SparkSession, review: dict) -> dict:
