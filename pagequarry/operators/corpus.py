@@ -151,7 +151,7 @@ def relations(d) -> dict[str, str]:
     named = ", ".join(f"('{x}', '{a}')" for a, names in (("core", CORE_NAMES), ("negative", NEGATIVE_NAMES)) for x in names)
     on = lambda c: f"coalesce(bool_or(enabled AND ({c})), false)"
     own = lambda c: f"coalesce(bool_or(enabled AND slot <> 'extra' AND ({c})), false)"
-    partial = "odd_only AND (page_count + 1) / 2 < page_count AND page_count > 1"
+    partial = "supported < page_count"
     signature = d.join(d.map(d.gather(d.struct(pos="pos", item="CASE WHEN kind = 'text' THEN concat('text', CAST(line_count AS " + t + ")) ELSE kind END")), "v", "v.item"), "'_'")
     gap_pt = "CASE WHEN {p} = 'below' THEN cap_y0 - body_y1 ELSE body_y0 - cap_y1 END"
     real_gap = d.half_even(f"greatest(0, {gap_pt.format(p='title_position')}) / {LINE}")

@@ -13,11 +13,11 @@ from .store import bucketed, exists, stamp, stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Relations that several others read: Spark writes them once for all readers of a session.
-CUT = frozenset({"slots", "doc_pages", "lines", "drawings", "line_captions", "anchors", "commons", "table_groups", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects", "truth", "truth_regions", "detected", "found_regions", "compared", "case_specs", "hf_cases", "target_specs", "spec_truth", "tags", "editor_objects", "overlay_boxes", "edit_checks", "edited_boxes", "package_objects"})
+CUT = frozenset({"slots", "doc_pages", "lines", "drawings", "line_captions", "anchors", "commons", "table_groups", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects", "truth", "truth_regions", "detected", "found_regions", "compared", "case_specs", "hf_cases", "target_specs", "spec_truth", "tags", "editor_objects", "overlay_boxes", "edit_checks", "edited_boxes", "package_objects", "scenario_texts", "sx_valid", "sx_targets", "sx_contexts", "sx_columns", "sx_free", "hf_specs"})
 #: Of these, the ones that joins read by page: written in buckets, so that such joins don't shuffle.
 BY_PAGE = frozenset({"lines", "drawings", "line_captions", "anchors", "commons", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects"})
 BUCKETS = 8
-#: Written relations by application, source folder and name, with the path and what tells whether the sources are still the same.
+#: Written relations by application, source folder, name and definition, with the path and what tells whether the sources are still the same.
 _WRITTEN: dict[tuple[str, str, str], tuple[DataFrame, tuple]] = {}
 _NAME = re.compile(r"\b[a-z_0-9]+\b")
 
@@ -82,7 +82,7 @@ def run(spark: SparkSession, sql: str, known: dict[str, str], sources: dict[str,
     def build(n: str) -> None:
         if n in views:
             return
-        key = (spark.sparkContext.applicationId, place or "", n)
+        key = (spark.sparkContext.applicationId, place or "", f"{n} {hash(tuple(known[x] for x in [*needed(known[n], known), n]))}")
         df = old(n, key) if n in CUT else None
         if df is None:
             for need in direct(known[n], known):

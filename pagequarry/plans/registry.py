@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import scalars as S
-from ..operators import compare, corpus, detect, lifecycle, validate
+from ..operators import compare, corpus, detect, lifecycle, validate, scenarios
 from ..sources import layout, specs
 from . import graph
 from .dialect import Spark
@@ -72,8 +72,14 @@ def _statements(d) -> dict[str, str]:
     return {**_detect(d), **compare.queries(d), **corpus.queries(d), **lifecycle.queries(d), **validate.queries(d)}
 
 
+def compiled(d) -> dict[str, str]:
+    """The relations with those of compiled scenarios instead of the specifications that derive from the tables."""
+    return relations(d) | scenarios.relations(d)
+
+
 def _all() -> dict[str, tuple]:
-    return {name: graph.query(lambda d, name=name: _statements(d)[name], relations) for name in _statements(Spark())}
+    found = {name: graph.query(lambda d, name=name: _statements(d)[name], relations) for name in _statements(Spark())}
+    return found | {name: graph.query(lambda d, name=name: scenarios.queries(d)[name], compiled) for name in scenarios.queries(Spark())}
 
 
 def queries() -> dict:

@@ -57,7 +57,7 @@ def relations(d) -> dict[str, str]:
     core, negative = len(CORE_NAMES), len(CORE_NAMES + NEGATIVE_NAMES)
     kinds = " ".join(f"WHEN {core + k} THEN 'neg.kind:{n}'" for k, n in enumerate(NEGATIVE_KINDS, 1))
     sizes = ", ".join(f"('{n}', {number(w)}, {number(h)})" for n, (w, h) in PAGE_SIZES.items())
-    hf = "SELECT k, '{slot}' AS slot, '{kind}' AS kind, {on} AS enabled, {template} AS template, k % 2 = 0 AS variable_text, k % 10 = {a} AS mirrored, k % 7 = {b} AS rule_line, k % 15 = {c} AS first_suppressed, k % 12 = {e} AS odd_only, CASE WHEN k % 9 = {f} THEN 3 ELSE 0 END AS jx, CASE WHEN k % 9 = {f} THEN 2 ELSE 0 END AS jy, CASE WHEN k % 14 = {b} THEN 2 ELSE 0 END AS rjy, 60 AS x0, {y0} AS y0, 400 AS x1, {y1} AS y1 FROM case_specs"
+    hf = "SELECT k, '{slot}' AS slot, '{kind}' AS kind, {on} AS enabled, {template} AS template, k % 2 = 0 AS variable_text, k % 10 = {a} AS mirrored, k % 7 = {b} AS rule_line, k % 15 = {c} AS first_suppressed, k % 12 = {e} AS odd_only, CASE WHEN k % 12 = {e} THEN CAST(ceil(page_count / 2.0) AS INT) END AS supported, CASE WHEN k % 9 = {f} THEN 3 ELSE 0 END AS jx, CASE WHEN k % 9 = {f} THEN 2 ELSE 0 END AS jy, CASE WHEN k % 14 = {b} THEN 2 ELSE 0 END AS rjy, 60 AS x0, {y0} AS y0, 400 AS x1, {y1} AS y1 FROM case_specs"
     slots = (("header", "header", "k % 4 <> 1", choice("k", HEADER_TEMPLATES), 0, 1, 2, 3, 4, "36", "60"), ("footer", "footer", "k % 3 <> 1", choice("k", FOOTER_TEMPLATES), 5, 2, 7, 8, 4, "CAST(height - 60 AS INT)", "CAST(height - 36 AS INT)"), ("extra", "footer", "k % 17 = 0", choice("k", FOOTER_TEMPLATES[:3]), 1, 3, 4, 5, 6, "CAST(height - 90 AS INT)", "CAST(height - 66 AS INT)"))
     page_no = f"SELECT s.*, c.case_id, c.page_count, c.page_offset, c.width, c.height, p.page_no FROM {{0}} s JOIN case_specs c ON s.k = c.k JOIN case_pages_of p ON p.k = s.k"
     dx, dy = jitter("page_no", "jx", 3), jitter("page_no", "jy", 2)
