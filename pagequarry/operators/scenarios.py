@@ -84,6 +84,7 @@ def relations(d) -> dict[str, str]:
         # A case of each valid scenario, with what it leaves out filled in
         "case_specs": f"""SELECT h.doc AS k, {d.text_at('h.case_id', '')} AS case_id, CASE WHEN {Value(d, 'axes.core', 'r.v').lacks('absent')} THEN 'core' WHEN {Value(d, 'axes.negative', 'r.v').lacks('absent')} THEN 'negative' ELSE 'custom' END AS axis, coalesce({d.text_at('h.page', 'size')}, 'letter') AS size_, coalesce({d.text_at('h.page', 'orientation')}, 'portrait') AS orientation,
           CAST({number('h.page', 'columns', 1)} AS INT) AS columns_, CAST(h.pages AS INT) AS page_count, CAST({number('h.page', 'page_offset', 0)} AS INT) AS page_offset, false AS stress, CAST(h.w AS DOUBLE) AS width, CAST(h.h AS DOUBLE) AS height FROM sx_heads h JOIN sx_roots r ON h.doc = r.doc""",
+        "sx_roots_axes": f"""SELECT doc AS k, coalesce({d.object_text('v', 'axes')}, '{{"scenario":"custom"}}') AS axes, {v('realistic').has('absent')} OR NOT {v('realistic').falsy} AS realistic, coalesce({d.text_at('v', 'notes')}, concat('Custom scenario ', {d.text_at('v', 'case_id')}, '.')) AS notes FROM sx_roots""",
         "case_hints": f"SELECT doc AS k, {d.text_at('v', '')} AS hint FROM ({d.items('sx_roots', 'r.doc', 'coverage_hints')}) AS x",
         "hf_support": f"SELECT s.doc AS k, s.kind AS slot, CAST({d.number_at('s.v', '')} AS INT) AS page_no FROM sc_supports s JOIN sx_valid a ON s.doc = a.doc",
         "hf_bands": " UNION ALL ".join(band(kind) for kind in ("header", "footer")),

@@ -117,6 +117,10 @@ class Spark:
     def text_at(self, value: str, path: str) -> str:
         return f"try_variant_get({value}, '${_dotted(path)}', 'string')"
 
+    def object_text(self, value: str, path: str) -> str:
+        """The JSON text of the value at a path, null where it is absent."""
+        return f"to_json({self.at(value, path)})"
+
     def number_at(self, value: str, path: str) -> str:
         return f"try_variant_get({value}, '${_dotted(path)}', 'double')"
 
@@ -165,6 +169,9 @@ class DuckDB(Spark):
     def text_at(self, value: str, path: str) -> str:
         return f"json_extract_string({value}, '${_dotted(path)}')"
 
+    def object_text(self, value: str, path: str) -> str:
+        return f"CAST({self.at(value, path)} AS VARCHAR)"
+
     def number_at(self, value: str, path: str) -> str:
         return f"TRY_CAST({self.text_at(value, path)} AS DOUBLE)"
 

@@ -1,9 +1,10 @@
-import duckdb
 import pytest
 
 from pagequarry.plans import graph, registry
 from pagequarry.plans.dialect import DuckDB, Spark
 
+duckdb = pytest.importorskip("duckdb")
+
 PAGE, LINE, DRAW = "doc_id long, page int, width double, height double", "doc_id long, page int, line_seq int, text string, x0 double, y0 double, x1 double, y1 double", "doc_id long, page int, draw_seq int, x0 double, y0 double, x1 double, y1 double"
 
 
