@@ -44,8 +44,8 @@ def relations(d) -> dict[str, str]:
           UNION ALL SELECT doc_id, page, anchor_id, 'caption_region', {of('cap_')}, CASE kind WHEN 'figure' THEN '{COLOURS['figure']}' ELSE '{COLOURS['table']}' END, CAST({OTHER_WIDTH} AS DOUBLE), true, concat(CASE kind WHEN 'figure' THEN '[FIG ' ELSE '[TBL ' END, idx, '] caption') FROM objects
           UNION ALL SELECT doc_id, page, anchor_id, 'context_region', {of('ctx_')}, CASE kind WHEN 'figure' THEN '{COLOURS['figure']}' ELSE '{COLOURS['table']}' END, CAST({OTHER_WIDTH} AS DOUBLE), true, NULL FROM objects
           UNION ALL SELECT doc_id, page, pos, 'bbox', {box}, CASE kind WHEN 'watermark' THEN '{COLOURS['watermark']}' ELSE '{COLOURS['margin']}' END, CAST({OTHER_WIDTH} AS DOUBLE), false, concat('[', upper(substring(kind, 1, 2)), ']') FROM commons""",
-        # the edit log
-        "edit_targets": "SELECT event_id AS edit_seq, user_id % 120 + 1 AS doc_id, CAST(event_id % 3 + 1 AS INT) AS page, (event_id % 7 + 1) * 10 + 1 AS place, CASE event_id % 6 WHEN 0 THEN 'caption_region' WHEN 1 THEN 'body_region' WHEN 2 THEN 'context_region' WHEN 3 THEN 'bbox' WHEN 4 THEN 'title' ELSE 'caption_region' END AS region, CAST(floor(value) AS BIGINT) % 40 AS v, event_id FROM events",
+        # the edit log: two dozen edits of a page, then of the next document, over all documents
+        "edit_targets": "SELECT event_id AS edit_seq, CAST(floor(event_id / 24) AS BIGINT) % (SELECT max(doc_id) FROM layout_pages) + 1 AS doc_id, CAST(CAST(floor(event_id / 24) AS BIGINT) % 3 + 1 AS INT) AS page, (event_id % 3 + 1) * 10 + 1 AS place, CASE event_id % 6 WHEN 0 THEN 'caption_region' WHEN 1 THEN 'body_region' WHEN 2 THEN 'context_region' WHEN 3 THEN 'bbox' WHEN 4 THEN 'title' ELSE 'caption_region' END AS region, CAST(floor(value) AS BIGINT) % 40 AS v, event_id FROM events",
         "edits": """SELECT e.edit_seq, e.doc_id, e.page, coalesce(o.object_id, 'figure:9.9:page1') AS object_id, e.region, CAST(60 + v * 0.25 - CASE WHEN event_id % 29 = 0 THEN 100 ELSE 0 END AS DOUBLE) AS x0, CAST(100 + v AS DOUBLE) AS y0, CAST(300 + v * 0.5 - CASE WHEN event_id % 31 = 0 THEN 300 ELSE 0 END AS DOUBLE) AS x1, CAST(150 + v + CASE WHEN event_id % 37 = 0 THEN 700 ELSE 0 END AS DOUBLE) AS y1
           FROM edit_targets e LEFT JOIN editor_objects o ON e.doc_id = o.doc_id AND e.page = o.page AND e.place = o.place""",
         # Edits and lookups take the first object of an id, listings the last
@@ -55,6 +55,8 @@ def relations(d) -> dict[str, str]:
         "edit_checks": f"""SELECT e.edit_seq, e.doc_id, e.object_id, e.region, CASE WHEN o.object_id IS NULL THEN 'EDIT_OBJECT_NOT_FOUND' WHEN o.kind = 'common' AND e.region <> 'bbox' OR o.kind <> 'common' AND e.region NOT IN ('caption_region', 'body_region', 'context_region') THEN 'EDIT_REGION_NOT_FOUND'
           WHEN NOT (e.x0 < e.x1 AND e.y0 < e.y1) THEN 'EDIT_BAD_BBOX' WHEN e.x0 < -0.5 OR e.y0 < -0.5 OR e.x1 > p.width + 0.5 OR e.y1 > p.height + 0.5 THEN 'EDIT_OUT_OF_PAGE_BOUNDS' ELSE 'ok' END AS code, {', '.join(f'{d.hundredths(f"e.{c}")} AS {c}' for c in _CORNERS)}
           FROM edits e LEFT JOIN live_objects o ON o.doc_id = e.doc_id AND o.object_id = e.object_id AND o.nth = 1 LEFT JOIN layout_pages p ON p.doc_id = o.doc_id AND p.page = o.page""",
+        # what a stream of edits starts from: each region of the objects that edits can find
+        "stream_objects": f"SELECT o.doc_id, o.object_id, o.kind, p.width, p.height, b.region, {of('b.')} FROM live_objects o LEFT JOIN layout_pages p ON p.doc_id = o.doc_id AND p.page = o.page LEFT JOIN live_boxes b ON b.doc_id = o.doc_id AND b.object_id = o.object_id WHERE o.nth = 1",
         "applied": "SELECT * FROM edit_checks WHERE code = 'ok'",
         # IT4: what each edit replaced (at first the object's own box), and what is valid after all
         "edit_history": f"""SELECT e.edit_seq, e.doc_id, e.object_id, e.region, {before}, {of('e.')}, row_number() OVER (PARTITION BY e.doc_id, e.object_id, e.region ORDER BY e.edit_seq DESC) AS from_end FROM applied e LEFT JOIN live_boxes o ON o.doc_id = e.doc_id AND o.object_id = e.object_id AND o.region = e.region WINDOW w AS (PARTITION BY e.doc_id, e.object_id, e.region ORDER BY e.edit_seq)""",

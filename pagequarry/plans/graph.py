@@ -122,13 +122,17 @@ def tables(spark: SparkSession, sf_dir: str, sql: str, known: dict[str, str]) ->
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in read(sql, known)}
 
 
+def stamps(spark: SparkSession, sf_dir: str, sql: str, known: dict[str, str]) -> dict[str, tuple]:
+    """What tells whether the source tables of a statement are still the same."""
+    return {t: stamp(spark, f"{sf_dir}/{t}.parquet") for t in read(sql, known)}
+
+
 def query(statement: Callable[[object], str], relations: Callable[[object], dict[str, str]]):
     """(Spark query, DuckDB SQL) of a statement that is given the dialect."""
 
     def on_spark(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = Spark()
         sql, known = statement(d), relations(d)
-        found = tables(spark, sf_dir, sql, known)
-        return run(spark, sql, known, found, sf_dir, {t: stamp(spark, f"{sf_dir}/{t}.parquet") for t in found})
+        return run(spark, sql, known, tables(spark, sf_dir, sql, known), sf_dir, stamps(spark, sf_dir, sql, known))
 
     return on_spark, duckdb_sql(statement(DuckDB()), relations(DuckDB()))

@@ -36,7 +36,7 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     files, at = _files(spark, path)
     files.delete(at, True)
 
@@ -47,7 +47,7 @@ def _watch(df: DataFrame, path: str) -> DataFrame:
         atexit.register(_delete_all, spark)
     for old in [p for p, index in _alive.items() if index.get() is None]:
         del _alive[old]
-        _delete(spark, old)
+        delete(spark, old)
     leaf = df._jdf.queryExecution().analyzed().collectLeaves().head()
     _alive[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(leaf.relation().location())
     return df
@@ -57,7 +57,7 @@ def _delete_all(spark: SparkSession) -> None:
     while _alive:
         path, _ = _alive.popitem()
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except (Py4JError, AttributeError, OSError):  # the session or its JVM has ended before
             return
 

@@ -6,7 +6,6 @@ import pytest
 from pagequarry.plans import golden
 from pagequarry.sources import contracts as C
 from pagequarry.sources import runs
-from pagequarry.streaming import edits as E
 
 PAGES = [
     {
@@ -201,12 +200,3 @@ def test_manifest_is_gated(spark, tmp_path):
         C.write_manifest(texts, texts, str(tmp_path / "no"))
     C.write_manifest(texts, texts.limit(0), str(tmp_path / "yes"))
     assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "yes")).collect()] == [{"x": 1}]
-
-
-def test_stream_of_edits(spark, tmp_path):
-    rows = [dict(doc_id=1, edit_seq=k, object_id="figure:1:page1", operation="update_bbox", region="bbox", x0=float(k), y0=0.0, x1=x1, y1=5.0) for k, x1 in ((1, 9.0), (3, 9.0), (2, 9.0), (4, 1.0))]
-    (tmp_path / "log").mkdir()
-    (tmp_path / "log/a.json").write_text("\n".join(map(json.dumps, rows)))
-    q = E.latest_boxes(E.read_edits(spark, str(tmp_path / "log"))).writeStream.outputMode("complete").format("memory").queryName("boxes").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert [(r.edit_seq, r.x0) for r in spark.table("boxes").collect()] == [(3, 3.0)]

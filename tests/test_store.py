@@ -68,7 +68,7 @@ def test_changed_sources_are_read_again(spark, tmp_path):
     orders([(1, 5), (2, 5), (3, 6)])
     assert query(spark, str(tmp_path)).count() == 3
     for path in [p for p in store._alive if "/doc_pages-" in p]:
-        store._delete(spark, path)
+        store.delete(spark, path)
     assert query(spark, str(tmp_path)).count() == 3
     graph.forget()
 
