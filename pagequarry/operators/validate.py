@@ -40,6 +40,7 @@ EXIT_CODES = {
     "OVERLAY_FAILED": 3,
 }
 OK, UNKNOWN_ERROR = 0, 2
+UNREADABLE = "text is not valid JSON"
 
 
 def _names(values) -> str:
@@ -153,7 +154,7 @@ def _detector(d) -> dict[str, str]:
         "det_tables": part("tables"),
         "v1": " UNION ALL ".join(
             (
-                f"SELECT doc, 'manifest root must be an object' AS violation FROM det_roots WHERE {v().lacks('object')}",
+                f"SELECT doc, CASE WHEN v IS NULL THEN '{UNREADABLE}' ELSE 'manifest root must be an object' END AS violation FROM det_roots WHERE {v().lacks('object')}",
                 _broken(d, "det_heads", root, ""),
                 _broken(d, "det_cases", [("", "must be an object", v().lacks("object")), *((f".{n}", "must be a non-empty string", f"{v().has('object')} AND NOT {v(n).filled}") for n in ("case_id", "pdf")), (".pages", "must be a list", f"{v().has('object')} AND {v('pages').lacks('array')}")]),
                 _broken(d, "det_pages", [(".page", "must be an integer", f"NOT ({v().has('object')} AND {v('page').whole})")]),
@@ -182,7 +183,7 @@ def _editor(d) -> dict[str, str]:
         "ed_edits": f"SELECT doc, concat('edits[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('ed_objects', 'r.doc', 'edits')}) AS x",
         "v2": " UNION ALL ".join(
             (
-                f"SELECT doc, 'manifest root must be an object' AS violation FROM ed_roots WHERE {v().lacks('object')}",
+                f"SELECT doc, CASE WHEN v IS NULL THEN '{UNREADABLE}' ELSE 'manifest root must be an object' END AS violation FROM ed_roots WHERE {v().lacks('object')}",
                 _broken(d, "ed_heads", [_version(d, "editor-save-manifest-v0"), *_coordinates(d), *strings, *lists], ""),
                 _broken(d, "ed_pages", [(".page", "must be an integer", f"NOT ({page_ok})"), *((f".{n}", "must be a list", f"{page_ok} AND {v(n).lacks('absent', 'array')}") for n in ("figures", "tables", "common_regions"))]),
                 _broken(
@@ -216,7 +217,7 @@ def _package(d) -> dict[str, str]:
         "pk_objects": f"SELECT * FROM pk_roots WHERE {v().has('object')}",
         "pk_heads": _fields(d, "pk_objects", ("schema_version", "coordinate_unit", "coordinate_origin", "source_pdf", "source_editor_manifest"), f", {v('objects').has('array')} AS objects_ok"),
         "pk_items": f"SELECT doc, concat('objects[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('pk_objects', 'r.doc', 'objects')}) AS x",
-        "v3": " UNION ALL ".join((f"SELECT doc, 'package root must be an object' AS violation FROM pk_roots WHERE {v().lacks('object')}", _broken(d, "pk_heads", root, ""), _broken(d, "pk_items", [("", "must be an object", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in rules)]))),
+        "v3": " UNION ALL ".join((f"SELECT doc, CASE WHEN v IS NULL THEN '{UNREADABLE}' ELSE 'package root must be an object' END AS violation FROM pk_roots WHERE {v().lacks('object')}", _broken(d, "pk_heads", root, ""), _broken(d, "pk_items", [("", "must be an object", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in rules)]))),
     }
 
 
@@ -230,13 +231,15 @@ def _review(d) -> dict[str, str]:
     item = lambda name: f"SELECT doc, concat('{name}[', CAST(i AS {t}), ']') AS path, v FROM ({d.items('rv_roots', 'r.doc', name)}) AS x"
     return {
         "rv_roots": f"SELECT doc, {d.parse('body')} AS v FROM review_texts",
-        "rv_heads": _fields(d, "rv_roots", ("schema_version", "pdf"), "".join(f", {v(n).has('absent', 'array')} AS {n}_ok" for n in ("objects", "missed_objects"))),
+        "rv_heads": _fields(d, "rv_roots", ("schema_version", "pdf"), "".join(f", {v(n).has('absent', 'array')} AS {n}_ok" for n in ("objects", "missed_objects")) + ", v IS NULL AS unread"),
+        "rv_heads_read": "SELECT * FROM rv_heads WHERE NOT unread",
         "rv_objects": item("objects"),
         "rv_missed": item("missed_objects"),
         "rv_changes": f"SELECT doc, concat(path, '.expected_change.', field) AS path, field, v FROM ({d.entries('rv_objects', 'r.doc, r.path', 'expected_change')}) AS x",
         "v5": " UNION ALL ".join(
             (
-                _broken(d, "rv_heads", [_version(d, "real-pdf-review-v0"), ("pdf", "must be a non-empty string", f"NOT {_field(d)('pdf').filled}"), *((n, "must be a list", f"NOT {n}_ok") for n in ("objects", "missed_objects"))], ""),
+                f"SELECT doc, '{UNREADABLE}' AS violation FROM rv_heads WHERE unread",
+                _broken(d, "rv_heads_read", [_version(d, "real-pdf-review-v0"), ("pdf", "must be a non-empty string", f"NOT {_field(d)('pdf').filled}"), *((n, "must be a list", f"NOT {n}_ok") for n in ("objects", "missed_objects"))], ""),
                 _broken(d, "rv_objects", [("", "must be a mapping", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in objects)]),
                 _broken(d, "rv_changes", [("", "is no region", f"field NOT IN ({_names(REGIONS[:3])})"), ("", "must be 4 numbers", f"field IN ({_names(REGIONS[:3])}) AND NOT {v().bbox}")]),
                 _broken(d, "rv_missed", [("", "must be a mapping", v().lacks("object")), *((p, w, there(bad)) for p, w, bad in missed)]),
@@ -259,7 +262,7 @@ def _setup(d) -> dict[str, str]:
     low, high = (f"CAST(nullif({d.group(pages, p, 1)}, '') AS BIGINT)" for p in (r"^\s*([0-9]+)", r"-\s*([0-9]+)\s*$"))
     fine = "advanced_fine_tuning"
     given = f"{v('input.page_range').lacks('absent', 'null')}"
-    cases = [("SETUP_MISSING_FIELD", "schema_version", v("schema_version").has("absent")), ("SETUP_INVALID_VALUE", "schema_version", f"NOT {v('schema_version').one_of('setup-yaml-v0')}")]
+    cases = [("SETUP_FILE_UNREADABLE", "", "unread"), ("SETUP_MISSING_FIELD", "schema_version", v("schema_version").has("absent")), ("SETUP_INVALID_VALUE", "schema_version", f"NOT {v('schema_version').one_of('setup-yaml-v0')}")]
     for path in REQUIRED_SETUP:
         cases += [("SETUP_MISSING_FIELD", path, v(path).has("absent")), ("SETUP_INVALID_VALUE", path, f"NOT {v(path).spoken}")]
     cases += [("SETUP_PLACEHOLDER_UNRESOLVED", path, f"trim({d.text_at(*path.split('.'))}) = 'CHANGE_ME'") for path in PLACEHOLDER_SETUP]
@@ -269,7 +272,7 @@ def _setup(d) -> dict[str, str]:
         cases.append((code, f"{fine}.{name}", f"{x.lacks('absent')} AND NOT {x.one_of(good)}"))
     code, field = _first(cases)
     names = ("schema_version", "project", "input", "output", fine)
-    return {"su_roots": f"SELECT doc, {d.parse('body')} AS v FROM setup_texts", "su_heads": _fields(d, "su_roots", names), "v4": f"SELECT doc, {code} AS code, {field} AS field FROM su_heads"}
+    return {"su_roots": f"SELECT doc, {d.parse('body')} AS v FROM setup_texts", "su_heads": _fields(d, "su_roots", names, ", v IS NULL AS unread"), "v4": f"SELECT doc, {code} AS code, {field} AS field FROM su_heads"}
 
 
 def _scenario(d) -> dict[str, str]:
@@ -299,7 +302,7 @@ def _scenario(d) -> dict[str, str]:
         rows = d.array(*(f"CASE WHEN {bad} THEN {d.struct(k=str(k), code=f"'{code}'", field=f"'{field}'")} END" for k, (code, field, bad) in enumerate(cases)))
         return f"SELECT doc, {place} * 100000000 + {nth} * 1000 + e.k AS place, e.code AS code, concat({prefix}, e.field) AS field FROM ({d.explode(relation, 'doc, ' + ('i' if nth != '0' else '0 AS i'), d.filter(rows, 'x', 'x IS NOT NULL'), 'e')}) AS x"
 
-    head = [(value, "case_id", f"NOT {h('case_id').spoken}"), ("SCENARIO_UNSUPPORTED_PAGE_SIZE", "page.size", choice("page.size", PAGE_SIZES, h)), (value, "page.orientation", choice("page.orientation", ("portrait", "landscape"), h)), (value, "page.columns", f"{h('page.columns').lacks('absent')} AND NOT coalesce({d.number_at('page', 'columns')} IN (1, 2), false)"), (value, "page.page_count", number("page.page_count", 1, h)), (value, "page.page_offset", number("page.page_offset", 0, h))]
+    head = [("SCENARIO_FILE_UNREADABLE", "", "unread"), (value, "case_id", f"NOT {h('case_id').spoken}"), ("SCENARIO_UNSUPPORTED_PAGE_SIZE", "page.size", choice("page.size", PAGE_SIZES, h)), (value, "page.orientation", choice("page.orientation", ("portrait", "landscape"), h)), (value, "page.columns", f"{h('page.columns').lacks('absent')} AND NOT coalesce({d.number_at('page', 'columns')} IN (1, 2), false)"), (value, "page.page_count", number("page.page_count", 1, h)), (value, "page.page_offset", number("page.page_offset", 0, h))]
     parts = []
     for kind in ("header", "footer"):
         on = f"NOT {h(kind).falsy} AND NOT {h(f'{kind}.enabled').falsy}"
@@ -319,7 +322,7 @@ def _scenario(d) -> dict[str, str]:
     every += [found(f"sc_{name}", 5 + k, rules, f"concat('{name}[', CAST(i AS {t}), ']')", "i") for k, (name, rules) in enumerate(lists.items())]
     return {
         "sc_parsed": f"SELECT doc, {d.parse('body')} AS v FROM scenario_texts",
-        "sc_fields": _fields(d, "sc_parsed", ("case_id", "page", "header", "footer", "watermark")),
+        "sc_fields": _fields(d, "sc_parsed", ("case_id", "page", "header", "footer", "watermark"), ", v IS NULL AS unread"),
         "sc_heads": f"SELECT *, {width} AS w, {height} AS h, coalesce({d.number_at('page', 'page_count')}, 1) AS pages FROM sc_fields",
         "sc_roots": "SELECT p.doc, p.v, f.w, f.h, f.pages FROM sc_parsed p JOIN (SELECT doc, w, h, pages FROM sc_heads) AS f ON p.doc = f.doc",
         "sc_supports": supports,
@@ -404,7 +407,9 @@ def _obj2(name: str, value: tuple[str, dict]) -> str:
 
 
 def relations(d) -> dict[str, str]:
-    texts = {name: f"SELECT doc, CASE k WHEN 40 THEN '[1]' ELSE {body} END AS body FROM cases_of_json" if name in ("detector_texts", "editor_texts", "package_texts") else f"SELECT doc, {body} AS body FROM cases_of_json" for name, body in _texts().items()}
+    odd = lambda name: " WHEN k = 40 THEN '[1]'" if name in ("detector_texts", "editor_texts", "package_texts") else ""
+    # here and there a text breaks off or is none
+    texts = {name: f"SELECT doc, CASE WHEN doc % 211 = 5 THEN '{{\"a\":' WHEN doc % 211 = 6 THEN ''{odd(name)} ELSE {body} END AS body FROM cases_of_json" for name, body in _texts().items()}
     return {"cases_of_json": "SELECT event_id AS doc, event_id % 41 AS k FROM events", **texts, **_detector(d), **_editor(d), **_package(d), **_setup(d), **_review(d), **_scenario(d)}
 
 

@@ -20,6 +20,8 @@ _KINDS = {"path": pa.string(), "kind": pa.string(), "page": pa.int32(), "seq": p
 #: Texts of a contract, and what finds their faults.
 CHECKS = {"detector": ("detector_texts", "v1"), "editor": ("editor_texts", "v2"), "package": ("package_texts", "v3"), "setup": ("setup_texts", "v4"), "review": ("review_texts", "v5"), "scenario": ("scenario_texts", "v6")}
 
+LAST_KEY_COUNTS = "spark.sql.variant.allowDuplicateKeys"
+
 #: What an extractor yields for a document's bytes: (page, width, height, lines, drawings), lines being (text, x0, y0, x1, y1), drawings (x0, y0, x1, y1).
 Extractor = Callable[[bytes], Iterable[tuple[int, float, float, list, list]]]
 
@@ -96,6 +98,11 @@ def editor_texts(cases: DataFrame, source_detector_manifest: str, version: str =
 
 
 def violations(spark: SparkSession, texts: DataFrame, contract: str) -> DataFrame:
-    """Faults of texts (doc, body) by contract: doc and violation, or doc, code and field where only the first counts."""
+    """Faults of texts (doc, body) by contract: doc and violation, or doc, code and field where only the first counts.
+
+    A text that is no JSON has one violation of its own. Of a key that comes twice in an object
+    the last counts, as the contracts' readers have it; the session is set to that.
+    """
+    spark.conf.set(LAST_KEY_COUNTS, "true")
     source, found = CHECKS[contract]
     return graph.run(spark, f"SELECT * FROM {found}", registry.relations(Spark()), {source: texts})

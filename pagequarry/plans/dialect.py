@@ -109,7 +109,8 @@ class Spark:
     # JSON values that were parsed once; paths are like "a.b" or "[0]"
 
     def parse(self, text: str) -> str:
-        return f"parse_json({text})"
+        """The parsed text, null where it is no JSON."""
+        return f"try_parse_json({text})"
 
     def at(self, value: str, path: str) -> str:
         return f"try_variant_get({value}, '${_dotted(path)}', 'variant')"
@@ -161,7 +162,7 @@ class DuckDB(Spark):
         return f"range(1, CAST({n} AS INT) + 1)"
 
     def parse(self, text: str) -> str:
-        return f"CAST({text} AS JSON)"
+        return f"TRY_CAST({text} AS JSON)"
 
     def at(self, value: str, path: str) -> str:
         return f"json_extract({value}, '${_dotted(path)}')"

@@ -104,3 +104,15 @@ def test_first_error_counts(spark):
     (r,) = detector.violations(spark, spark.createDataFrame([(1, json.dumps(both))], "doc long, body string"), "scenario").collect()
     assert (r.code, r.field) == ("SCENARIO_BAD_BBOX", "header.bbox")
     assert [runs.exit_code(c) for c in (None, "COMPARE_FAILED", "SCENARIO_BAD_BBOX", "OVERLAY_FAILED", "anything")] == [0, 1, 2, 3, 2]
+
+
+def test_texts_that_are_no_json(spark):
+    """One text doesn't fail the others; the last of a repeated key counts."""
+    twice = '{"schema_version":"v9",' + json.dumps(DETECTOR)[1:]
+    texts = spark.createDataFrame([(1, '{"a":'), (2, ""), (3, None), (4, twice), (5, json.dumps(DETECTOR))], "doc long, body string")
+    for contract in ("detector", "editor", "package", "review"):
+        found = {r.doc: r.violation for r in detector.violations(spark, texts.where("doc < 4"), contract).collect()}
+        assert found == dict.fromkeys((1, 2, 3), "text is not valid JSON"), contract
+    for contract, code in (("setup", "SETUP_FILE_UNREADABLE"), ("scenario", "SCENARIO_FILE_UNREADABLE")):
+        assert {(r.doc, r.code, r.field) for r in detector.violations(spark, texts.where("doc < 4"), contract).collect()} == {(k, code, "") for k in (1, 2, 3)}
+    assert {r.doc for r in detector.violations(spark, texts, "detector").collect()} == {1, 2, 3}
