@@ -6,11 +6,11 @@ import argparse
 import json
 import sys
 
-from .plans import detector, golden
+from .plans import catalogue, detector, gallery, golden, scenarios
 from .session import local_session
 from .sources import contracts, runs, specs
 from .sources.contracts import InvalidInput
-from .sources.mappings import list_runs, read_mapping
+from .sources.mappings import read_mapping
 
 CONTRACTS = tuple(detector.CHECKS)
 
@@ -37,8 +37,32 @@ def _compare(a) -> tuple[dict, int]:
 
 
 def _promote(a) -> tuple[dict, int]:
-    decisions = {r.case_id: r.decision for r in contracts.read_decisions(local_session(), f"{a.gallery}/index.md").collect()}
-    return {"ok": True, "selected": runs.promote(a.gallery, a.out, decisions, a.keep, a.force, a.allow_empty)}, 0
+    spark = local_session()
+    decisions = None if a.keep else contracts.read_decisions(spark, f"{a.gallery}/index.md")
+    kept = gallery.promote(spark, a.gallery, a.out, decisions, a.keep, a.force, a.allow_empty)
+    return {"ok": True, "selected": sorted(r["case_id"] for r in kept.toLocalIterator())}, 0
+
+
+def _scenarios(a) -> tuple[dict, int]:
+    spark = local_session()
+    texts = scenarios.read_scenarios(spark, a.scenarios)
+    found = {r["doc"]: r for r in scenarios.errors(spark, texts).toLocalIterator()}
+    files = [(r["file"], found[r["doc"]]) for r in texts.select("doc", "file").toLocalIterator()]
+    bad = [{"file": f, "error_code": r["code"], "field": r["field"]} for f, r in sorted(files) if r["code"] != "ok"]
+    if a.command == "generate" and not bad:
+        gallery.generate(spark, texts, a.out, replace=a.force)
+    cases = scenarios.compiled(spark, texts, "case_specs").select("case_id", "size_", "orientation", "page_count").orderBy("case_id")
+    code = bad[0]["error_code"] if bad else None
+    return {"ok": not bad, "scenarios": [{"case_id": r[0], "page_size": r[1], "orientation": r[2], "page_count": r[3]} for r in cases.toLocalIterator()]} | ({"errors": bad, "error_code": code} if bad else {}), runs.exit_code(code)
+
+
+def _self_check(a) -> tuple[dict, int]:
+    found = [r.asDict() for r in gallery.Gallery(local_session(), a.gallery).errors().orderBy("gate", "case_id", "page", "detail").toLocalIterator()]
+    return {"ok": not found, "errors": found}, runs.exit_code("SELF_CHECK_FAILED" if found else None)
+
+
+def _list_runs(a) -> tuple[dict, int]:
+    return {"runs": [r.asDict() for r in catalogue.list_runs(local_session(), a.folder).orderBy("run_id").toLocalIterator()]}, 0
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,7 +81,10 @@ def parser() -> argparse.ArgumentParser:
     command("promote", _promote, ("gallery", {}), ("out", {}), ("--keep", {"nargs": "+"}), ("--force", flag), ("--allow-empty", flag))
     command("summarize-review", lambda a: (runs.summarize(local_session(), read_mapping(a.file)), 0), ("file", {}))
     command("list-templates", lambda a: (specs.list_templates(), 0))
-    command("list-runs", lambda a: ({"runs": list_runs(a.folder)}, 0), ("folder", {}))
+    command("list-scenarios", _scenarios, ("scenarios", {}))
+    command("generate", _scenarios, ("scenarios", {}), ("out", {}), ("--force", flag))
+    command("self-check", _self_check, ("gallery", {}))
+    command("list-runs", _list_runs, ("folder", {}))
     return p
 
 

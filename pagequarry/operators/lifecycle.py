@@ -35,6 +35,7 @@ def relations(d) -> dict[str, str]:
     crop = lambda r: f"CASE WHEN {r}_x0 IS NOT NULL AND least({r}_x1, width) - greatest({r}_x0, 0) > 1 AND least({r}_y1, height) - greatest({r}_y0, 0) > 1 THEN concat('crops/', kind, '_', {S.safe_index(d, 'idx')}, '_{dict(cap='caption', body='body', ctx='context')[r]}.png') END"
     wide = lambda r: ", ".join(f"max(CASE WHEN region = '{dict(regions_by)[r]}' THEN {c} END) AS {r}_{c}" for c in _CORNERS)
     regions_by = [(p, r) for r, p in regions]
+    paged = f"{d.at('v', 'pages')} IS NOT NULL"
     return {
         # The editor's flat objects; equal ids are told apart by place
         "editor_objects": f"SELECT doc_id, page, kind, idx, title, {oid} AS object_id, anchor_id AS place FROM objects UNION ALL SELECT doc_id, page, 'common', kind, text, concat('common:', region_id, ':page', {text('page')}), pos FROM commons",
@@ -71,6 +72,10 @@ def relations(d) -> dict[str, str]:
         "package_boxes": f"SELECT b.doc_id, b.page, b.object_id, b.place, b.kind, {', '.join(wide(p) for _, p in regions)}, count(*) FILTER (WHERE b.edited) AS edits FROM edited_boxes b WHERE b.region <> 'bbox' GROUP BY b.doc_id, b.page, b.object_id, b.place, b.kind",
         "package_objects": f"""SELECT x.doc_id, x.object_id, x.place, x.kind, x.page, x.idx, x.title, {', '.join(of(f'{p}_') for _, p in regions)}, {crop('cap')} AS caption_crop, {crop('body')} AS body_crop, {crop('ctx')} AS context_crop, {S.hint(d, 'kind')} AS task_hint
           FROM (SELECT b.*, o.idx, o.title, p.width, p.height FROM package_boxes b JOIN package_sources s ON s.doc_id = b.doc_id JOIN editor_objects o ON o.doc_id = b.doc_id AND o.page = b.page AND o.place = b.place AND o.kind <> 'common' JOIN layout_pages p ON p.doc_id = b.doc_id AND p.page = b.page WHERE s.schema_version = '{EDITOR_VERSION}' AND s.source_pdf <> '') AS x""",
+        # SRC8, SRC10: run folders; an editor's manifest comes before a detector's, one that can't be read leaves blanks
+        "run_files": "SELECT concat('run', lpad(CAST(doc AS " + t + "), 9, '0')) AS run_id, 'detected' AS kind, body FROM detector_texts WHERE doc % 3 <> 0 UNION ALL SELECT concat('run', lpad(CAST(doc AS " + t + "), 9, '0')) AS run_id, 'editor' AS kind, body FROM editor_texts WHERE doc % 3 <> 1",
+        "run_chosen": f"SELECT run_id, kind, {d.parse('body')} AS v FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY kind DESC) AS nth FROM run_files) AS x WHERE nth = 1",
+        "run_catalogue": f"""SELECT run_id, kind, CASE WHEN {paged} THEN coalesce({d.text_at('v', 'source_pdf')}, '') ELSE coalesce({d.text_at('v', 'cases[0].pdf')}, '') END AS source_pdf, CAST(CASE WHEN {paged} THEN {d.length_at('v', 'pages')} ELSE {d.length_at('v', 'cases[0].pages')} END AS BIGINT) AS page_count FROM run_chosen""",
         # reviews
         "reviews": f"SELECT doc_id, {oid} AS object_id, anchor_id AS place, page, kind, {decision} AS decision FROM objects",
         "missed": "SELECT doc_id, count(*) AS n FROM line_captions WHERE kind IS NULL AND word <> '' GROUP BY doc_id",
@@ -106,6 +111,7 @@ def queries(d) -> dict[str, str]:
         "c9_crop_collisions": "SELECT doc_id, caption_crop, count(*) AS n FROM package_objects WHERE caption_crop IS NOT NULL GROUP BY doc_id, caption_crop HAVING count(*) > 1",
         "c11_review_template": "SELECT doc_id, object_id, place, 'accept' AS decision, '' AS notes FROM reviews",
         "c11_review_package": "SELECT doc_id, object_id, place, kind, page, idx, title, table_group_id, crop FROM (SELECT o.doc_id, " + S.object_id(d, "o.kind", "o.idx", "o.page") + f" AS object_id, o.anchor_id AS place, o.kind, o.page, o.idx, o.title, o.table_group_id, CASE WHEN least(o.body_x1, p.width) - greatest(o.body_x0, 0) > 1 AND least(o.body_y1, p.height) - greatest(o.body_y0, 0) > 1 THEN concat('crops/', o.kind, '_', {S.safe_index(d, 'o.idx')}, '_body.png') END AS crop FROM objects o JOIN layout_pages p ON p.doc_id = o.doc_id AND p.page = o.page) AS x",
+        "src10_run_catalogue": "SELECT * FROM run_catalogue",
         "a5_review_summary": "SELECT doc_id, issue, n FROM issue_counts",
         "a5_accepted": "SELECT doc_id, count(*) AS reviewed_objects, count(*) FILTER (WHERE decision = 'accept') AS accepted FROM reviews GROUP BY doc_id",
         "a5_next_tasks": f"SELECT doc_id, {tasks} AS tasks FROM issue_counts WHERE n > 0 GROUP BY doc_id",

@@ -125,6 +125,10 @@ class Spark:
     def number_at(self, value: str, path: str) -> str:
         return f"try_variant_get({value}, '${_dotted(path)}', 'double')"
 
+    def length_at(self, value: str, path: str) -> str:
+        """How many items the array at a path has, 0 where there is none."""
+        return f"coalesce(greatest(0, size(try_variant_get({value}, '${_dotted(path)}', 'array<variant>'))), 0)"
+
     def items(self, relation: str, columns: str, path: str, rest: str = "true") -> str:
         """A row for each item of the array at a path of v: the columns, i (from 0) and v."""
         at = self.at("r.v", path) if path else "r.v"
@@ -176,6 +180,9 @@ class DuckDB(Spark):
     def number_at(self, value: str, path: str) -> str:
         return f"TRY_CAST({self.text_at(value, path)} AS DOUBLE)"
 
+    def length_at(self, value: str, path: str) -> str:
+        return f"coalesce(json_array_length({value}, '${_dotted(path)}'), 0)"
+
     def items(self, relation: str, columns: str, path: str, rest: str = "true") -> str:
         inner = f"SELECT r.*, json_extract(r.v, '${_dotted(path)}[*]') AS l FROM {relation} r WHERE json_type(r.v, '${_dotted(path)}') = 'ARRAY' AND ({rest})"
         return f"SELECT {columns}, r.i, r.v FROM (SELECT r.* EXCLUDE (v, l), generate_subscripts(l, 1) - 1 AS i, unnest(l) AS v FROM ({inner}) AS r) AS r"

@@ -16,7 +16,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 CUT = frozenset({"slots", "doc_pages", "lines", "drawings", "line_captions", "anchors", "commons", "table_groups", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects", "truth", "truth_regions", "detected", "found_regions", "compared", "case_specs", "hf_cases", "target_specs", "spec_truth", "tags", "editor_objects", "overlay_boxes", "edit_checks", "edited_boxes", "package_objects", "scenario_texts", "sx_valid", "sx_targets", "sx_contexts", "sx_columns", "sx_free", "hf_specs"})
 #: Of these, the ones that joins read by page: written in buckets, so that such joins don't shuffle.
 BY_PAGE = frozenset({"lines", "drawings", "line_captions", "anchors", "commons", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects"})
-BUCKETS = 8
+#: Buckets of such a relation: one for so many bytes of its source tables, but not fewer, nor more than Spark allows.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 8, 1 << 15
 #: Written relations by application, source folder, name and definition, with the path and what tells whether the sources are still the same.
 _WRITTEN: dict[tuple[str, str, str], tuple[DataFrame, tuple]] = {}
 _NAME = re.compile(r"\b[a-z_0-9]+\b")
@@ -52,6 +53,12 @@ def direct(sql: str, known: dict[str, str]) -> list[str]:
     return [n for n in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)\b", sql)) if n in known]
 
 
+def buckets(spark: SparkSession, sizes: list[int]) -> int:
+    """How many buckets hold a relation that comes from source tables of these sizes; the session's shuffle partitions where none is known."""
+    wanted = -(-sum(sizes) // BUCKET_BYTES) if sizes else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, wanted))
+
+
 def run(spark: SparkSession, sql: str, known: dict[str, str], sources: dict[str, DataFrame], place: str | None = None, stamps: dict[str, tuple] | None = None) -> DataFrame:
     """The statement over source tables (by name) and relations; a source of a relation's name replaces it.
 
@@ -89,7 +96,7 @@ def run(spark: SparkSession, sql: str, known: dict[str, str], sources: dict[str,
                 build(need)
             df = spark.sql(renamed(known[n]))
             if n in CUT:
-                df = bucketed(df, n, ["doc_id", "page"], BUCKETS) if n in BY_PAGE else stored(df, n)
+                df = bucketed(df, n, ["doc_id", "page"], buckets(spark, [s[0] for _, s in state(n)])) if n in BY_PAGE else stored(df, n)
                 written[key] = (df, state(n))
         view(n, df)
 

@@ -1,4 +1,4 @@
-"""Small documents that the driver reads itself: setups, reviews, scenarios, and lists of runs."""
+"""Small documents that the driver reads itself: setups, reviews, scenarios."""
 
 from __future__ import annotations
 
@@ -68,15 +68,3 @@ def inside(folder: str | Path, path: str | Path) -> Path:
     if found != folder and folder not in found.parents:
         raise InvalidInput(f"outside of the run: {path}")
     return found
-
-
-def list_runs(folder: str | Path, name: str = "detected_manifest.json") -> list[dict]:
-    """run, pdf and cases of each run folder in order; blanks where its manifest can't be read."""
-    out = []
-    for run in sorted(p for p in Path(folder).iterdir() if p.is_dir()):
-        try:
-            cases = read_mapping(run / name).get("cases") or []
-            out.append({"run": run.name, "pdf": cases[0].get("pdf", "") if cases else "", "cases": len(cases)})
-        except (InvalidInput, AttributeError):
-            out.append({"run": run.name, "pdf": "", "cases": 0})
-    return out

@@ -1,4 +1,4 @@
-"""Run folders, saved manifests, galleries and promoted cases: small documents that the driver reads and writes itself."""
+"""A run's folder, its saved manifest, reviews and reports: documents that the driver reads and writes itself."""
 
 from __future__ import annotations
 
@@ -173,40 +173,3 @@ def summarize(spark: SparkSession, review: dict) -> dict:
     issues["missed_object"] += len(missed)
     tasks = list(dict.fromkeys(task for k, task in NEXT_TASKS.items() if issues[k]))
     return {"ok": True, "pdf": review.get("pdf"), "reviewer": review.get("reviewer", "manual"), "reviewed_objects": len(objects), "accepted": decisions.count("accept"), "missed_objects": len(missed), "issues": issues, "recommended_next_tasks": tasks}
-
-
-def write_gallery(folder: str | Path, cases: list[dict], coverage: dict | None = None, seed: int | None = None) -> None:
-    """MANIFEST.json with the cases and their coverage, and index.md with a review row for each."""
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
-    body = {"schema_version": GALLERY_VERSION, "coordinate_unit": UNIT, "coordinate_origin": ORIGIN, "generation": {"seed": seed}, "coverage_summary": coverage or {}, "cases": cases}
-    (folder / "MANIFEST.json").write_text(json.dumps(body, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
-    rows = [(f"`{c['case_id']}`", f"![]({c['case_id']}/{c['case_id']}.p01.png)", ", ".join(f"{k}={v}" for k, v in (c.get("axes") or {}).items()), "", "", "") for c in cases]
-    (folder / "index.md").write_text("\n".join(["# Gallery", "", *table(REVIEW_COLUMNS, rows)]) + "\n", encoding="utf-8")
-
-
-def promote(gallery: str | Path, out: str | Path, decisions: dict[str, str], keep: list[str] | None = None, force: bool = False, allow_empty: bool = False) -> list[str]:
-    """Copies the kept cases of a gallery, by a list or by the review table's decisions, with a manifest and an index; returns their ids."""
-    gallery, out = Path(gallery), Path(out)
-    body = read_mapping(gallery / "MANIFEST.json")
-    cases = {c["case_id"]: c for c in body.get("cases") or []}
-    if unknown := [c for c in keep or [] if c not in cases]:
-        raise RunError("PROMOTION_FAILED", f"unknown cases: {unknown}")
-    chosen = [c for c in cases if (c in keep if keep else decisions.get(c, "").strip().lower() == KEEP)]
-    if not chosen and not allow_empty:
-        raise RunError("PROMOTION_FAILED", "no case is marked keep")
-    if missing := [c for c in chosen if not (gallery / c).is_dir()]:
-        raise RunError("PROMOTION_FAILED", f"no folder for: {missing}")
-    if out.exists():
-        if not force:
-            raise RunError("OUTPUT_DIR_EXISTS", str(out))
-        shutil.rmtree(out)
-    out.mkdir(parents=True)
-    for c in chosen:
-        shutil.copytree(gallery / c, out / c)
-    counts = {"source_gallery": str(gallery), "selection_source": "cli" if keep else "index.md", "selected_count": len(chosen), "dropped_count": len(cases) - len(chosen)}
-    frozen = {"schema_version": FROZEN_VERSION, "source_gallery_schema_version": body.get("schema_version", GALLERY_VERSION), "coordinate_unit": UNIT, "coordinate_origin": ORIGIN, "promotion": counts, "cases": [cases[c] for c in chosen]}
-    (out / "MANIFEST.json").write_text(json.dumps(frozen, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
-    rows = [(f"`{c}`", ", ".join(f"{k}={v}" for k, v in (cases[c].get("axes") or {}).items()), cases[c].get("page_count", ""), f"{c}/{c}.pdf", f"{c}/{c}.truth.json") for c in chosen]
-    (out / "index.md").write_text("\n".join(["# Frozen cases", "", *table(("case_id", "axis tags", "pages", "pdf", "truth"), rows)]) + "\n", encoding="utf-8")
-    return chosen

@@ -37,4 +37,26 @@ def test_commands(spark, tmp_path, capsys):
     code, out = run(capsys, "summarize-review", tmp_path / "review.json")
     assert code == 0 and (out["accepted"], out["issues"]["wrong_title"], out["issues"]["missed_object"]) == (1, 1, 2) and len(out["recommended_next_tasks"]) == 2
     assert run(capsys, "list-templates")[1]["page_size"] == ["letter", "a4"]
-    assert run(capsys, "list-runs", tmp_path)[0] == 0
+    runs = {"both": {"editor_save_manifest.json": {"pages": [1, 2], "source_pdf": "e.pdf"}, "detected_manifest.json": manifest(PAGES)}, "detected": {"detected_manifest.json": {"cases": [{"pdf": "d.pdf", "pages": [1, 2, 3]}]}}, "editor": {"editor_save_manifest.json": {"pages": None, "source_pdf": "n.pdf"}}, "blank": {"detected_manifest.json": [1]}, "none": {"other.json": {}}, "a b+": {"editor_save_manifest.json": {"cases": []}}}
+    for name, files in runs.items():
+        for file, body in files.items():
+            write(tmp_path / "runs" / name / file, body)
+    (tmp_path / "runs/broken").mkdir()
+    (tmp_path / "runs/broken/editor_save_manifest.json").write_text('{"pages":')
+    write(tmp_path / "runs/broken/detected_manifest.json", {"cases": [{"pdf": "d.pdf", "pages": [1]}]})
+    write(tmp_path / "runs/both/old/detected_manifest.json", manifest(PAGES))
+    found = {r["run_id"]: (r["kind"], r["source_pdf"], r["page_count"]) for r in run(capsys, "list-runs", tmp_path / "runs")[1]["runs"]}
+    assert found == {"both": ("editor", "e.pdf", 2), "detected": ("detected", "d.pdf", 3), "editor": ("editor", "n.pdf", 0), "blank": ("detected", "", 0), "a b+": ("editor", "", 0), "broken": ("editor", "", 0)}
+
+
+def test_gallery_commands(spark, tmp_path, capsys):
+    write(tmp_path / "scenarios/s.json", SCENARIO)
+    assert run(capsys, "list-scenarios", tmp_path / "scenarios") == (0, {"ok": True, "scenarios": [{"case_id": "s", "page_size": "letter", "orientation": "portrait", "page_count": 2}]})
+    assert run(capsys, "generate", tmp_path / "scenarios", tmp_path / "g")[0] == 0 and (tmp_path / "g/s/s.truth.json").is_file()
+    code, out = run(capsys, "self-check", tmp_path / "g")
+    assert code == 1 and {"gate": "missing_pdf", "case_id": "s", "page": None, "detail": ""} in out["errors"]
+    assert run(capsys, "promote", tmp_path / "g", tmp_path / "f", "--keep", "s") == (0, {"ok": True, "selected": ["s"]})
+    assert run(capsys, "promote", tmp_path / "g", tmp_path / "f")[1]["error_code"] == "PROMOTION_FAILED"
+    write(tmp_path / "scenarios/t.json", SCENARIO | {"case_id": " "})
+    code, out = run(capsys, "generate", tmp_path / "scenarios", tmp_path / "h")
+    assert (code, out["error_code"], out["errors"][0]["field"]) == (2, "SCENARIO_INVALID_VALUE", "case_id") and not (tmp_path / "h").exists()

@@ -69,26 +69,6 @@ def test_run_is_opened_edited_and_saved(spark, documents, tmp_path):
         runs.load_run(spark, run)
 
 
-def test_gallery_is_promoted(spark, tmp_path):
-    cases = [{"case_id": c, "axes": {"core": "x"}, "page_count": 1} for c in ("a", "b", "c")]
-    runs.write_gallery(tmp_path / "g", cases, {"counts": {}}, seed=1)
-    for c in ("a", "b", "c"):
-        (tmp_path / "g" / c).mkdir()
-        (tmp_path / "g" / c / f"{c}.truth.json").write_text("{}")
-    index = tmp_path / "g/index.md"
-    index.write_text(index.read_text().replace("core=x |  |  |", "core=x | 4 | keep |", 1))
-    decisions = {r.case_id: r.decision for r in C.read_decisions(spark, str(index)).collect()}
-    assert decisions == {"a": "keep", "b": "", "c": ""}
-    assert runs.promote(tmp_path / "g", tmp_path / "f", decisions) == ["a"]
-    assert json.loads((tmp_path / "f/MANIFEST.json").read_text())["promotion"]["dropped_count"] == 2 and (tmp_path / "f/a/a.truth.json").is_file()
-    for kwargs, code in (({}, "OUTPUT_DIR_EXISTS"), ({"keep": ["z"]}, "PROMOTION_FAILED")):
-        with pytest.raises(runs.RunError, match=code):
-            runs.promote(tmp_path / "g", tmp_path / "f", decisions, **kwargs)
-    with pytest.raises(runs.RunError, match="PROMOTION_FAILED"):
-        runs.promote(tmp_path / "g", tmp_path / "e", {})
-    assert runs.promote(tmp_path / "g", tmp_path / "f", {}, keep=["c", "b"], force=True) == ["b", "c"]
-
-
 def test_edits_replace_the_objects_box_first(spark):
     """IT4: before is the object's own box, then what the edit before it left; EDT3 logs edits of unknown objects too."""
     box = "x0 double, y0 double, x1 double, y1 double"

@@ -35,11 +35,3 @@ def test_inside(tmp_path):
     for path in ("../x", "/etc/passwd"):
         with pytest.raises(M.InvalidInput):
             M.inside(tmp_path, path)
-
-
-def test_runs(tmp_path):
-    for name, body in (("a", json.dumps({"cases": [{"pdf": "x.pdf"}]})), ("b", "{"), ("c", "[]")):
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "detected_manifest.json").write_text(body)
-    (tmp_path / "d").mkdir()
-    assert M.list_runs(tmp_path) == [{"run": "a", "pdf": "x.pdf", "cases": 1}, *({"run": r, "pdf": "", "cases": 0} for r in "bcd")]

@@ -82,3 +82,10 @@ def test_queries_leave_no_views(spark, name):
 def test_folder_where_none_is_set(tmp_path):
     env = os.environ | {"PYTHONPATH": str(Path(__file__).parent.parent), "TMPDIR": str(tmp_path), "SPARK_CONF_DIR": str(tmp_path)}
     subprocess.run([sys.executable, "-c", CODE.replace("{top}", str(tmp_path / "own"))], cwd=tmp_path, env=env, check=True)
+
+
+def test_buckets_grow_with_the_sources(spark):
+    assert graph.buckets(spark, [1 << 20]) == graph.LEAST_BUCKETS
+    assert graph.buckets(spark, [40 * graph.BUCKET_BYTES, 1]) == 41
+    assert graph.buckets(spark, [1 << 60]) == graph.MOST_BUCKETS
+    assert graph.buckets(spark, []) == max(graph.LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
