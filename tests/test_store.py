@@ -2,6 +2,7 @@ import gc
 import os
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -41,8 +42,9 @@ def test_written_tables_go_when_nothing_reads_them(spark):
     store.stored(spark.range(1), "other")
     assert os.path.isdir(path) and derived.count() == 6
     del derived
-    for _ in range(10):
+    for _ in range(40):  # the JVM learns of it through the gateway, sooner or later
         collected(spark)
+        time.sleep(0.1)
         store.stored(spark.range(1), "other")
         if not os.path.isdir(path):
             break
