@@ -6,11 +6,12 @@ over all its positions. Training is backpropagation through time in numpy, on se
 bounded sample of documents; scoring reads every byte of every text.
 
 Labels are the non-null lang values of documents whose crc32(doc_id) mod 4 is not 2, at most
-SAMPLE documents a language, chosen by hash. Defined cases: a null text, or one without a
-letter, is `und` with score 0; texts of any length are read whole; without any labelled document
-all others are `und` too, with a single language all others have it; repeated rows get the same
-label; of equally likely languages the first in code point order is taken; an empty table gives
-no rows.
+SAMPLE documents a language, chosen by hash of the id (of the text where that is null), one row
+of an id. Defined cases: a null text, or one without a letter, is `und` with score 0; texts of
+any length are read whole; without any labelled document all others are `und` too, with a single
+language all others have it; repeated rows get the same label; columns named `lang_pred` and
+`lang_score` are replaced, others are left alone; of equally likely languages the first in code
+point order is taken; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,12 +172,15 @@ def fitted(docs: DataFrame, sample: int = SAMPLE, rounds: int = 500) -> Network
         return None
     slots = 1 << 30
     share = F.create_map(*(F.lit(x) for name in names for x in (name, min(slots, int(slots * 1.2 * sample / sizes[name]) + 1))))
-    drawn = rows.where(F.col("lang").isin(names) & (F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share[F.col("lang")])).where(F.octet_length("text") > 0)
+    order = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    drawn = rows.where(F.col("lang").isin(names) & (F.pmod(order, F.lit(slots)) < share[F.col("lang")])).where(F.octet_length("text") > 0)
     size = F.octet_length("text")
     raw = F.col("text").cast("binary")
     at = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda k: F.floor(F.greatest(size - SEGMENT, F.lit(0)) * k / SEGMENTS).cast("int") + 1)
-    cuts = drawn.select("lang", F.xxhash64("doc_id").alias("order"), F.array_distinct(F.transform(at, lambda k: F.substring(raw, k, F.lit(SEGMENT)))).alias("cuts"))
-    kept = cuts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", F.size("cuts")))).where(F.col("rank") <= sample)
+    cuts = drawn.select("lang", order.alias("order"), F.array_distinct(F.transform(at, lambda k: F.substring(raw, k, F.lit(SEGMENT)))).alias("cuts"))
+    # one row of each id, so that the window gets about a sample of a language
+    cuts = cuts.groupBy("lang", "order").agg(F.min("cuts").alias("cuts"))
+    kept = cuts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("rank") <= sample)
     got = kept.select("lang", F.explode("cuts").alias("cut")).toArrow().sort_by([("lang", "ascending"), ("cut", "ascending")])
     data, offsets = K.text_bytes(got["cut"])
     size = np.diff(offsets)

@@ -9,10 +9,11 @@ product of two features' factors for every pair that a text has, so it learns co
 are toxic, or harmless, only together.
 
 Labels come from rows whose crc32(doc_id) mod 5 is not 0, at most SAMPLE of them, chosen by
-hash. Defined cases: null and empty texts have no feature and get the base score; texts of any
+hash, and teach from at most SAMPLE different texts; of equal texts of one id one teaches. Defined cases: null and empty texts have no feature and get the base score; texts of any
 length are read whole; without labels every text gets 0.5, or the only label's; null labels and
 labels without a document teach nothing; repeated labels of a document count as toxic if one is;
-repeated rows score alike; z-scores that tie go by hash; beyond FEATURES terms those with the
+repeated rows score alike; null ids have no label; a column named
+`toxicity` is replaced, others are left alone; z-scores that tie go by hash; beyond FEATURES terms those with the
 smallest z-scores are left out; an empty table gives no rows.
 """
 
@@ -170,7 +171,10 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = known.where(~in_fold(F.col("doc_id"), FOLDS, HELD)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = rows.join(F.broadcast(known), "doc_id").select("text", "toxic")  # at most `sample` labels
+    # a labelled id may have many rows: of each text one, of all at most `sample`
+    labelled = rows.join(F.broadcast(known), "doc_id").withColumn("tie", F.xxhash64("text"))
+    keys = labelled.select("doc_id", "tie").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "tie").limit(sample)
+    train = labelled.join(F.broadcast(keys), ["doc_id", "tie"]).groupBy("doc_id", "tie").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     good, bad = size.get(0, 0), size.get(1, 0)
     if not good or not bad:
@@ -203,7 +207,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             at = np.searchsorted(held.value, h).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch["toxic"].slice(a, b - a), pa.array([at[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)], pa.binary())], names=["toxic", "features"])
 
-    rows = train.mapInArrow(vectors, "toxic int, features binary").toArrow()
+    rows = train.mapInArrow(vectors, "toxic int, features binary").toArrow().sort_by([("features", "ascending"), ("toxic", "ascending")])  # so that sums are the same in each run
     feature, row = unpack(rows["features"], np.int32)
     labels = rows["toxic"].to_numpy().astype(float)
     marked = lambda t: np.isin(tried, t["hash"].to_numpy().view(K.U64))

@@ -163,3 +163,57 @@ def test_every_language_is_learned(spark):
     rows = [(40 * j + k, f"word{k} text{k} more{k}", f"l{k:02}") for j in range(6) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.fitted(df, sample=5, rounds=1).names == [f"l{k:02}" for k in range(40)]
+
+
+def test_scores_are_sums_over_all_pairs():
+    """The machine's score by a plain loop over features and pairs of features."""
+    rng = np.random.default_rng(4)
+    words = [f"word{k}" for k in range(12)]
+    data, offsets = K.text_bytes(pa.array([" ".join(rng.choice(words, n)) for n in (0, 1, 5, 30)]))
+    hashes, owner = toxicity.terms(data, offsets)
+    features = np.unique(hashes)[::2]
+    m = toxicity.Machine(features, -0.3, rng.normal(size=len(features)), rng.normal(size=(len(features), toxicity.FACTORS)) / 4)
+    got = m.scores(hashes, owner, 4)
+    for k in range(4):
+        own = sorted({int(np.searchsorted(features, h)) for h in hashes[owner == k] if h in features})
+        raw = m.base + sum(m.weights[i] for i in own) + sum(float(m.factors[i] @ m.factors[j]) for n, i in enumerate(own) for j in own[n + 1 :])
+        assert abs(got[k] - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_one_labelled_id_of_many_rows(spark, monkeypatch):
+    """Copies of a labelled row teach once, and no id brings more rows than the sample to the driver."""
+    seen = []
+    monkeypatch.setattr(toxicity.Machine, "trained", lambda features, row, feature, labels: seen.append(len(labels)))
+    rng = random.Random(6)
+    rows = [(k, sentences(rng, EN, 30) + (" idiot scum" if k % 2 else "")) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    hot = next(k for k in range(1, 60, 2) if spark.range(1).select(~toxicity.in_fold(F.lit(k), 5, 0)).first()[0])
+    copies = spark.createDataFrame([*rows, *[rows[hot]] * 3000], "doc_id long, text string").repartition(4)
+    different = spark.createDataFrame([*rows, *((hot, f"idiot scum {k} {k % 7}") for k in range(2000))], "doc_id long, text string").repartition(4)
+    toxicity.fitted(spark.createDataFrame(rows, "doc_id long, text string"), labels, sample=50)
+    toxicity.fitted(copies, labels, sample=50)
+    toxicity.fitted(different, labels, sample=50)
+    assert seen[0] == seen[1] and seen[2] <= 50
+
+
+def test_language_of_rows_without_ids(spark, monkeypatch):
+    """Rows without ids are drawn by their text, one id's rows count as one, and nothing else changes."""
+    seen = []
+    monkeypatch.setattr(langid.Network, "train", lambda self, text, size, label, rounds: seen.append(text.shape[1]))
+    rng = random.Random(8)
+    rows = [(None, sentences(rng, s, 12), lang) for s, lang in ((EN, "en"), (DE, "de")) for _ in range(300)]
+    langid.fitted(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), sample=40)
+    langid.fitted(spark.createDataFrame([*rows, *[(4, "one and the same row of text", "en")] * 3000], "doc_id long, text string, lang string").repartition(3), sample=40)
+    assert 0 < seen[0] <= 2 * 40 * langid.SEGMENTS and 0 < seen[1] <= 2 * 40 * langid.SEGMENTS
+
+
+def test_quality_sums_are_means_of_weights():
+    """The scorer's sum by a plain loop over a text's features."""
+    texts = ["", "a few plain words", "Mixed ### tokens, 12 of THEM; a few plain words again and again"]
+    data, offsets = K.text_bytes(pa.array(texts))
+    f = quality.Features(data, offsets)
+    weights = np.random.default_rng(5).normal(size=quality.FEATURES)
+    got = f.sums(weights)
+    for k in range(len(texts)):
+        own = [int(i) for row in f.ids for i in row[f.at[k] : f.at[k + 1]]]
+        assert abs(got[k] - sum(weights[i] for i in own) / (f.count[k] + quality.CALM)) < 1e-9
