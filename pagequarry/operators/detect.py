@@ -70,8 +70,10 @@ def relations(d) -> dict[str, str]:
           FROM lines l JOIN layout_pages p ON l.doc_id = p.doc_id AND l.page = p.page WHERE {S.is_watermark(d, 'l.text')}""",
         # Ids by first appearance
         "common_all": f"SELECT doc_id, page, kind, pos, text, id_key, {BOX} FROM bands UNION ALL SELECT doc_id, page, kind, pos, text, id_key, {BOX} FROM watermarks",
-        "common_first": "SELECT *, min(page * 100000 + pos) OVER (PARTITION BY doc_id, kind, id_key) AS first_pos FROM common_all",
-        "commons": f"""SELECT doc_id, page, kind, pos, text, concat(CASE kind WHEN 'header' THEN 'hdr_' WHEN 'footer' THEN 'ftr_' ELSE 'wm_' END, lpad(CAST(dense_rank() OVER (PARTITION BY doc_id, kind ORDER BY first_pos) AS {t}), 3, '0')) AS region_id, {BOX} FROM common_first""",
+        # ids by first place: keys are few, so they are ranked before their many places are looked at
+        "common_keys": "SELECT doc_id, kind, id_key, min(page * 100000 + pos) AS first_pos FROM common_all GROUP BY doc_id, kind, id_key",
+        "common_ids": f"SELECT doc_id, kind, id_key, concat(CASE kind WHEN 'header' THEN 'hdr_' WHEN 'footer' THEN 'ftr_' ELSE 'wm_' END, lpad(CAST(dense_rank() OVER (PARTITION BY doc_id, kind ORDER BY first_pos) AS {t}), 3, '0')) AS region_id FROM common_keys",
+        "commons": f"SELECT c.doc_id, c.page, c.kind, c.pos, c.text, i.region_id, {_c('c.')} FROM common_all c JOIN common_ids i ON i.doc_id = c.doc_id AND i.kind = c.kind AND i.id_key = c.id_key",
         # Nearest drawing above and below
         "nearest": f"""SELECT a.doc_id, a.page, a.anchor_id, a.kind, a.y0, min(CASE WHEN r.y1 <= a.y0 + 2 THEN a.y0 - r.y1 END) AS gap_above, min(CASE WHEN r.y0 >= a.y1 - 2 THEN r.y0 - a.y1 END) AS gap_below
           FROM anchors a LEFT JOIN drawings r ON a.doc_id = r.doc_id AND a.page = r.page GROUP BY a.doc_id, a.page, a.anchor_id, a.kind, a.y0""",
@@ -85,8 +87,7 @@ def relations(d) -> dict[str, str]:
         # Drawings owned by the nearest caption on its side
         "side_gaps": f"SELECT b.doc_id, b.page, b.anchor_id, r.draw_seq, r.x0 AS r_x0, r.y0 AS r_y0, r.x1 AS r_x1, r.y1 AS r_y1, {gap.format(s='b.')} AS gap FROM sided b JOIN drawings r ON b.doc_id = r.doc_id AND b.page = r.page",
         "near_gaps": "SELECT * FROM side_gaps WHERE gap >= -2",
-        "owned": """SELECT a.doc_id, a.page, a.anchor_id, a.draw_seq, a.r_x0 AS x0, a.r_y0 AS y0, a.r_x1 AS x1, a.r_y1 AS y1 FROM near_gaps a
-          WHERE NOT EXISTS (SELECT 1 FROM near_gaps b WHERE b.doc_id = a.doc_id AND b.page = a.page AND b.draw_seq = a.draw_seq AND b.anchor_id <> a.anchor_id AND b.gap < a.gap - 0.5)""",
+        "owned": "SELECT doc_id, page, anchor_id, draw_seq, r_x0 AS x0, r_y0 AS y0, r_x1 AS x1, r_y1 AS y1 FROM (SELECT *, min(gap) OVER (PARTITION BY doc_id, page, draw_seq) AS least_gap FROM near_gaps) AS a WHERE NOT least_gap < gap - 0.5",
         # Zone between other captions and header or footer bands; J4: two columns
         "fences": f"SELECT doc_id, page, anchor_id AS fence, {BOX} FROM anchors UNION ALL SELECT doc_id, page, -1 AS fence, {BOX} FROM commons WHERE kind <> 'watermark'",
         "zones": f"""SELECT a.doc_id, a.page, a.anchor_id, CASE WHEN a.side = 'above' THEN greatest(30, coalesce(max(CASE WHEN f.y1 <= a.y0 + 2 AND {S.x_meets('f.', 'a.', 2)} THEN f.y1 END), 30)) ELSE a.y1 END AS lo,

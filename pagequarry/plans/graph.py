@@ -13,9 +13,9 @@ from .store import bucketed, exists, stamp, stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: Relations that several others read: Spark writes them once for all readers of a session.
-CUT = frozenset({"slots", "doc_pages", "lines", "drawings", "line_captions", "anchors", "commons", "table_groups", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects", "truth", "truth_regions", "detected", "found_regions", "compared", "case_specs", "hf_cases", "target_specs", "spec_truth", "tags", "editor_objects", "overlay_boxes", "edit_checks", "edited_boxes", "package_objects", "scenario_texts", "sx_valid", "sx_targets", "sx_contexts", "sx_columns", "sx_free", "hf_specs"})
+CUT = frozenset({"slots", "doc_pages", "lines", "drawings", "line_captions", "anchors", "commons", "table_groups", "sided", "zones", "zone_lines", "cores", "placed", "objects", "truth", "truth_regions", "detected", "found_regions", "compared", "case_specs", "hf_cases", "target_specs", "spec_truth", "tags", "editor_objects", "overlay_boxes", "edit_checks", "edited_boxes", "package_objects", "scenario_texts", "sx_valid", "sx_targets", "sx_contexts", "sx_columns", "sx_free", "hf_specs"})
 #: Of these, the ones that joins read by page: written in buckets, so that such joins don't shuffle.
-BY_PAGE = frozenset({"lines", "drawings", "line_captions", "anchors", "commons", "sided", "near_gaps", "zones", "zone_lines", "cores", "grown", "bodies", "placed", "objects"})
+BY_PAGE = frozenset({"lines", "drawings", "line_captions", "anchors", "commons", "sided", "zones", "zone_lines", "cores", "placed", "objects"})
 #: Buckets of such a relation: one for so many bytes of its source tables, but not fewer, nor more than Spark allows.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 8, 1 << 15
 #: Written relations by application, source folder, name and definition, with the path and what tells whether the sources are still the same.
