@@ -151,7 +151,7 @@ def relations(d) -> dict[str, str]:
     named = ", ".join(f"('{x}', '{a}')" for a, names in (("core", CORE_NAMES), ("negative", NEGATIVE_NAMES)) for x in names)
     on = lambda c: f"coalesce(bool_or(enabled AND ({c})), false)"
     own = lambda c: f"coalesce(bool_or(enabled AND slot <> 'extra' AND ({c})), false)"
-    partial = "supported < page_count"
+    partial = "f.supported < c.page_count"
     signature = d.join(d.map(d.gather(d.struct(pos="pos", item="CASE WHEN kind = 'text' THEN concat('text', CAST(line_count AS " + t + ")) ELSE kind END")), "v", "v.item"), "'_'")
     gap_pt = "CASE WHEN {p} = 'below' THEN cap_y0 - body_y1 ELSE body_y0 - cap_y1 END"
     real_gap = d.half_even(f"greatest(0, {gap_pt.format(p='title_position')}) / {LINE}")
@@ -166,7 +166,9 @@ def relations(d) -> dict[str, str]:
         "hf_cases": f"""SELECT h.k, {own("slot = 'header'")} AS header, {own("slot = 'footer'")} AS footer, {on('true')} AS any_on, {own("template LIKE '%{page}%'")} AS own_page, {own("template LIKE '%{subtitle}%'")} AS own_subtitle, {own('mirrored')} AS own_mirrored, {own('rule_line')} AS own_rule, {own(partial)} AS own_partial,
           {on("rule_line AND kind = 'header'")} AS header_rule, {on("rule_line AND kind = 'footer'")} AS footer_rule, {on('first_suppressed')} AS suppressed, {on(partial)} AS partial, {on('jx <> 0 OR jy <> 0')} AS xy, {on('rjy <> 0')} AS rule_jitter, {on('mirrored AND (jx <> 0 OR jy <> 0)')} AS evenodd,
           {on("template LIKE '%{pages}%'")} AS of_pages, {on("template LIKE '%{page}%'")} AS any_page, {on("template LIKE '%{subtitle}%'")} AS any_subtitle, {on("slot = 'header' AND position(chr(10) IN template) > 0")} AS two_line_header, {on("slot = 'footer' AND position(chr(10) IN template) > 0 AND rule_line")} AS two_line_footer_bar, coalesce(max(n.number), false) AS hinted_number, coalesce(max(n.subtitle), false) AS hinted_subtitle
-          FROM hf_specs h JOIN case_specs c ON h.k = c.k LEFT JOIN hinted n ON h.k = n.k GROUP BY h.k""",
+          FROM hf_specs h JOIN case_specs c ON h.k = c.k LEFT JOIN (SELECT k AS few_k, slot AS few_slot, supported FROM hf_few) AS f ON f.few_k = h.k AND f.few_slot = h.slot LEFT JOIN hinted n ON h.k = n.k GROUP BY h.k""",
+        # how many pages a header or footer names, where it names any
+        "hf_few": "SELECT s.k, s.slot, CAST(ceil(c.page_count / 2.0) AS BIGINT) AS supported FROM hf_specs s JOIN case_specs c ON s.k = c.k WHERE s.odd_only",
         "hinted": "SELECT k, bool_or(hint LIKE 'hf.page_number_position:%') AS number, bool_or(hint LIKE 'hf.subtitle_position:%') AS subtitle FROM case_hints GROUP BY k",
         "sequence_commons": "SELECT f.*, coalesce(s.targets, 0) AS targets, coalesce(s.one_line, false) AS one_line, coalesce(s.two_line, false) AS two_line FROM hf_cases f LEFT JOIN case_sequences s ON f.k = s.k",
         "case_figures": "SELECT k, page, count(*) AS n FROM target_specs WHERE kind = 'figure' GROUP BY k, page",

@@ -88,10 +88,10 @@ def relations(d) -> dict[str, str]:
         "case_hints": f"SELECT doc AS k, {d.text_at('v', '')} AS hint FROM ({d.items('sx_roots', 'r.doc', 'coverage_hints')}) AS x",
         "hf_support": f"SELECT s.doc AS k, s.kind AS slot, CAST({d.number_at('s.v', '')} AS INT) AS page_no FROM sc_supports s JOIN sx_valid a ON s.doc = a.doc",
         "hf_bands": " UNION ALL ".join(band(kind) for kind in ("header", "footer")),
-        "hf_specs": f"""SELECT b.k, b.slot, b.kind, b.enabled, coalesce(b.template, '') AS template, b.enabled AND b.variable_text AS variable_text, b.enabled AND b.mirrored AS mirrored, b.enabled AND b.rule_line AS rule_line, false AS first_suppressed, false AS odd_only, CASE WHEN b.listed THEN coalesce(n.n, 0) END AS supported, 0 AS jx, 0 AS jy, 0 AS rjy, b.x0, b.y0, b.x1, b.y1
-          FROM hf_bands b LEFT JOIN (SELECT k, slot, count(*) AS n FROM hf_support GROUP BY k, slot) AS n ON n.k = b.k AND n.slot = b.slot""",
-        "hf_shown": """SELECT s.*, c.case_id, c.page_count, c.page_offset, c.width, c.height, p.page_no FROM hf_specs s JOIN case_specs c ON s.k = c.k JOIN case_pages_of p ON p.k = s.k LEFT JOIN (SELECT DISTINCT k, slot, page_no FROM hf_support) AS u ON u.k = s.k AND u.slot = s.slot AND u.page_no = p.page_no
-          WHERE s.enabled AND (s.supported IS NULL OR u.k IS NOT NULL)""",
+        "hf_specs": "SELECT k, slot, kind, enabled, coalesce(template, '') AS template, enabled AND variable_text AS variable_text, enabled AND mirrored AS mirrored, enabled AND rule_line AS rule_line, false AS first_suppressed, false AS odd_only, 0 AS jx, 0 AS jy, 0 AS rjy, x0, y0, x1, y1 FROM hf_bands",
+        "hf_few": "SELECT b.k, b.slot, coalesce(n.n, 0) AS supported FROM hf_bands b LEFT JOIN (SELECT k, slot, count(*) AS n FROM hf_support GROUP BY k, slot) AS n ON n.k = b.k AND n.slot = b.slot WHERE b.listed",
+        "hf_shown": """SELECT s.*, c.case_id, c.page_count, c.page_offset, c.width, c.height, p.page_no FROM hf_specs s JOIN case_specs c ON s.k = c.k JOIN case_pages_of p ON p.k = s.k LEFT JOIN hf_few f ON f.k = s.k AND f.slot = s.slot
+          LEFT JOIN (SELECT DISTINCT k, slot, page_no FROM hf_support) AS u ON u.k = s.k AND u.slot = s.slot AND u.page_no = p.page_no WHERE s.enabled AND (f.supported IS NULL OR u.k IS NOT NULL)""",
         "wm_specs": f"""SELECT doc AS k, {on('watermark')} AND {on('watermark.enabled')} AS enabled, coalesce({name_of('watermark')}, '') AS template, {on('watermark.variable_text')} AS variable_text, {number('watermark', 'rotation_deg', 0)} AS rotation, {number('watermark', 'opacity', f'CAST({OPACITY} AS DOUBLE)')} AS opacity, coalesce({d.text_at('watermark', 'location')}, 'center') AS location_, {on('watermark.image_like')} AS image_like,
           0 AS jx, 0 AS jitter_rot, CAST(0 AS DOUBLE) AS jitter_opacity, false AS near_footer, {box('watermark', 'bbox')} FROM sx_heads""",
         "sx_targets": item("figure", "i + 1", f"coalesce({d.text_at('v', 'alias')}, 'Figure')", f"coalesce({d.text_at('v', 'body_template')}, 'waveform')", f"coalesce({d.text_at('v', 'caption_position')}, 'below')", f"{none} AS group_id, 1 AS part_index, false AS is_continuation, {none} AS marker, {none} AS continued_from, 0 AS rows_, 0 AS cols_")
