@@ -24,6 +24,22 @@ def test_joins_within_documents_move_nothing(spark, sql):
     assert "Exchange" not in plan(df) and df.count() > 0
 
 
+@pytest.mark.parametrize("sql", ["SELECT t.case_id, t.field FROM truth_fields t JOIN diff x ON x.case_id = t.case_id AND x.object_key = t.object_key", "SELECT f.case_id, f.val FROM truth_fields t JOIN found_fields f ON f.case_id = t.case_id AND f.object_key = t.object_key AND f.field = t.field"])
+def test_comparing_fields_moves_nothing(spark, sql):
+    """Fields of either side lie by case as objects do, so a case's fields meet its objects and each other where they are."""
+    df = over(spark, sql)
+    assert "Exchange" not in plan(df) and df.count() > 0
+
+
+def test_diff_is_written_where_its_sides_are(spark, monkeypatch):
+    """Both sides lie by case, and so does the outer join's row of either."""
+    moved, bucketed = {}, graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda df, n, keys, files, shuffle=True: (moved.setdefault(n, shuffle), bucketed(df, n, keys, files, shuffle))[1])
+    graph.forget()
+    assert over(spark, "SELECT * FROM diff").count() > 0
+    assert moved["diff"] is False
+
+
 def test_written_texts_are_not_broadcast(spark):
     """A file of texts is a thousandth of the texts, so its size is no reason to send them through the driver."""
     df = registry.queries()["v6_scenario"](spark, SMALL)
