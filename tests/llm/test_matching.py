@@ -205,3 +205,46 @@ def test_search_uses_every_term(spark):
     lists = {q: sorted(x) for q, x in found.items()}
     assert [d for _, d, _ in lists[20][:3]] == [20, 40, 41] and lists[20] == lists[40]
     assert len(lists[20]) == 10
+
+
+def test_similar_queries_of_a_block_stand_together():
+    """Terms worth a matrix product are chosen for each batch of queries, so a block has queries of like terms side by side."""
+    import numpy as np
+
+    common = np.array([[0, 2, 4], [1, 3, 5]])
+    queries = [np.append(common[q % 2], 6 + q) for q in range(40)]
+    order = bm25._alike(np.arange(0, 161, 4), np.concatenate(queries))
+    assert sorted(order.tolist()) == list(range(40))
+    assert sum(a % 2 != b % 2 for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)) == 1
+
+
+def test_single_precision_only_narrows_the_search():
+    """Documents whose scores differ by one unit of 2**-24, far below single precision, come in exact order, with exact sums."""
+    import numpy as np
+
+    docs, k, terms = 256, 10, 12
+    rng = np.random.default_rng(5)
+    last = rng.permutation(docs)
+    scores = [np.full(docs, 64.0) for _ in range(terms - 1)] + [64 + last * bm25.UNIT]
+    begin, rows = np.arange(0, docs * terms + 1, docs), np.tile(np.arange(docs), terms)
+    query, term = np.repeat(np.arange(30), terms), np.tile(np.arange(terms), 30)
+    assert np.float32(64 * terms) == np.float32(64 * terms + docs * bm25.UNIT)
+    q, d, s = bm25.search_batch(begin, rows, np.concatenate(scores), docs, query, term, 30, k)
+    want = np.argsort(-last)[:k]
+    for each in range(30):
+        assert d[q == each].tolist() == want.tolist()
+        assert s[q == each].tolist() == (64 * terms + last[want] * bm25.UNIT).tolist()
+
+
+def test_postings_of_any_length_are_added_once():
+    """Lists filled up to a common length, some of them empty, give the sums of their own postings."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    docs, sizes = 700, np.array([0, 1, 2, 3, 5, 9, 77, 256, 700, 0, 4])
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    rows = np.concatenate([np.sort(rng.choice(docs, n, replace=False)) for n in sizes])
+    scores = rng.integers(1, 999, len(rows)) / 64
+    q, t = np.repeat(np.arange(9), len(sizes)), np.tile(np.arange(len(sizes)), 9)
+    want = np.bincount(rows, scores, docs)
+    assert (bm25._added(bm25._by_length(begin, rows, scores), q, t, 9, docs) == want).all()
