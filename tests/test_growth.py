@@ -46,6 +46,21 @@ def test_written_texts_are_not_broadcast(spark):
     assert "Broadcast" not in plan(df)
 
 
+def test_scenarios_are_parsed_once(spark):
+    """Whatever reads a scenario's fields, items or faults reads what was written of its one parse."""
+    for name in ("v6_scenario", "f7_scenario_guards", "v8_exit_codes"):
+        assert "body#" not in plan(registry.queries()[name](spark, SMALL))
+
+
+def test_written_scenarios_keep_2_and_2_0_apart(spark):
+    """Shredded values would make them one; the setting of the session stays as it was."""
+    shredded = spark.conf.get(graph.SHREDDED)
+    texts = spark.createDataFrame([(k, f'{{"case_id":"c","page":{{"page_count":{n}}}}}') for k, n in enumerate(["2", "2.0", "3", "2e0"])], "doc long, body string")
+    got = graph.run(spark, "SELECT doc, code FROM v6", registry.relations(Spark()), {"scenario_texts": texts})
+    assert sorted(map(tuple, got.collect())) == [(0, "ok"), (1, "SCENARIO_INVALID_VALUE"), (2, "ok"), (3, "SCENARIO_INVALID_VALUE")]
+    assert spark.conf.get(graph.SHREDDED) == shredded
+
+
 def test_lists_of_values_are_broadcast(spark):
     """A few fixed values go to the rows, not the rows to them."""
     df = over(spark, "SELECT a.doc_id, i.task FROM anchors a JOIN issue_list i ON i.place = a.anchor_id % 8")
