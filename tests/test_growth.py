@@ -52,6 +52,31 @@ def test_scenarios_are_parsed_once(spark):
         assert "body#" not in plan(registry.queries()[name](spark, SMALL))
 
 
+def test_detector_texts_are_parsed_once(spark):
+    """Every branch of the checks reads what was written of the one parse, where its text lies."""
+    assert "parsejson" not in plan(registry.queries()["v1_detector_output"](spark, SMALL)).lower()
+
+
+def test_kinds_are_told_without_building_what_is_below(spark):
+    """Each look at a value tells all of its kinds, as one look for each of them does."""
+    texts = ["null", "1", "1.5", "1e300", '"x"', "true", "[]", "{}", '[{"a":1}]', '{"a":[1]}', '{"b":1}', '{"a":null}', '{"a":"2"}', '{"a":{"c":[1]}}', "{"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc long, body string").selectExpr("doc", "try_parse_json(body) AS v")
+    kinds = ("null", "number", "int", "string", "bool", "array", "object", "absent")
+    for path in ("", "a"):
+        got = rows.selectExpr("doc", f"coalesce({Spark().kind('v', path)}, 'absent') AS kind", *(f"{Spark().is_kind('v', path, (k,))} AS {k}_" for k in kinds), f"{Spark().is_kind('v', path, kinds[1:5])} AS scalar").collect()
+        assert [[k for k in kinds if r[f"{k}_"]] for r in got] == [[r.kind] for r in got]
+        assert [r.scalar for r in got] == [r.kind in kinds[1:5] for r in got]
+    assert "array<variant>" not in Spark().is_kind("v", "a", kinds) + Spark().four_numbers("v", "a")
+
+
+def test_boxes_are_four_numbers(spark):
+    good = ["[1,2,3,4]", "[1,2.5,3,4]", "[1e300,2,3,4]", "[1.5,2.5,3.5,-4e2]", "[99999999999999999999999,2,3,4]"]
+    bad = ["[1,2,3]", "[1,2,3,4,5]", "[1,2,3,null]", "[1,2,3,null,4]", "[null,null,null,null]", "[1,2,3,true]", '[1,2,3,"4"]', "[1,2,3,[4]]", "[]", "{}", "4", "null", '{"a":4}']
+    rows = spark.createDataFrame([(t,) for t in good + bad], "body string").selectExpr("body", "try_parse_json(body) AS v", "try_parse_json(concat('{\"a\":', body, '}')) AS w", "try_parse_json('{}') AS none")
+    got = rows.selectExpr("body", f"{Spark().four_numbers('v', '')} AS x", f"{Spark().four_numbers('w', 'a')} AS y", f"{Spark().four_numbers('none', 'a')} AS z").collect()
+    assert [tuple(r)[1:] for r in got] == [(r.body in good, r.body in good, False) for r in got]
+
+
 def test_written_scenarios_keep_2_and_2_0_apart(spark):
     """Shredded values would make them one; the setting of the session stays as it was."""
     shredded = spark.conf.get(graph.SHREDDED)
