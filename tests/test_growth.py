@@ -40,6 +40,14 @@ def test_diff_is_written_where_its_sides_are(spark, monkeypatch):
     assert moved["diff"] is False
 
 
+def test_what_several_read_is_made_once(spark):
+    """Members of cores, boxes of headers and checks of fields are read where they lie, not made anew by each that reads them."""
+    known = registry.relations(Spark())
+    for n in ("zone_drawings", "core_members", "common_all", "region_checks", "field_checks"):
+        df = over(spark, f"SELECT * FROM {n}")
+        assert plan(df).count("FileScan") == 1 and "Exchange" not in plan(df) and n in known
+
+
 def test_written_texts_are_not_broadcast(spark):
     """A file of texts is a thousandth of the texts, so its size is no reason to send them through the driver."""
     df = registry.queries()["v6_scenario"](spark, SMALL)
